@@ -1,6 +1,9 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
+from .embedding_dedup import op10_projection_dedup
 from .exact_dedup import ORACLE_OP6, op6_exact_dedup
+from .line_dedup import op9_line_winnowing
+from .minhash_dedup import op3_minhash_dedup
 from .mixing import op5_mixing
 from .packing import op2_lexical_packing
 from .sharding import op8_hash_ring
@@ -8,9 +11,12 @@ from .token_files import op7_token_files
 
 QUERIES = {
     "op2_lexical_packing": op2_lexical_packing,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
     "op8_hash_ring": op8_hash_ring,
+    "op9_line_winnowing": op9_line_winnowing,
+    "op10_projection_dedup": op10_projection_dedup,
 }
 ORACLES = {"op6_exact_dedup": ORACLE_OP6}
