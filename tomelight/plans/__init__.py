@@ -1,4 +1,7 @@
-"""Named queries: (spark, sf_dir) -> DataFrame, with the DuckDB SQL for the same rows."""
+"""Named queries over the supplied tables, by area; importing this package registers all of them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import sessions  # noqa: F401  (first: holds the flagship)
+from . import catalogue, entities, library, relational, rules  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
