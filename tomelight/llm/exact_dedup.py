@@ -111,6 +111,17 @@ def exact_dedup(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
     return joined.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best_rid")).alias("kept"), F.col("sha256").alias("text_sha256"), "rid", "points")
 
 
+def drop_exact_copies(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
+    """docs with the row of each group that stays, as it is; of repeated rows (same doc_id and text) one stays."""
+    kept = exact_dedup(docs, block_chars).where("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s"), F.col("points").alias("p"))
+    text = text_or_empty()
+    digest = F.sha2(without_space(text).cast("binary"), 256)
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha": digest, "_points": F.length(text).cast("long")})
+    same = marked["_id"].eqNullSafe(kept["k"]) & (marked["_sha"] == kept["s"]) & (marked["_points"] == kept["p"])
+    joined = marked.join(kept, same, "left_semi")
+    return joined.dropDuplicates(["_id", "_sha", "_points"]).select(*docs.columns)
+
+
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, keep_id, group_size, kept, text_sha256."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid", "points")

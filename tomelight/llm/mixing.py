@@ -22,13 +22,15 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACE, materialize, text_or_empty
+from ._common import SPACE, materialize, small_batches, text_or_empty
 
 #: Fixed values of the contract: weights by a source's rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -146,15 +148,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return sums.select("source", "source_size", F.least(F.col("most"), F.col("weight") * found["level"]).alias("target"))
 
 
-def mix(docs: DataFrame, block: int = 64, limit: int = 3, slots_per_shard: int = 8192, bucket_rows: int = 5000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block: int = 64, limit: int = 3, slots_per_shard: int = 8192, bucket_rows: int = 5000, seed: int = 0, row_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, slots).
 
     documents: rid, doc_id, source, size, source_size, target, start (place of its first word in the source's stream).
+    row_id names a column that tells rows apart; without it rows are numbered as they are first written.
+
     slots: source, block, pass, shard, slot (its place in the shard), words (of the block that the slot takes).
     """
     spark = docs.sparkSession
     text = text_or_empty()
-    sized = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"))
+    rid = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    sized = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"))
     sized = materialize(sized)
     rows = sized.count()
     buckets = max(1, -(-rows // bucket_rows))
@@ -236,6 +241,47 @@ def taken_pieces(documents: DataFrame, slots: DataFrame, block: int = 64) -> Dat
     return found.select("rid", "pass", "shard", "slot", (begin - F.col("start")).alias("from_word"), (end - begin).alias("words")).where("words > 0")
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The parts of a text from word a up to word b for each span (first word, words); touching spans are one part."""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    merged: list[list[int]] = []
+    for first, count in sorted(spans):
+        if merged and merged[-1][1] == first:
+            merged[-1][1] = first + count
+        else:
+            merged.append([first, first + count])
+    if merged == [[0, len(words)]]:
+        return text
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in merged)
+
+
+def mixed_documents(docs: DataFrame, block: int = 64) -> DataFrame:
+    """The mix as documents: for each pass in which words of a row are taken, the row with those words as its text.
+
+    A row taken whole keeps its text; n_chars, if there is such a column, is the new text's length.
+    """
+    small_batches(docs.sparkSession)
+    base = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()))
+    documents, slots = mix(base, block=block, row_id="_rid")
+    spans = taken_pieces(materialize(documents), slots, block).groupBy("rid", "pass").agg(F.collect_list(F.struct("from_word", "words")).alias("_spans"))
+    joined = base.join(spans.select(F.col("rid").alias("_rid"), "_spans"), "_rid").select(*docs.columns, "_spans")
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            found = [cut_words(t or "", [(s["from_word"], s["words"]) for s in spans]) for t, spans in zip(batch[place].to_pylist(), batch[len(docs_columns)].to_pylist(), strict=True)]
+            columns = list(batch.columns[: len(docs_columns)])
+            columns[place] = pa.array(found, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+
+    docs_columns = docs.columns
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs_columns else out
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, size, source_size, target, taken."""
     documents, slots = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

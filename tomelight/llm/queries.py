@@ -7,11 +7,15 @@ from .minhash_dedup import op3_minhash_dedup
 from .mixing import op5_mixing
 from .packing import op2_lexical_packing
 from .sharding import op8_hash_ring
+from .site_trees import op1_site_style_tree
 from .token_files import op7_token_files
+from .toxicity import op4_compression_toxicity
 
 QUERIES = {
+    "op1_site_style_tree": op1_site_style_tree,
     "op2_lexical_packing": op2_lexical_packing,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_compression_toxicity": op4_compression_toxicity,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_files": op7_token_files,
