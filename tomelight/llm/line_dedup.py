@@ -140,7 +140,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     grouped = materialize(grouped).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "spans")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text_or_empty()).alias("h"))
-    joined = rows.join(grouped, rows["doc_id"].eqNullSafe(grouped["d"]) & (rows["h"] == grouped["g"]), "left")
+    # both sides grow with the corpus, so the join shuffles at every size
+    joined = rows.join(grouped.hint("merge"), rows["doc_id"].eqNullSafe(grouped["d"]) & (rows["h"] == grouped["g"]), "left")
 
     def run(batches):
         for batch in batches:
