@@ -27,19 +27,20 @@ def books(spark):
     return spark.createDataFrame(rows, "id long, title string, series string, number double, authors array<string>, added timestamp_ntz, owned boolean")
 
 
-SCHEMA = {
-    "title": rules.Field(F.col("title"), "text"),
-    "series": rules.Field(F.col("series"), "text"),
-    "number": rules.Field(F.col("number"), "number"),
-    "authors": rules.Field(F.col("authors"), "list"),
-    "added": rules.Field(F.col("added"), "date"),
-    "owned": rules.Field(F.col("owned"), "flag"),
-}
+def schema():
+    return {
+        "title": rules.Field(F.col("title"), "text"),
+        "series": rules.Field(F.col("series"), "text"),
+        "number": rules.Field(F.col("number"), "number"),
+        "authors": rules.Field(F.col("authors"), "list"),
+        "added": rules.Field(F.col("added"), "date"),
+        "owned": rules.Field(F.col("owned"), "flag"),
+    }
 
 
 def ids(books, *leaves, join="and", dialect="default"):
     tree = {"type": "group", "join": join, "rules": [dict(zip(("field", "operator", "value", "valueStart", "valueEnd"), x, strict=False)) for x in leaves]}
-    return [r.id for r in books.where(rules.compile_rule(json.dumps(tree), SCHEMA, NOW, dialect)).orderBy("id").collect()]
+    return [r.id for r in books.where(rules.compile_rule(json.dumps(tree), schema(), NOW, dialect)).orderBy("id").collect()]
 
 
 @pytest.mark.parametrize(
@@ -79,8 +80,8 @@ def test_rule_groups_and_dialects(books):
     deep = {"type": "group", "join": "and", "rules": []}
     for _ in range(70):
         deep = {"type": "group", "join": "and", "rules": [deep]}
-    assert books.where(rules.compile_rule(deep, SCHEMA, NOW)).count() == 0
-    assert books.where(rules.compile_rule("{broken", SCHEMA, NOW)).count() == 0
+    assert books.where(rules.compile_rule(deep, schema(), NOW)).count() == 0
+    assert books.where(rules.compile_rule("{broken", schema(), NOW)).count() == 0
 
 
 def test_visibility_and_restrictions(spark):

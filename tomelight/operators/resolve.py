@@ -50,7 +50,7 @@ def staged_duplicates(rows: DataFrame, id_column: str, stages: list[tuple[str, l
     spark: SparkSession = rows.sparkSession
     left, found = rows, []
     for name, keys in stages:
-        links = reduce(lambda a, b: a.union(b), [same_key_links(left, F.concat_ws("\u0001", F.lit(str(i)), k) if len(keys) > 1 else k, id_column) for i, k in enumerate(keys)])
+        links = reduce(lambda a, b: a.union(b), [same_key_links(left, F.concat(F.lit(f"{i}:"), k.cast("string")), id_column) for i, k in enumerate(keys)])
         links = _written(links)
         if links.isEmpty():
             continue
