@@ -13,8 +13,8 @@ importance below ``LEAST`` is removed from each page; nodes on fewer than ``PAGE
 what they are (navigation, footers, adverts, comments and so on, by tag, role, class or id) are removed on any page,
 as their content need not repeat; if a page marks its article or main part, only that part is read.
 
-Scale: tasks merge their own pages first, so a host with a third of all pages sends few rows; counts are then
-aggregated by (host, node, value). Only the keys of unimportant nodes come back to the pages: one row a host, by
+Pages of a host with the same text count as one page. Scale: tasks leave out copies within a batch and send one row a
+fact; counts are aggregated by (host, node, value), which spreads a host with a third of all pages over its texts. Only the keys of unimportant nodes come back to the pages: one row a host, by
 broadcast if all of them together are small (checked), else by a join on the host that adaptive execution may split.
 
 Defined results: a null or empty page gives an empty text; a null or unreadable url belongs to the host ''; repeated rows
@@ -25,7 +25,6 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -159,16 +158,20 @@ def unimportant_nodes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts: Counter = Counter()
+            seen, rows = set(), []
             for host, page in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 if page:
-                    counts.update((host, *fact) for fact in Page(page).facts())
-            rows = list(counts)
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["host", "node", "kind", "value", "pages"])
-
-    facts = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, node long, kind int, value long, pages long")
-    values = facts.groupBy("host", "node", "kind", "value").agg(F.sum("pages").alias("c"))
+                    read = Page(page)
+                    look = host, _key(read.text(set()))
+                    if look not in seen:
+                        seen.add(look)
+                        rows += [(host, look[1], *fact) for fact in read.facts()]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "page", "node", "kind", "value"])
+
+    facts = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, page long, node long, kind int, value long")
+    # pages with the same text are one page: copies of an article don't make it a template
+    values = facts.groupBy("host", "node", "kind", "value").agg(F.count_distinct("page").alias("c"))
     style, text = F.col("kind") == 0, F.col("kind") == 1
     nodes = values.groupBy("host", "node").agg(
         F.sum(F.when(style, F.col("c"))).alias("m"),

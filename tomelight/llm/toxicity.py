@@ -10,11 +10,11 @@ Training, on the driver, uses at most ``SAMPLE`` labelled rows (``TOXIC_SHARE``
 doc_id; the bound is independent of the corpus. Only rows whose crc32(doc_id) mod 4 is not 2 are drawn.
 
 1. The ordinary dictionary is trained on windows of ordinary rows.
-2. The toxic dictionary is trained on windows of toxic rows, reduced to words that recur there and that the ordinary
-   rows don't have: most of a toxic text is ordinary text, which would fill the dictionary.
-3. Ordinary windows that the toxic dictionary still shortens hold what both have in common: they are trained into the
-   ordinary dictionary (``ROUNDS`` times).
-4. The other half of the sample calibrates the curve.
+2. The toxic dictionary is trained on windows of toxic rows, reduced to words with runs of letters that are
+   significantly more frequent there than in ordinary rows: most of a toxic text is ordinary text, which would fill the dictionary.
+3. Ordinary windows that the toxic dictionary still shortens hold what both have in common: their words without such
+   runs are trained into the ordinary dictionary (``ROUNDS`` times).
+4. The other third of the sample calibrates the curve.
 
 Scoring maps over documents with the two dictionaries (tens of kilobytes) and a few coefficients broadcast.
 
@@ -102,11 +102,28 @@ def _train(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[:size]
 
 
-def _contrast(samples: list[bytes], ordinary: set[bytes], least: int = 5) -> list[bytes]:
-    """The samples reduced to words that recur among them and that ordinary text doesn't have."""
-    seen = Counter(w for sample in samples for w in set(sample.split()))
-    words = {w for w, n in seen.items() if n >= least and len(w) > 2 and w not in ordinary}
-    return [kept for sample in samples if (kept := b" ".join(w for w in sample.split() if w in words))]
+def _runs(word: bytes) -> set[bytes]:
+    """The beginnings of a word (after a space) and its inner runs of five bytes."""
+    return {b" " + word[:n] for n in range(4, min(len(word), 9) + 1)} | {word[i : i + 5] for i in range(len(word) - 4)}
+
+
+def _telling(toxic: list[bytes], ordinary: list[bytes], least: int = 5, ratio: float = 4.0, deviations: float = 7.0) -> set[bytes]:
+    """Runs of letters that are much more frequent in toxic windows: in ``least`` of them, at ``ratio`` times ordinary text's
+    rate, and so many standard deviations above it."""
+
+    def count(samples):
+        found: Counter = Counter()
+        for sample in samples:
+            found.update(set().union(*(_runs(w) for w in set(sample.split()))))
+        return found
+
+    seen, usual, share = count(toxic), count(ordinary), len(toxic) / max(len(ordinary), 1)
+    return {r for r, n in seen.items() if n >= least and n >= ratio * share * usual[r] and n - share * usual[r] >= deviations * (share * usual[r] + 0.5) ** 0.5}
+
+
+def _reduced(samples: list[bytes], runs: set[bytes], with_runs: bool) -> list[bytes]:
+    """The samples' words that have one of the runs, or those that have none."""
+    return [kept for sample in samples if (kept := b" ".join(w for w in sample.split() if bool(_runs(w) & runs) == with_runs))]
 
 
 def features(gains: np.ndarray) -> np.ndarray:
@@ -163,23 +180,24 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Even places train the dictionaries, odd ones calibrate the curve."""
-    learn = [[t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == k and i % 2 == 0] for k in (0, 1)]
+    """Two of three rows train the dictionaries, the third calibrates the curve."""
+    learn = [[t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == k and i % 3 < 2] for k in (0, 1)]
     ordinary_windows, toxic_windows = _pieces(learn[0]), _pieces(learn[1])
     if not ordinary_windows or not toxic_windows:
         return Model(b"", b"", None)
     ordinary = _train(ORDINARY_BYTES, ordinary_windows)
-    common = set(b" ".join(ordinary_windows).split())
-    contrasted = _contrast(toxic_windows, common)
+    runs = _telling(toxic_windows, ordinary_windows)
+    contrasted = _reduced(toxic_windows, runs, True)
     if not contrasted:
         return Model(ordinary, b"", None)
     toxic = _train(TOXIC_BYTES, contrasted)
     for _ in range(ROUNDS):
         gained = _measure(_compressor(ordinary), ordinary_windows) - _measure(_compressor(toxic + ordinary), ordinary_windows)
         hard = [ordinary_windows[i] for i in np.argsort(-gained, kind="stable").tolist() if gained[i] >= 2][:20_000]
+        hard = _reduced(hard, runs, False)
         ordinary = (_train(ORDINARY_BYTES // 4, hard) if len(hard) > 200 else b"".join(hard)[: ORDINARY_BYTES // 4]) + ordinary
     model = Model(ordinary, toxic, None)
-    rows = [(model.evidence(t), y) for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if i % 2 == 1]
+    rows = [(model.evidence(t), y) for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if i % 3 == 2]
     y = np.array([r[1] for r in rows], np.float64)
     if len(set(y.tolist())) == 2:
         model.curve = fit_curve(np.array([r[0] for r in rows]), y)
