@@ -9,13 +9,15 @@
    are done. The others order their values by rising frequency, and post only as many of the rarest as guarantee that
    two classes with MATCHES common values meet in one list; so frequent values (a passage that many texts carry)
    stay out of the lists unless a text is made of them.
-4. Lists give candidates in rounds that never pair a group with itself. First each class is paired with the pivot of
-   one of its lists (a star, a pair a class at most); the pairs' collisions are counted over the whole signatures,
-   skipping pairs below MATCHES; the rest is confirmed on the full sets, and links join components. After ``ROUNDS``
-   such rounds, lists within one component are finished. In lists that still span components, every pair of classes
-   from different components is tried, so no link that could join two components is lost.
-5. Sets are compared in blocks: classes are dealt to blocks of like classes, a set travels once for each pair of blocks
-   it takes part in, and a block pair is one group of bounded size.
+4. Lists give candidates in rounds that never pair a group with itself. In the first, each class meets the most typical
+   class of its lists (the one whose values are the most frequent, usually the text that the others were copied from); in
+   the second, classes outside a list's largest component meet the most typical one among them. A class has one pair
+   a round. Collisions are counted over whole signatures, pairs below MATCHES are skipped, the rest is confirmed on the
+   full sets, and links join components; lists within one component are finished.
+5. What is left is exact: in lists that still span components, the classes outside the largest one meet all others. They
+   do so in blocks: classes are dealt to blocks of at most about BLOCK_CLASSES like ones, a set travels once for each
+   pair of blocks that a list connects, and one task counts, skips and confirms inside a pair of blocks; it returns
+   links that join components and no other pairs.
 
 Defined results: null or blank texts have an empty set, stay alone and are kept; fewer than five words are one
 shingle; repeated rows share the component of their text; a row with a null doc_id never is the smallest of its
@@ -31,13 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize, partitions, small_batches, text_or_empty
+from ._common import connected_components, materialize, small_batches, text_or_empty
 from ._words import shingle_sets, text_slices, word_hashes
 
 WIDTH, PERCENT = 5, 75
 COORDINATES, MATCHES = 64, 30
-ROUNDS = 3
-BLOCK_CLASSES = 96
+BLOCK_CLASSES = 512
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -77,8 +78,8 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return materialize(chosen.mapInArrow(run, "doc_id long, h long, n_shingles long, fp binary, signature binary"))
 
 
-def _posted(classes: DataFrame) -> DataFrame:
-    """(cid, token) for the prefix of each class: its rarest values that at least one other class shares."""
+def _posted(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, token) for the prefix of each class (its rarest values that another class shares), and (cid, weight)."""
 
     def explode(batches):
         coordinate = np.arange(COORDINATES, dtype=np.int64) << 32
@@ -92,95 +93,140 @@ def _posted(classes: DataFrame) -> DataFrame:
     shared = tokens.join(frequent, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("found"))
     # at most COORDINATES values a class; two classes with MATCHES common ones meet in the first n - MATCHES + 1
     prefix = F.slice("found", 1, F.greatest(F.lit(0), F.size("found") - MATCHES + 1))
-    return materialize(shared.where(F.size("found") >= MATCHES).select("cid", F.explode(prefix).alias("x")).select("cid", F.col("x.token").alias("token")))
+    weight = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x.df)
+    kept = materialize(shared.where(F.size("found") >= MATCHES).select("cid", weight.alias("weight"), F.transform(prefix, lambda x: x.token).alias("tokens")))
+    return kept.select("cid", F.explode("tokens").alias("token")), kept.select("cid", "weight")
 
 
-class _Verifier:
-    """Counts collisions on signatures, then confirms pairs on full sets, block pair by block pair."""
+def _matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Common values of every row of x with every row of y, a coordinate at a time."""
+    total = np.zeros((len(x), len(y)), np.uint8)
+    for k in range(COORDINATES):
+        total += x[:, k, None] == y[None, :, k]
+    return total
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have PERCENT or more of their union in common."""
+    low, high = sorted((len(x), len(y)))
+    if 100 * low < PERCENT * high:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, posts: DataFrame):
-        self.signatures = classes.select("cid", "signature")
-        homes = posts.groupBy("token").agg(F.min("cid").alias("home"))
-        home = posts.join(homes, "token").groupBy("cid").agg(F.min("home").alias("home"))
-        home = materialize(home)
-        sizes = home.groupBy("home").agg(F.count("*").alias("members"))
-        block = F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / BLOCK_CLASSES)))
-        self.blocks = materialize(home.join(sizes, "home").select("cid", block.alias("block")))
-        need = classes.join(self.blocks, "cid").select("cid", F.col("doc_id").alias("d"), F.col("h").alias("th"))
+class _Index:
+    """Postings, signatures and sets of the classes that share enough values with others."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.posts, self.weights = _posted(classes)
+        need = classes.join(self.weights.select("cid"), "cid", "left_semi").select("cid", "signature", F.col("doc_id").alias("d"), F.col("h").alias("th"))
         text = text_or_empty()
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
         def sets(batches):
             for batch in batches:
-                for at, raw, offsets in text_slices(batch[1]):
+                for at, raw, offsets in text_slices(batch[2]):
                     found = [s.tobytes() for s in shingle_sets(*word_hashes(raw, offsets), WIDTH)]
-                    yield pa.RecordBatch.from_arrays([batch[0][at : at + len(found)], pa.array(found, pa.binary())], ["cid", "shingles"])
+                    rows = slice(at, at + len(found))
+                    yield pa.RecordBatch.from_arrays([batch[0][rows], batch[1][rows], pa.array(found, pa.binary())], ["cid", "signature", "shingles"])
 
-        rows = need.join(texts, need["d"].eqNullSafe(texts["doc_id"]) & (need["th"] == texts["h"])).select("cid", "text")
-        self.sets = materialize(rows.mapInArrow(sets, "cid long, shingles binary")).dropDuplicates(["cid"])
+        rows = need.join(texts, need["d"].eqNullSafe(texts["doc_id"]) & (need["th"] == texts["h"])).select("cid", "signature", "text")
+        self.sets = materialize(rows.mapInArrow(sets, "cid long, signature binary, shingles binary"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b), a < b, distinct -> the pairs whose similarity is PERCENT or more."""
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """pairs(a, b): those whose signatures and sets agree. A class is in one pair as a, so sets travel once a pair."""
 
-        def count(batches):
+        def check(batches):
             for batch in batches:
-                a = np.frombuffer(b"".join(batch[2].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                b = np.frombuffer(b"".join(batch[3].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array((a == b).sum(1) >= MATCHES))
-
-        s = self.signatures
-        near = pairs.join(s.select(F.col("cid").alias("a"), F.col("signature").alias("sa")), "a").join(s.select(F.col("cid").alias("b"), F.col("signature").alias("sb")), "b")
-        near = near.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long")
-        k = self.blocks
-        dealt = near.join(k.select(F.col("cid").alias("a"), F.col("block").alias("ka")), "a").join(k.select(F.col("cid").alias("b"), F.col("block").alias("kb")), "b")
-        dealt = materialize(dealt.select(F.least("ka", "kb").alias("p"), F.greatest("ka", "kb").alias("q"), "a", "b"))
-        needed = dealt.select("p", "q", F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = needed.join(self.sets, "cid").select(F.col("p").alias("r"), F.col("q").alias("s"), "cid", "shingles")
-
-        def confirm(left: pa.Table, right: pa.Table) -> pa.Table:
-            own = {c: np.frombuffer(s, np.uint64) for c, s in zip(right["cid"].to_pylist(), right["shingles"].to_pylist(), strict=True)}
-            kept = []
-            for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
-                x, y = own[a], own[b]
-                low, high = sorted((len(x), len(y)))
-                if 100 * low < PERCENT * high:
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                    kept.append((a, b))
-            return pa.table({"a": pa.array([k[0] for k in kept], pa.int64()), "b": pa.array([k[1] for k in kept], pa.int64())})
-
-        return materialize(dealt.groupBy("p", "q").cogroup(sets.groupBy("r", "s")).applyInArrow(confirm, "a long, b long"))
-
-
-def _components(posts: DataFrame, verifier: _Verifier) -> DataFrame:
+                rows = zip(*[batch[i].to_pylist() for i in range(2, 6)], strict=True)
+                kept = [
+                    int((np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)).sum()) >= MATCHES and _similar(np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64))
+                    for sa, sb, xa, xb in rows
+                ]
+                yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+        s = self.sets
+        left = pairs.join(s.select(F.col("cid").alias("a"), F.col("signature").alias("sa"), F.col("shingles").alias("xa")), "a")
+        both = left.join(s.select(F.col("cid").alias("b"), F.col("signature").alias("sb"), F.col("shingles").alias("xb")), "b")
+        return materialize(both.select("a", "b", "sa", "sb", "xa", "xb").mapInArrow(check, "a long, b long"))
+
+    def across(self, open_: DataFrame, minor: DataFrame) -> DataFrame:
+        """Links between components: minor classes (token, cid, component) against all open ones, in pairs of blocks."""
+        homes = self.posts.groupBy("token").agg(F.min("cid").alias("home"))
+        home = materialize(open_.select("token", "cid").join(homes, "token").groupBy("cid").agg(F.min("home").alias("home")))
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            members = rows.select("cid").distinct().join(home, "cid")
+            sizes = members.groupBy("home").agg(F.count("*").alias("n"))
+            block = F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / BLOCK_CLASSES)))
+            return materialize(members.join(sizes, "home").select("cid", block.alias("block")))
+
+        left, right = dealt(minor), dealt(open_)
+        lists_left = minor.join(left, "cid").select("token", F.col("block").alias("p")).distinct()
+        lists_right = open_.join(right, "cid").select("token", F.col("block").alias("q")).distinct()
+        met = materialize(lists_left.join(lists_right, "token").select("p", "q").distinct())
+        component = open_.select("cid", "component").distinct()
+        known = self.sets.join(component, "cid")
+        x = met.join(left, met["p"] == left["block"]).select("p", "q", "cid").join(known, "cid").select("p", "q", "cid", "component", "signature", "shingles")
+        y = met.join(right, met["q"] == right["block"]).select("p", "q", "cid").join(known, "cid").select(F.col("p").alias("r"), F.col("q").alias("s"), F.col("cid").alias("c"), F.col("component").alias("k"), F.col("signature").alias("g"), F.col("shingles").alias("x"))
+
+        def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+            def unpack(t):
+                _, _, cid, component, signatures, shingles = (t.column(i).to_pylist() for i in range(6))
+                own = np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, COORDINATES)
+                return cid, component, own, [np.frombuffer(s, np.uint64) for s in shingles]
+
+            out, top = [], {}
+
+            def root(c):
+                while c in top:
+                    c = top[c]
+                return c
+
+            if a.num_rows and b.num_rows:
+                ids, parts, own, sets = unpack(a)
+                ids2, parts2, own2, sets2 = unpack(b)
+                for at in range(0, len(ids), 64):
+                    rows, columns = np.nonzero(_matches(own[at : at + 64], own2) >= MATCHES)
+                    for i, j in zip((rows + at).tolist(), columns.tolist(), strict=True):
+                        c, d = root(parts[i]), root(parts2[j])
+                        if c != d and _similar(sets[i], sets2[j]):
+                            out.append((ids[i], ids2[j]))
+                            top[max(c, d)] = min(c, d)
+            return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+        return materialize(x.groupBy("p", "q").cogroup(y.groupBy("r", "s")).applyInArrow(compare, "a long, b long"))
+
+
+def _components(index: _Index) -> DataFrame:
     """(cid, component) of every class that posted."""
-    spark = posts.sparkSession
-    nodes = materialize(posts.select("cid").distinct())
+    spark = index.posts.sparkSession
     links = spark.createDataFrame([], "a long, b long")
-    labels = nodes.select("cid", F.col("cid").alias("component"))
-    for number in range(ROUNDS + 1):
-        posted = posts.join(labels, "cid")
-        lists = posted.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max_by(F.struct("cid", "component"), F.xxhash64("component", "cid", F.lit(number))).alias("pivot"))
-        open_ = materialize(posted.join(lists.where("c0 <> c1").select("token", "pivot"), "token"))
+    labels = index.weights.select("cid", F.col("cid").alias("component"), "weight")
+    for last in (False, False, True):
+        posted = index.posts.join(labels, "cid")
+        spans = posted.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
+        open_ = materialize(posted.join(spans, "token"))
         if open_.isEmpty():
             break
-        if number < ROUNDS:
-            pair = F.min_by(F.col("pivot.cid"), F.xxhash64("token", F.lit(number)))
-            pairs = open_.where("pivot.component <> component").groupBy("cid").agg(pair.alias("other"))
-            pairs = pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+        sizes = open_.groupBy("token", "component").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"))
+        first = links.isEmpty()  # every class is still alone
+        minor = open_.join(largest, "token").where(F.lit(first) | (F.col("component") != F.col("largest"))).select("token", "cid", "component", "weight")
+        if last:
+            new = index.across(open_, minor.drop("weight"))
         else:
-            # of each list, classes outside its largest component meet all classes of other components
-            sizes = open_.groupBy("token", "component").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-            rows = open_.select("token", "cid", "component")
-            minor = rows.join(largest, "token").where("component <> largest").select("token", F.col("cid").alias("x"), F.col("component").alias("cx"))
-            pairs = minor.join(rows, "token").where("component <> cx").select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).distinct()
-        links = links.union(verifier.links(pairs))
+            hub = F.max_by(F.struct("weight", "cid", "component"), F.struct("weight", "cid")).alias("hub")
+            met = minor.join(minor.groupBy("token").agg(hub), "token").where("hub.component <> component")
+            pairs = met.groupBy("cid").agg(F.max_by(F.col("hub.cid"), F.struct("hub.weight", "hub.cid")).alias("b"))
+            new = index.confirmed(pairs.select(F.col("cid").alias("a"), "b"))
+        links = links.union(new)
         joined = connected_components(links)
-        labels = materialize(nodes.join(joined, nodes["cid"] == joined["id"], "left").select("cid", F.coalesce("component", "cid").alias("component")))
+        labels = index.weights.join(joined, index.weights["cid"] == joined["id"], "left").select("cid", F.coalesce("component", "cid").alias("component"), "weight")
+        labels = materialize(labels)
     return labels
 
 
@@ -190,11 +236,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _sketch(docs)
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x"))
     classes = materialize(classes.select("fp", "x.doc_id", "x.h", "x.signature", F.monotonically_increasing_id().alias("cid")))
-    posts = _posted(classes)
-    if posts.isEmpty():
+    index = _Index(docs, classes)
+    if index.weights.isEmpty():
         found = classes.select("fp", F.col("doc_id").alias("component_id"))
     else:
-        labels = _components(posts, _Verifier(docs, classes, posts))
+        labels = _components(index)
         whole = classes.join(labels, "cid", "left").select("fp", "doc_id", F.coalesce("component", "cid").alias("component"))
         least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         found = materialize(whole.join(least, "component").select("fp", "component_id"))
@@ -203,6 +249,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, as they are; repeated rows of one document count as that document."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
