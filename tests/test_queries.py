@@ -15,7 +15,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if isinstance(v, float):
             return f"{v:.6g}"

@@ -88,3 +88,52 @@ def session_tracks(t: Tables):
     start = F.hour("ts") * 60.0 + F.minute("ts")
     rows = t.events.select("event_id", "user_id", F.to_date("ts").alias("day"), start.alias("start"), (start + F.col("value")).alias("end"))
     return rows.groupBy("user_id", "day").applyInPandas(pack, "event_id long, track long")
+
+
+def _tokens(text, least: int = 3):
+    """Distinct lower-cased runs of ASCII letters and digits of ``least`` characters or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) >= least))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, list_distinct([x for x in regexp_split_to_array(lower(p_name), '[^a-z0-9]+') if length(x) >= 3]) AS a, list_distinct([x for x in regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+') if length(x) >= 3]) AS b FROM part)
+SELECT p_partkey, len(a) > 0 AND len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) >= 0.4 AS agrees FROM w
+""")
+def token_overlap(t: Tables):
+    """Whether two titles share 0.4 or more of their tokens."""
+    a, b = _tokens(F.col("p_name")), _tokens(F.concat_ws(" ", "p_name", "p_type"))
+    share = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return t.part.select("p_partkey", ((F.size(a) > 0) & F.coalesce(share >= 0.4, F.lit(False))).alias("agrees"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS isbn, p_name AS title FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40),
+k AS (SELECT p_partkey, p_name FROM part WHERE p_size > 10), n AS (SELECT lower(p_name) AS title, min(p_partkey) AS id FROM k GROUP BY 1), w AS (SELECT DISTINCT lower(p_name) AS title FROM part WHERE p_size <= 10)
+SELECT r.l_orderkey, r.l_linenumber, coalesce(k.p_partkey, n.id) AS owned, w.title IS NOT NULL AS wanted
+FROM r LEFT JOIN k ON k.p_partkey = r.isbn LEFT JOIN n ON n.title = lower(r.title) LEFT JOIN w ON w.title = lower(r.title)
+""")
+def owned_results(t: Tables):
+    """Search results marked as owned, by identifier first and then by normalised title, and as wanted."""
+    line = t.lineitem.where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey")
+    r = line.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("isbn"), F.lower("p_name").alias("title"))
+    held = t.part.where("p_size > 10")
+    by_id = held.select(F.col("p_partkey").alias("isbn"), F.col("p_partkey").alias("a"))
+    by_title = held.groupBy(F.lower("p_name").alias("title")).agg(F.min("p_partkey").alias("b"))
+    wished = t.part.where("p_size <= 10").select(F.lower("p_name").alias("title"), F.lit(True).alias("w")).distinct()
+    x = r.join(by_id, "isbn", "left").join(by_title, "title", "left").join(wished, "title", "left")
+    return x.select("l_orderkey", "l_linenumber", F.coalesce("a", "b").alias("owned"), F.coalesce("w", F.lit(False)).alias("wanted"))
+
+
+@query("SELECT p_partkey, replace(p_brand, '#', ' ') AS author FROM part WHERE p_size % 3 < 2")
+def authors_of_file_names(t: Tables):
+    """Author taken from "Last, First - Title" or "Title - Author", where the title part agrees and the rest can be a name."""
+    last, first = F.regexp_extract("p_brand", r"#(\d+)", 1), F.regexp_extract("p_brand", r"^(\w+)#", 1)
+    kind = F.col("p_size") % 3
+    name = F.when(kind == 0, F.concat(last, F.lit(", "), first, F.lit(" - "), F.col("p_name"))).when(kind == 1, F.concat("p_name", F.lit(" - "), first, F.lit(" "), last)).otherwise(F.col("p_name"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    parts = F.split(name, " - ")
+    left, right = F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
+    title = plain(F.col("p_name"))
+    other = F.when(plain(right) == title, left).when(plain(left) == title, right)
+    turned = F.trim(F.regexp_replace(other, r"^([^,]*),\s*(.+)$", "$2 $1"))
+    return t.part.select("p_partkey", turned.alias("author")).where("author is not null")
