@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACE, materialize, small_batches, text_or_empty
+from ._common import SPACE, materialize, partitions, small_batches, text_or_empty
 
 #: Fixed values of the contract: weights by a source's rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -221,7 +221,8 @@ def _slots(targets: DataFrame, block: int, slots_per_shard: int, seed: int) -> D
                 # slots of a shard are dealt among its sources in turn, not source after source
                 yield pa.RecordBatch.from_arrays([*names, pa.array(index), pa.array(passes), pa.array(np.full(len(k), r["shard"])), pa.array(r["place"] + np.arange(len(k))), pa.array(words)], ["key", "none", "block", "pass", "shard", "slot", "words"])
 
-    slots = runs.mapInArrow(fill, "key string, none boolean, block long, pass long, shard long, slot long, words long")
+    # a run is one short row but fills thousands of slots, so runs are dealt by number and not by size
+    slots = runs.repartition(partitions(spark), "shard", "number").mapInArrow(fill, "key string, none boolean, block long, pass long, shard long, slot long, words long")
     return slots.select(F.when(~F.col("none"), F.col("key")).alias("source"), "block", "pass", "shard", "slot", "words")
 
 
