@@ -2,10 +2,12 @@
 
 1. Every document is encoded once and written; each task adds the document frequency of every id it saw. The sums
    (one number an id of the vocabulary: fixed size) give the BM25 statistics of the whole corpus.
-2. Documents are range-partitioned by a lexical key: three min-hashes of their ids, then a hash of doc_id, so like
-   documents come together and a large group of copies still spreads over tasks. Within a partition, runs of
+2. A document fills whole windows by itself as far as it can; those never move. What is left of it, under one window
+   of ids, goes on, so that a task's share doesn't depend on how long its documents are.
+   The rests are range-partitioned by a lexical key: three min-hashes of their ids, then a hash of doc_id, so like
+   ones come together and a large group of copies still spreads over tasks. Within a partition, runs of
    ``shard_tokens`` ids form the shards; a shard's inverted index is all that a task holds.
-3. In a shard, the next unused document (in key order) is the seed. Its ids query the index; unused neighbours by
+3. In a shard, the next unused rest (in key order) is the seed. Its ids query the index; unused neighbours by
    falling score fill the window. A document that overflows is cut, and what is left of it seeds the next window.
    The last window of a shard is cut into powers of two, which need no padding.
 
@@ -31,24 +33,28 @@ from ._tokens import default_vocabulary, encoder
 K1, B = 1.2, 0.75
 
 
-def _encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, key) for each document; one row a task with doc_id null and the statistics instead."""
+def _encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataFrame:
+    """(doc_id, ids, key) for each document, the key from what its full windows leave; one row a task with statistics."""
 
     def run(batches):
         encode = encoder(vocabulary)
         end = np.array([end_id], encode.dtype).tobytes()
         orders = np.random.default_rng(7).permuted(np.tile(np.arange(encode.size, dtype=np.int64), (3, 1)), axis=1)
-        frequency, count, length = np.zeros(encode.size, np.int64), 0, 0
+        frequency, seen, count, length = np.zeros(encode.size, np.int64), np.zeros(encode.size, bool), 0, 0
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64()), ("stats", pa.binary())])
         for batch in batches:
             bodies, keys = [], []
             for text in batch[1].to_pylist():
                 body = encode(text) + end
-                ids = np.unique(np.frombuffer(body, encode.dtype))
-                frequency[ids] += 1
-                count, length = count + 1, length + len(body) // encode.dtype.itemsize
-                own = ids[ids != end_id]
-                a, b, c = orders[:, own if len(own) else ids].min(1).tolist()
+                ids = np.frombuffer(body, encode.dtype)
+                count, length = count + 1, length + len(ids)
+                seen[ids] = True
+                distinct = np.flatnonzero(seen)
+                frequency[distinct] += 1
+                seen[distinct] = False
+                rest = ids[len(ids) // window * window :]
+                own = rest[rest != end_id]
+                a, b, c = orders[:, own].min(1).tolist() if len(own) else (0, 0, 0)
                 keys.append((a << 40) | (b << 20) | c)
                 bodies.append(body)
             yield pa.RecordBatch.from_arrays([batch[0].cast(pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.binary())], schema=schema)
@@ -160,12 +166,27 @@ def _powers(pieces: list[tuple[int, int, int]], window: int):
             yield out
 
 
-def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | None = None, shard_tokens: int = 1_500_000) -> DataFrame:
+SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
+COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Set in the sequence ids of windows that one document fills alone.
+ALONE = 1 << 62
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def _piece(doc_id, ids: np.ndarray, start: int, total: int, sequence: int, offset: int) -> tuple:
+    raw = ids.astype("<u4").tobytes()
+    return doc_id, start, len(ids), zlib.crc32(raw), total, sequence, offset, raw
+
+
+def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str | None = None, shard_tokens: int = 1_000_000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes)."""
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = vocabulary or default_vocabulary()
-    encoded = _encode(docs, vocabulary, end_id)
+    encoded = _encode(docs, vocabulary, end_id, window)
     totals = _statistics(encoded)
     if len(totals) == 1:
         totals = np.zeros(3, np.int64)
@@ -173,12 +194,27 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
     weights = np.maximum(0, np.log((documents - frequency + 0.5) / (frequency + 0.5))) * (frequency > 0)
     mean = length / max(documents, 1)
     width = 2 if len(frequency) <= 1 << 16 else 4
+    kind = "<u2" if width == 2 else "<u4"
     shared = spark.sparkContext.broadcast(weights)  # one number an id of the vocabulary
 
-    def run(batches):
+    def alone(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            rows = []
+            for doc_id, body in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                ids = np.frombuffer(body, kind)
+                for start in range(0, len(ids) - window + 1, window):
+                    rows.append(_piece(doc_id, ids[start : start + window], start, len(ids), ALONE | (part << 36) | number, 0))
+                    number += 1
+                    if len(rows) >= 2000:
+                        yield _batch(rows)
+                        rows = []
+            if rows:
+                yield _batch(rows)
+
+    def together(batches):
         part, number = TaskContext.get().partitionId(), 0
         names, arrays, size = [], [], 0
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
         def flush():
             nonlocal names, arrays, size, number
@@ -187,31 +223,36 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
                 for pieces in _powers(full, window):
                     offset = 0
                     for doc, start, count in pieces:
-                        ids = arrays[doc][start : start + count].astype("<u4").tobytes()
-                        rows.append((names[doc], start, count, zlib.crc32(ids), len(arrays[doc]), (part << 36) | number, offset, ids))
+                        doc_id, total, before = names[doc]
+                        rows.append(_piece(doc_id, arrays[doc][start : start + count], before + start, total, (part << 36) | number, offset))
                         offset += count
                     number += 1
                     if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        yield _batch(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _batch(rows)
             names, arrays, size = [], [], 0
 
         for batch in batches:
-            for doc_id, ids in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                names.append(doc_id)
-                arrays.append(np.frombuffer(ids, "<u2" if width == 2 else "<u4"))
+            for doc_id, total, rest in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+                arrays.append(np.frombuffer(rest, kind))
+                names.append((doc_id, total, total - len(arrays[-1])))
                 size += len(arrays[-1])
                 if size >= shard_tokens:
                     yield from flush()
         if names:
             yield from flush()
 
-    salted = encoded.where("ids is not null").select("doc_id", "ids", "key", F.xxhash64("doc_id").alias("salt"))
-    shards = salted.repartitionByRange(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
-    packed = shards.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
-    return packed
+    whole = encoded.where("ids is not null").withColumn("total", F.octet_length("ids") / F.lit(width))
+    whole = whole.withColumn("total", F.col("total").cast("long"))
+    long_ones = whole.where(F.col("total") >= window).select("doc_id", "ids").mapInArrow(alone, COLUMNS)
+    left = (F.col("total") % window).cast("int")
+    rests = whole.where(left > 0).select(
+        "doc_id", "total", F.substring(F.col("ids"), ((F.col("total") - left) * width + 1).cast("int"), left * width).alias("rest"), "key", F.xxhash64("doc_id").alias("salt")
+    )
+    shards = rests.repartitionByRange(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
+    return shards.select("doc_id", "total", "rest").mapInArrow(together, COLUMNS).union(long_ones)
 
 
 def op2_lexical_packing(spark, sf_dir: str) -> DataFrame:
