@@ -138,6 +138,32 @@ def test_packing_prefers_lexical_neighbours():
     assert [[p[0] for p in w] for w in windows] == [[0, 2], [1, 3]]
 
 
+def test_packing_scores_whole_documents(spark):
+    # each long document's first window has words of its own, its rest only words that all have; one short document has the former
+    draw = random.Random(8)
+    common = "time year people way day man thing woman life child".split()
+    own = [[f"{a}{b}" for b in ("zeb", "quag", "lyn", "yak")] for a in ("ka", "mo", "ru", "se", "ti", "vo")]
+    filler = lambda n: " ".join(draw.choice(common) for _ in range(n))
+    long_ones = [(i, " ".join(w * 12) + " " + filler(40)) for i, w in enumerate(own)]
+    partners = [(100 + i, " ".join(w)) for i, w in enumerate(own)]
+    others = [(200 + i, filler(12)) for i in range(60)]
+    docs = spark.createDataFrame(long_ones + partners + others, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = packing.pack(docs, window=64).collect()
+        keys = {r.doc_id: r.key for r in packing._encode(docs, default_vocabulary(), 1, 64).where("doc_id is not null").collect()}
+        same = spark.createDataFrame([(0, " zeta eta" * 40 + " mu"), (1, " zeta eta mu")], "doc_id long, text string")
+        same = [r.key for r in packing._encode(same, default_vocabulary(), 1, 64).where("doc_id is not null").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(keys) == 72 and same[0] == same[1]
+    places = collections.defaultdict(set)
+    for r in rows:
+        places[r.doc_id].add(r.sequence_id)
+    assert [bool(places[i] & places[100 + i]) for i in range(6)] == [True] * 6
+
+
 def test_exact_dedup(spark, docs, empty, texts):
     plain = {i: re.sub(r"[\x20\x09-\x0D]", "", t or "") for i, t in enumerate(texts)}
     for block in (3, 1024):

@@ -3,12 +3,13 @@
 1. Every document is encoded once and written; each task adds the document frequency of every id it saw. The sums
    (one number an id of the vocabulary: fixed size) give the BM25 statistics of the whole corpus.
 2. A document fills whole windows by itself as far as it can; those never move. What is left of it, under one window
-   of ids, goes on, so that a task's share doesn't depend on how long its documents are.
-   The rests are range-partitioned by a lexical key: three min-hashes of their ids, then a hash of doc_id, so like
-   ones come together and a large group of copies still spreads over tasks. Within a partition, runs of
-   ``shard_tokens`` ids form the shards; a shard's inverted index is all that a task holds.
-3. In a shard, the next unused rest (in key order) is the seed. Its ids query the index; unused neighbours by
-   falling score fill the window. A document that overflows is cut, and what is left of it seeds the next window.
+   of ids, goes on, so that a task's share doesn't depend on how long its documents are. A rest takes the distinct ids
+   of its whole document and their counts along: they, not the rest's own ids, are its key, its postings and its query.
+   The rests are range-partitioned by a lexical key: three min-hashes of the document's ids, then a hash of doc_id, so
+   like ones come together and a large group of copies still spreads over tasks. Within a partition, runs of
+   ``shard_tokens`` ids (or as many postings) form the shards; a shard's inverted index is all that a task holds.
+3. In a shard, the next unused rest (in key order) is the seed. Its document's ids query the index; unused neighbours
+   by falling score fill the window. A document that overflows is cut, and what is left of it seeds the next window.
    The last window of a shard is cut into powers of two, which need no padding.
 
 Defined results: a null or empty text has the end id only; repeated rows are packed once each; documents that share
@@ -34,16 +35,17 @@ K1, B = 1.2, 0.75
 
 
 def _encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataFrame:
-    """(doc_id, ids, key) for each document, the key from what its full windows leave; one row a task with statistics."""
+    """(doc_id, ids, key, terms) for each document, terms (distinct ids, then their counts) where a full window leaves a rest;
+    one row a task with statistics."""
 
     def run(batches):
         encode = encoder(vocabulary)
         end = np.array([end_id], encode.dtype).tobytes()
         orders = np.random.default_rng(7).permuted(np.tile(np.arange(encode.size, dtype=np.int64), (3, 1)), axis=1)
         frequency, seen, count, length = np.zeros(encode.size, np.int64), np.zeros(encode.size, bool), 0, 0
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64()), ("stats", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64()), ("terms", pa.binary()), ("stats", pa.binary())])
         for batch in batches:
-            bodies, keys = [], []
+            bodies, keys, terms = [], [], []
             for text in batch[1].to_pylist():
                 body = encode(text) + end
                 ids = np.frombuffer(body, encode.dtype)
@@ -52,18 +54,21 @@ def _encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataF
                 distinct = np.flatnonzero(seen)
                 frequency[distinct] += 1
                 seen[distinct] = False
-                rest = ids[len(ids) // window * window :]
-                own = rest[rest != end_id]
+                own = distinct[distinct != end_id]
                 a, b, c = orders[:, own].min(1).tolist() if len(own) else (0, 0, 0)
                 keys.append((a << 40) | (b << 20) | c)
                 bodies.append(body)
-            yield pa.RecordBatch.from_arrays([batch[0].cast(pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.binary())], schema=schema)
+                split = len(ids) > window and len(ids) % window
+                terms.append(distinct.astype(encode.dtype).tobytes() + np.bincount(ids)[distinct].astype("<u4").tobytes() if split else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch[0].cast(pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.int64()), pa.array(terms, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema
+            )
         if count:
             stats = np.concatenate([[count, length], frequency]).astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(stats, 1)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(stats, 1)], pa.binary())], schema=schema)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return materialize(chosen.mapInArrow(run, "doc_id long, ids binary, key long, stats binary"))
+    return materialize(chosen.mapInArrow(run, "doc_id long, ids binary, key long, terms binary, stats binary"))
 
 
 def _statistics(encoded: DataFrame) -> np.ndarray:
@@ -82,15 +87,26 @@ def _statistics(encoded: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(zlib.decompress(r.stats), "<i8") for r in rows), np.zeros(1, np.int64))
 
 
-def _pieces(arrays: list[np.ndarray], weights: np.ndarray, mean: float, window: int):
-    """Pack one shard: yields lists of (document, start, length), one list a window."""
-    n = len(arrays)
+def _pieces(arrays: list[np.ndarray], weights: np.ndarray, mean: float, window: int, wholes: dict[int, tuple] | None = None):
+    """Pack one shard: yields lists of (document, start, length), one list a window.
+
+    wholes: for the arrays that are rests, their document's (length, distinct ids, counts); they are scored by these.
+    """
+    n, wholes = len(arrays), wholes or {}
     sizes = np.array([len(a) for a in arrays], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
-    flat = np.concatenate(arrays).astype(np.int64)
-    pairs, tf = np.unique(flat * n + owner, return_counts=True)
+    lengths = sizes.copy()
+    plain = np.ones(n, bool)
+    for i, (total, _, _) in wholes.items():
+        lengths[i], plain[i] = total, False
+    flat = np.concatenate([np.zeros(0, np.int64), *(a for a, p in zip(arrays, plain, strict=True) if p)])
+    pairs, tf = np.unique(flat * n + np.repeat(np.flatnonzero(plain), sizes[plain]), return_counts=True)
+    if wholes:
+        pairs = np.concatenate([pairs, *(ids.astype(np.int64) * n + i for i, (_, ids, _) in wholes.items())])
+        tf = np.concatenate([tf, *(counts for _, _, counts in wholes.values())])
+        order = np.argsort(pairs, kind="stable")
+        pairs, tf = pairs[order], tf[order]
     term, doc = pairs // n, (pairs % n).astype(np.int64)
-    weight = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+    weight = weights[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
     some = weight > 0
     term, doc, weight = term[some], doc[some], weight[some]
     posted, first = np.unique(term, return_index=True)
@@ -214,12 +230,12 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
 
     def together(batches):
         part, number = TaskContext.get().partitionId(), 0
-        names, arrays, size = [], [], 0
+        names, arrays, wholes, size, postings = [], [], {}, 0, 0
 
         def flush():
-            nonlocal names, arrays, size, number
+            nonlocal names, arrays, wholes, size, postings, number
             rows = []
-            for full in _pieces(arrays, shared.value, mean, window):
+            for full in _pieces(arrays, shared.value, mean, window, wholes):
                 for pieces in _powers(full, window):
                     offset = 0
                     for doc, start, count in pieces:
@@ -232,14 +248,20 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
                         rows = []
             if rows:
                 yield _batch(rows)
-            names, arrays, size = [], [], 0
+            names, arrays, wholes, size, postings = [], [], {}, 0, 0
 
         for batch in batches:
-            for doc_id, total, rest in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+            for doc_id, total, rest, terms in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
                 arrays.append(np.frombuffer(rest, kind))
                 names.append((doc_id, total, total - len(arrays[-1])))
                 size += len(arrays[-1])
-                if size >= shard_tokens:
+                if terms is None:
+                    postings += len(arrays[-1])
+                else:
+                    distinct = len(terms) // (width + 4)
+                    wholes[len(arrays) - 1] = total, np.frombuffer(terms, kind, distinct), np.frombuffer(terms, "<u4", distinct, distinct * width)
+                    postings += distinct
+                if max(size, postings) >= shard_tokens:
                     yield from flush()
         if names:
             yield from flush()
@@ -249,10 +271,10 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
     long_ones = whole.where(F.col("total") >= window).select("doc_id", "ids").mapInArrow(alone, COLUMNS)
     left = (F.col("total") % window).cast("int")
     rests = whole.where(left > 0).select(
-        "doc_id", "total", F.substring(F.col("ids"), ((F.col("total") - left) * width + 1).cast("int"), left * width).alias("rest"), "key", F.xxhash64("doc_id").alias("salt")
+        "doc_id", "total", F.substring(F.col("ids"), ((F.col("total") - left) * width + 1).cast("int"), left * width).alias("rest"), "terms", "key", F.xxhash64("doc_id").alias("salt")
     )
     shards = rests.repartitionByRange(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
-    return shards.select("doc_id", "total", "rest").mapInArrow(together, COLUMNS).union(long_ones)
+    return shards.select("doc_id", "total", "rest", "terms").mapInArrow(together, COLUMNS).union(long_ones)
 
 
 def op2_lexical_packing(spark, sf_dir: str) -> DataFrame:
