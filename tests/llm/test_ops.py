@@ -386,6 +386,26 @@ def test_toxicity_holds_out_and_learns(spark):
     assert [i for i in range(900) if flags[i]] == held
 
 
+def test_toxicity_threshold_holds_for_a_bounded_sample(spark):
+    # one of ten rows is toxic, half of these without a telling word; the bounded sample has as many toxic as ordinary rows
+    draw = random.Random(9)
+    syllables = ["an", "er", "th", "on", "re", "sh", "ble", "ing"]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 4)))
+    texts, labels = [], []
+    for i in range(2400):
+        words = [word() for _ in range(draw.randint(20, 60))]
+        for _ in range(4 if i % 20 == 0 else 0):
+            words.insert(draw.randrange(len(words)), draw.choice(["zorgface", "plimwit", "kruddle", "vexhead"]))
+        texts.append(" ".join(words))
+        labels.append((i, 1, int(i % 10 == 0)))
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(*toxicity.sample_rows(docs, known, 240))).collect()}
+    assert 0.05 < sum(r.score for r in found.values()) / 2400 < 0.15
+    assert sum(found[i].predicted for i in range(2400) if i % 10) / 2160 < 0.05
+    assert sum(found[i].predicted for i in range(0, 2400, 20)) / 120 > 0.9
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (600, 600)]
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

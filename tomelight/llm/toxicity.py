@@ -7,7 +7,9 @@ several where toxic text recurs. A document's windows cover its whole text; the
 against all its windows, gives its score through a logistic curve that is calibrated on rows the dictionaries didn't see.
 
 Training, on the driver, uses at most ``SAMPLE`` labelled rows (``TOXIC_SHARE`` of them toxic at most), drawn by a hash of
-doc_id; the bound is independent of the corpus. Only rows whose crc32(doc_id) mod 4 is not 2 are drawn.
+doc_id; the bound is independent of the corpus. Only rows whose crc32(doc_id) mod 4 is not 2 are drawn. Where the bound
+draws a smaller share of one class than of the other, the curve's intercept is moved back by the logarithm of their ratio,
+so a score is the probability among all labelled rows and the threshold means the same at every size.
 
 1. The ordinary dictionary is trained on windows of ordinary rows.
 2. The toxic dictionary is trained on windows of toxic rows, reduced to words with runs of letters that are
@@ -179,8 +181,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((z * w[:-1]).sum(1) + w[-1], -30, 30)))
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Two of three rows train the dictionaries, the third calibrates the curve."""
+def train(texts: list[str], labels: list[int], drawn: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Two of three rows train the dictionaries, the third calibrates the curve. drawn: the shares of all ordinary and of all
+    toxic rows that were sampled; the curve's odds are those of all rows."""
     learn = [[t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == k and i % 3 < 2] for k in (0, 1)]
     ordinary_windows, toxic_windows = _pieces(learn[0]), _pieces(learn[1])
     if not ordinary_windows or not toxic_windows:
@@ -201,18 +204,23 @@ def train(texts: list[str], labels: list[int]) -> Model:
     y = np.array([r[1] for r in rows], np.float64)
     if len(set(y.tolist())) == 2:
         model.curve = fit_curve(np.array([r[0] for r in rows]), y)
+        model.curve[2, -1] += np.log(drawn[0] / drawn[1])
     return model
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts outside the held-out fold, the first by a hash of doc_id in each class."""
+def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], list[int], tuple[float, float]]:
+    """At most ``rows`` labelled texts outside the held-out fold, the first by a hash of doc_id in each class; their labels;
+    the shares of all such ordinary and toxic rows that this is."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(int(rows * TOXIC_SHARE)).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(rows - int(rows * TOXIC_SHARE)))
+    most = rows - int(rows * TOXIC_SHARE), int(rows * TOXIC_SHARE)
+    chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(most[1]).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(most[0]))
+    counts = dict(known.groupBy("toxic").count().collect())
+    drawn = tuple(min(1.0, most[k] / counts.get(k, 1)) for k in (0, 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()) // 4, r.doc_id, r.text))
-    return [r.text for r in found], [r.toxic for r in found]
+    return [r.text for r in found], [r.toxic for r in found], drawn
 
 
 def held_out(doc_id):
