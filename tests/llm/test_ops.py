@@ -406,6 +406,31 @@ def test_toxicity_threshold_holds_for_a_bounded_sample(spark):
     assert sum(found[i].predicted for i in range(0, 2400, 20)) / 120 > 0.9
 
 
+def test_toxicity_windows_are_bounded():
+    for text in ("字" * 5000, "x" + "é" * 4000, "😀" * 3000, "a" * 10_000 + " b", "one\u00a0word" * 2000, "plain words " * 500, "x" * 161):
+        data, cuts = toxicity.windows(text)
+        assert b"".join(data[a : a + n] for a, n in cuts.tolist()) == text.encode() and 0 < cuts[:, 1].min() and cuts[:, 1].max() < 240
+        assert [data[a : a + n].decode() for a, n in cuts.tolist()]
+    draw = random.Random(8)
+    syllables = ["an", "er", "th", "on", "re", "sh", "ble", "ing"]
+    word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 4)))
+    bad = ["zorgface", "plimwit", "kruddle", "vexhead"]
+    texts, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(draw.randint(20, 150))]
+        for _ in range(draw.randint(2, 5) if i % 4 == 0 else 0):
+            words.insert(draw.randrange(len(words)), draw.choice(bad))
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    model = toxicity.train(texts, labels)
+    # no space for some 200 KB; every 40th word of the toxic text is telling
+    clean = "\u00a0".join(word() for _ in range(30_000))
+    toxic = "\u00a0".join(draw.choice(bad) if i % 40 == 0 else word() for i in range(30_000))
+    low, high = model.scores(np.array([model.evidence(clean), model.evidence(toxic)]))
+    assert low < toxicity.THRESHOLD <= high
+    assert (model.gains(*toxicity.windows(toxic)) >= 2).sum() > 300
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (600, 600)]
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

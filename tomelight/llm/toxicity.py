@@ -43,6 +43,8 @@ SAMPLE, TOXIC_SHARE = 6000, 0.5
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 3 << 10
 ROUNDS = 3
 THRESHOLD = 0.3
+#: A window ends at white space if there is some within so many bytes past its size, else between two characters.
+REACH = 80
 #: Distances counted apart, in bytes: 1, 2, ... and this many or more.
 STEPS = 6
 
@@ -51,15 +53,22 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def windows(text: str, size: int = WINDOW) -> tuple[bytes, np.ndarray]:
-    """(bytes, rows of offset and length): the whole text, lower-cased, cut before the first space after each ``size`` bytes."""
+    """(bytes, rows of offset and length): the whole text, lower-cased, cut after each ``size`` bytes: before the first space
+    within ``REACH`` bytes, or else before the next character. No window has ``size + REACH`` bytes or more, whatever the script."""
     data = text.lower().encode("utf-8", "replace")
     if not data:
         return data, np.zeros((0, 2), np.uint64)
     raw = np.frombuffer(data, np.uint8)
-    spaces = np.flatnonzero(_SPACE[raw])
+    spaces = np.append(np.flatnonzero(_SPACE[raw]), len(raw))
     marks = np.arange(size, len(raw), size)
-    at = np.searchsorted(spaces, marks)
-    cuts = np.unique(np.concatenate([[0], spaces[at[at < len(spaces)]], [len(raw)]]))
+    ends = spaces[np.searchsorted(spaces, marks)]
+    far = ends - marks >= min(REACH, size)
+    if far.any():
+        inside = marks[far]
+        for _ in range(3):  # a character's bytes after its first
+            inside = inside + ((raw[np.minimum(inside, len(raw) - 1)] & 0xC0) == 0x80)
+        ends[far] = np.minimum(inside, len(raw))
+    cuts = np.unique(np.concatenate([[0], ends, [len(raw)]]))
     return data, np.stack([cuts[:-1], np.diff(cuts)], 1).astype(np.uint64)
 
 
