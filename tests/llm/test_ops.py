@@ -70,6 +70,15 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encode(text), encode.dtype).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_equals_a_fresh_library_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    encode, library = Encoder(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  z", "<|endoftext", "one two\n<|endoftext|>"):
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(encode("a <|endoftext|> b"), encode.dtype).tolist() == [64, 220, 50256, 275]
+
+
 def plain_ids(text, end):
     encode = Encoder(default_vocabulary())
     return [*encode.tokenizer.encode(text or "", add_special_tokens=False).ids, end]

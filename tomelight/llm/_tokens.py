@@ -64,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Contents of the vocabulary's added tokens: the library finds them before it splits, so texts with one go to it whole.
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.characters = self.tokenizer.model, _byte_characters()
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -88,7 +89,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if _ODD.search(text) or any(content in text for content in self.added):
             return self.whole(text)
         if _RUN.search(text):
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
