@@ -351,6 +351,21 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_recall_at_the_threshold(spark):
+    draw, n = np.random.default_rng(6), 8000
+    a = draw.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = draw.standard_normal((n, 64))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    cosine = 0.9 + 1e-9
+    pairs = np.stack([a, cosine * a + np.sqrt(1 - cosine**2) * b], 1).reshape(-1, 64)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(pairs.tolist())], "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_vectors(table).groupBy().sum("n_links").first()[0]
+    print("recall", found / 2 / n)
+    assert 0.999 <= found / 2 / n <= 1
+
+
 def page(article, extra=""):
     return f'<html><head><title>t</title><style>p{{}}</style></head><body><nav><a href="/x">Home</a></nav>{article}{extra}<footer>&copy; foot</footer></body></html>'
 
