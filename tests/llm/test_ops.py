@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,26 +63,39 @@ def smallest_reached(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-def test_encoder_equals_the_library():
-    encode, draw = Encoder(default_vocabulary()), random.Random(1)
-    parts = [" ", "\n", "\t", "'s", "ab", "é", "12", "!", " ", " ", " w", "<|endoftext|>", "'ll", "'", "字", "\r\n", "\x1c", "\x85", "😀", "%%%"]
-    for _ in range(3000):
-        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 12)))
-        assert np.frombuffer(encode(text), encode.dtype).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+def library():
+    """The library as it comes, apart from the encoder's own object."""
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(default_vocabulary())
 
-def test_encoder_equals_a_fresh_library_with_added_tokens():
-    from tokenizers import Tokenizer
 
-    encode, library = Encoder(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+def test_encoder_equals_the_library():
+    encode, known, draw = Encoder(default_vocabulary(), 500), library(), random.Random(1)
+    parts = [" ", "\n", "\t", "'s", "ab", "é", "12", "!", " ", " ", " w", "<|endoftext|>", "'ll", "'", "字", "\r\n", "\x1c", "\x85", "😀", "%%%", "  ", "\n\n", "\u00a0", "\u3000", "\u200b", "x\u0301"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(6000)]
+    texts += ["".join(draw.choice(parts[:10]) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+    wanted = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encode(t), encode.dtype).tolist() for t in texts] == wanted
+    for at in range(0, len(texts), 450):
+        ids, bounds = encode.batch(pa.array([*texts[at : at + 450], None]), 7)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [*([*w, 7] for w in wanted[at : at + 450]), [7]]
+    assert encode.batch(pa.array([], pa.string()), 7)[1].tolist() == [0]
+
+
+def test_encoder_finds_added_tokens():
+    encode, known = Encoder(default_vocabulary()), library()
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  z", "<|endoftext", "one two\n<|endoftext|>"):
-        assert np.frombuffer(encode(text), encode.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        wanted = known.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text), encode.dtype).tolist() == wanted, repr(text)
+        assert encode.batch(pa.array(["a", text]), 0)[0].tolist() == [64, 0, *wanted, 0]
     assert np.frombuffer(encode("a <|endoftext|> b"), encode.dtype).tolist() == [64, 220, 50256, 275]
 
 
-def plain_ids(text, end):
-    encode = Encoder(default_vocabulary())
-    return [*encode.tokenizer.encode(text or "", add_special_tokens=False).ids, end]
+def plain_ids(text, end, known=[]):  # noqa: B006
+    if not known:
+        known.append(library())
+    return [*known[0].encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -103,6 +117,12 @@ def test_token_files_null_repeated_and_wide_ids(spark):
     rows = [(None, "a"), (5, "b"), (5, "b"), (-(2**63), "c"), (2**63 - 1, None)]
     found = token_files.read_token_files(token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), scratch(spark))).orderBy("start").collect()
     assert [r.doc_id for r in found] == [None, -(2**63), 5, 5, 2**63 - 1]
+    # a third of all rows without doc_id, half of these of one text, stays in order and is spread over files
+    rows = [(None, f"t{i // 2}" if i % 2 else "same") for i in range(200)] + [(i, f"own {i}") for i in range(400)]
+    manifest = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch(spark))
+    found = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None] * 200 + list(range(400)) and sorted(r.ids_crc32 for r in found) == sorted(crc(plain_ids(t, 0)) for _, t in rows)
+    assert max(r.documents for r in manifest.collect()) < 300
     data = token_files.pack_file([None, 3, 3, 9], [b"\1\0", b"\2\0\3\0", b"", b"\4\0"], 2)
     file = token_files.TokenFile(data)
     assert file.doc_ids() == [None, 3, 3, 9] and file.document(1).tolist() == [2, 3] and file.document(3).tolist() == [4]
@@ -307,31 +327,61 @@ def test_ring_walk_moves_only_overflow():
     assert stayed >= sum(min(home[s], load[s]) for s in range(4))
 
 
-def test_line_runs_are_deleted_once(docs, empty, texts):
+def deleted_lines(texts, order, least=50):
+    """By brute force: every line of a run of ``least`` words or more that stands earlier, in the order of documents."""
     lines = {}
-    for i, text in enumerate(texts):
+    for i, text in texts.items():
         split = [(k, tuple(WORD.findall(x.translate(LOWER)))) for k, x in enumerate((text or "").split("\n"))]
         lines[i] = [x for x in split if x[1]]
     seen, gone = {}, collections.defaultdict(set)
-    for i in sorted(lines):
+    for i in order:
         own = lines[i]
         for a in range(len(own)):
             for b in range(a, len(own)):
-                if sum(len(x[1]) for x in own[a : b + 1]) >= 50:
+                if sum(len(x[1]) for x in own[a : b + 1]) >= least:
                     key = tuple(x[1] for x in own[a : b + 1])
                     if key not in seen:
                         seen[key] = (i, b)
                     else:
                         start = max(a, seen[key][1] + 1) if seen[key][0] == i else a
                         gone[i].update(x[0] for x in own[start : b + 1])
-    assert any(gone.values())
-    for r in line_dedup.dedup_lines(docs).collect():
+    return gone
+
+
+def check_lines(found, texts, gone):
+    for r in found:
         split = (texts[r.doc_id] or "").split("\n")
-        assert {k for s in r.spans for k in range(s.low, s.high + 1) if split[k].strip()} == gone[r.doc_id]
+        assert {k for s in r.spans for k in range(s.low, s.high + 1) if split[k].strip()} == gone[r.doc_id], r.doc_id
         assert r.n_deleted == sum(s.high - s.low + 1 for s in r.spans)
+        assert r.text_crc32 == zlib.crc32((r.text or "").encode())
+
+
+def test_line_runs_are_deleted_once(docs, empty, texts):
+    gone = deleted_lines(dict(enumerate(texts)), range(len(texts)))
+    assert any(gone.values())
+    check_lines(line_dedup.dedup_lines(docs).collect(), texts, gone)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_runs_of_few_lines_in_many_orders(spark):
+    """Texts made of few different lines: runs overlap, repeat inside a text, and have many partners."""
+    draw = random.Random(31)
+    pool = [" ".join(f"{c}{i}" for i in range(draw.choice([1, 2, 5, 9]))) for c in "abcd"]
+    texts = ["\n".join(draw.choice([*pool, ""]) for _ in range(draw.randint(0, 25))) for _ in range(60)]
+    texts += ["\n".join([pool[0]] * 30), None, texts[3]]
+    gone = deleted_lines(dict(enumerate(texts)), range(len(texts)), 12)
+    assert sum(map(len, gone.values())) > 200
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    check_lines(line_dedup.dedup_lines(rows, 12).collect(), texts, gone)
+
+
+def test_line_runs_of_repeated_rows_and_null_ids(spark):
+    passage = "\n".join(" ".join(f"{c}{i}" for i in range(20)) for c in "xyz")
+    rows = [(None, passage + "\nfirst"), (None, passage + "\nfirst"), (4, "own\n" + passage), (4, "own\n" + passage), (9, None)]
+    found = sorted((r.doc_id or 0, r.text or "", r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, passage + "\nfirst", 0)] * 2 + [(4, "own", 3)] * 2 + [(9, "", 0)]
+
+
 def vector_truth(x, threshold=0.9):
     unit = x.astype(np.float64)
     unit /= np.linalg.norm(unit, axis=1)[:, None]

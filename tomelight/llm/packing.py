@@ -40,26 +40,24 @@ def _encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataF
 
     def run(batches):
         encode = encoder(vocabulary)
-        end = np.array([end_id], encode.dtype).tobytes()
         orders = np.random.default_rng(7).permuted(np.tile(np.arange(encode.size, dtype=np.int64), (3, 1)), axis=1)
-        frequency, seen, count, length = np.zeros(encode.size, np.int64), np.zeros(encode.size, bool), 0, 0
+        frequency, count, length = np.zeros(encode.size, np.int64), 0, 0
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64()), ("terms", pa.binary()), ("stats", pa.binary())])
         for batch in batches:
             bodies, keys, terms = [], [], []
-            for text in batch[1].to_pylist():
-                body = encode(text) + end
-                ids = np.frombuffer(body, encode.dtype)
-                count, length = count + 1, length + len(ids)
-                seen[ids] = True
-                distinct = np.flatnonzero(seen)
+            flat, bounds = encode.batch(batch[1], end_id)
+            count, length = count + len(batch), length + len(flat)
+            for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = flat[at:to]
+                counts = np.bincount(ids)
+                distinct = np.flatnonzero(counts)
                 frequency[distinct] += 1
-                seen[distinct] = False
                 own = distinct[distinct != end_id]
                 a, b, c = orders[:, own].min(1).tolist() if len(own) else (0, 0, 0)
                 keys.append((a << 40) | (b << 20) | c)
-                bodies.append(body)
+                bodies.append(ids.tobytes())
                 split = len(ids) > window and len(ids) % window
-                terms.append(distinct.astype(encode.dtype).tobytes() + np.bincount(ids)[distinct].astype("<u4").tobytes() if split else None)
+                terms.append(distinct.astype(encode.dtype).tobytes() + counts[distinct].astype("<u4").tobytes() if split else None)
             yield pa.RecordBatch.from_arrays(
                 [batch[0].cast(pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.int64()), pa.array(terms, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema
             )

@@ -12,7 +12,7 @@ of 512 bits (32 bits an entry, about 6 % on top); ``select`` finds a number's bl
 the block. Files are cut at a byte limit, so the 32-bit counts never overflow.
 
 Defined results: a null or empty text is one document with the end id alone; null doc_ids come first; repeated rows
-stay separate documents in the order (doc_id, text); an empty table gives no files and no rows; columns other than
+stay separate documents, and rows with equal doc_id are in the order of their texts' hashes; an empty table gives no files and no rows; columns other than
 doc_id and text are ignored.
 """
 
@@ -140,7 +140,6 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     def write(batches):
         encode, part = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], encode.dtype).tobytes()
         names, bodies, size, number = [], [], 0, 0
 
         def flush():
@@ -153,17 +152,21 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
             return pa.RecordBatch.from_pydict(row, pa.schema([("file", pa.string()), ("part", pa.int64()), ("number", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            ids, bounds = encode.batch(batch[1], end_id)
+            for doc_id, a, b in zip(batch[0].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 names.append(doc_id)
-                bodies.append(encode(text) + end)
+                bodies.append(ids[a:b].tobytes())
                 size += len(bodies[-1])
                 if size >= file_bytes:
                     yield flush()
         if names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = ordered.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # a group of rows with one doc_id, or none, is spread by its texts' hash, and by a number of the row within equal texts
+    order = ["doc_id", "hash", "copy"]
+    text = text_or_empty()
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("copy"))
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(ordered.mapInArrow(write, "file string, part long, number long, documents long, ids long"))
 
 
