@@ -207,6 +207,36 @@ def test_exact_dedup(spark, docs, empty, texts):
     assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(repeated).collect()) == [1, 2]
 
 
+def test_exact_dedup_of_blocks(spark):
+    """Texts of many blocks with common parts, characters of several units, and one that is long."""
+    draw = random.Random(3)
+    parts = ["ab", "é字", "😀x", "abab"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 9))) for _ in range(300)] + ["ab" * 600_000, "ab" * 600_000 + "a", "ab " * 600_000]
+    found = {r.doc_id: r for r in exact_dedup.exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).where("doc_id < 300").collect()}
+    plain = [t.replace(" ", "") for t in texts]
+    size = collections.Counter(plain[:300])
+    assert {i: r.group_size for i, r in found.items()} == {i: size[plain[i]] for i in range(300)}
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("doc_id >= 300").collect()}
+    assert found == {300: (302, 2, False), 301: (301, 1, True), 302: (302, 2, True)}
+
+
+def test_clashing_names_stay_as_they_are(spark):
+    names = "gone", "k", "s", "p", "own_id", "own_sha", "own_points", "row", "row_number", "taken_spans", "stays", "rid", "_id", "_rid", "a.b"
+    rows = [(i, t, None if i == 2 else "s", len(t or ""), *(f"{n}{i}" for n in names)) for i, t in enumerate(["one two", "one  two", "three four five six seven eight", None, "nine"])]
+    schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    model = toxicity.Model(b"", b"", None)
+    for stage in (exact_dedup.drop_exact_copies, minhash_dedup.drop_near_copies, mixing.mixed_documents, lambda d: toxicity.keep_clean(d, model)):
+        out = stage(docs)
+        assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        for r in out.collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names], stage
+            assert r.n_chars == len(r.text or "")
+        assert stage(docs.limit(0)).count() == 0
+    twins = spark.createDataFrame([(1, "a b"), (1, "ab "), (1, " ab"), (None, "c"), (None, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_exact_copies(twins).collect()) == [(0, "c"), (1, " ab")]
+
+
 def shingle_set(text):
     words = WORD.findall((text or "").translate(LOWER))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
@@ -299,15 +329,49 @@ def test_mixed_documents_keep_columns(docs, texts):
     assert all(n <= 3 * len(WORD.findall(texts[i])) for i, n in words.items())
 
 
-def test_sharding_is_even_and_stable(docs, empty, texts):
+def naive_ring(rows, shards, virtual):
+    """Shard of each row (doc_id, text) by walking the ring one row at a time, home arcs first."""
+    nodes = sharding.ring(shards, virtual)
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    arcs = collections.defaultdict(list)
+    for number, (place, doc_id, check) in enumerate(rows):
+        arc = next((a for a, (at, _) in enumerate(nodes) if at >= place), 0)
+        arcs[arc].append((doc_id is not None, doc_id or 0, check, number))
+    load, beyond = collections.Counter(), collections.Counter()
+    for arc, (_, shard) in enumerate(nodes):
+        kept = min(len(arcs[arc]), room[shard] - load[shard])
+        load[shard] += kept
+        beyond[arc] = len(arcs[arc]) - kept
+    return nodes, arcs, room, beyond
+
+
+def test_sharding_is_even_and_follows_the_ring(spark, docs, empty, texts):
     found = sharding.shard_documents(docs, shards=5, virtual=8, bucket_rows=2).collect()
     assert {r.doc_id: (r.size, r.text_crc32) for r in found} == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+    places = {r.doc_id: r.p for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("p")).collect()}
+    nodes, arcs, room, beyond = naive_ring([(places[i], i, 0) for i in range(len(texts))], 5, 8)
+    shard_of = {r.doc_id: r.shard for r in found}
+    for arc, own in arcs.items():
+        moved = [i for _, i, _, _ in own if shard_of[i] != nodes[arc][1]]
+        # what stays fits; what moves goes to the next shards clockwise that have room left
+        assert len(moved) <= beyond[arc]
     slots = collections.defaultdict(list)
     for r in found:
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 5
+    assert sorted(map(len, slots.values())) == sorted(room)
     assert sharding.shard_documents(empty).count() == 0
+    again = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(docs.repartition(2), shards=5, virtual=8, bucket_rows=2).collect()}
+    assert {i: s for i, (s, _) in again.items()} == shard_of
+
+
+def test_sharding_spreads_a_hot_arc(spark):
+    rows = [(None, f"t{i}" if i % 2 else "same") for i in range(400)] + [(5, "x")] * 200 + [(i, f"own{i}") for i in range(600)]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=24, virtual=8, bucket_rows=10).collect()
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert len(found) == 1200 and all(sorted(s) == list(range(50)) for s in slots.values()) and len(slots) == 24
 
 
 def test_ring_walk_moves_only_overflow():
@@ -460,6 +524,76 @@ def test_main_text(spark):
     assert site_trees.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def naive_importance(pages):
+    """node key -> importance in the style tree of one host, from its definition."""
+    read = {}
+    for html in pages:
+        page = site_trees.Page(html)
+        read.setdefault(page.main(page.blocks), page)
+    styles, texts, chains = collections.defaultdict(list), collections.defaultdict(collections.Counter), {}
+    for page in read.values():
+        children, path_of = collections.defaultdict(list), {}
+        shown = [e for e in page.elements if e.tag not in site_trees.UNSEEN]
+        for e in shown:
+            chains[e.path] = [*(chains[e.parent.path] if e.parent is not None else []), e.path]
+            path_of[e.number] = e.path
+            if e.parent is not None and (not children[e.parent.path] or children[e.parent.path][-1] != e.tag):
+                children[e.parent.path].append(e.tag)
+        for path in {e.path for e in shown}:
+            styles[path].append(tuple(children[path]))
+        for text, path in {(t, path_of[n]) for t, n in page.blocks}:
+            texts[path][text] += 1
+    out = {}
+    for branch in styles:
+        p = q = m = n = 0.0
+        for path in (x for x in styles if branch in chains[x]):
+            pages = len(styles[path])
+            shares = [c / pages for c in collections.Counter(styles[path]).values()]
+            p += pages * (-sum(s * np.log(s) for s in shares) / np.log(pages) if pages > 1 else 0)
+            q += sum(1 - (np.log(c) / np.log(pages) if pages > 1 else 0) for c in texts[path].values())
+            m, n = m + pages, n + len(texts[path])
+        if n:
+            composite = (1 - site_trees.GAMMA) * p / m + site_trees.GAMMA * q / n
+            out[site_trees._key(branch) if branch else 0] = (len(styles[branch]) * composite + site_trees.PRIOR) / (len(styles[branch]) + site_trees.PRIOR)
+    return out
+
+
+def nameless(i, draw):
+    """A page whose template parts have no telling tag, class or id."""
+    story = "".join(f"<p>Sentence {draw.random()} of story {i}.</p>" for _ in range(draw.randint(1, 5)))
+    offers = draw.choice(["Buy one", "Buy two"])
+    return f"<html><body><div class='xa'><div>Home</div><div>Archive</div></div><div class='xb'><h1>Story {i}</h1>{story}<div class='y'>Read this on every page</div></div><div class='xc'><p>{offers}</p></div><div>All rights reserved</div></body></html>"
+
+
+def test_site_tree_alone_removes_nameless_templates(spark):
+    draw = random.Random(2)
+    pages = [nameless(i, draw) for i in range(40)]
+    rows = [(i, "http://a.example/x", h) for i, h in enumerate(pages)] + [(90 + i, f"http://b.example/{i}", h) for i, h in enumerate(pages[:3])] + [(99, "http://a.example/copy", pages[0])]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.node: r.importance for r in site_trees.branches(table).where("host = 'a.example'").collect()}
+    wanted = naive_importance(pages)
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+    for marks in (False, True):
+        texts = {r.page_id: r.text for r in site_trees.main_text(table, marks).collect()}
+        for i in range(40):
+            assert texts[i] == "\n".join([f"Story {i}", *re.findall("<p>(Sentence .*?)</p>", pages[i])])
+        assert texts[99] == texts[0]
+        # three pages are too few to tell
+        assert all(texts[90 + i].startswith("Home\nArchive\nStory") for i in range(3))
+
+
+def test_classes_that_wrap_the_main_part_stay(spark):
+    one = "<body class='has-sidebar'><form id=aspnetForm><div class='content widget'><h1>Top</h1><p>Long text of the page.</p><p>More of it.</p></div></form><div class=sidebar>S</div></body>"
+    two = "<body><div class='post category-social-media'><p>Kept</p></div><div class='comments-area'><article><p>A reader says much more than the page itself does</p></article></div></body>"
+    three = "<body><article><p>Short</p></article><div><p>What is outside of the article is longer</p></div></body>"
+    four = "<body><p>Text <button>Press</button><span hidden>no</span> goes on<!-- x --></p><div aria-hidden=true>h</div><div style='display: none'>h</div><div role=banner>b</div><header>h</header></body>"
+    rows = [(i, None, h) for i, h in enumerate((one, two, three, four, "<p>" + "x &lt; y " * 200_000 + "</p>", "<nav>only</nav>", "&amp;", "<div", "<div class=widget><p>All there is</p></div><nav>n</nav>"))]
+    table = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, nodes string")
+    found = {r.page_id: r.text for r in site_trees.main_text(table).collect()}
+    assert found[0] == "Top\nLong text of the page.\nMore of it." and found[1] == "Kept" and found[2] == "Short\nWhat is outside of the article is longer"
+    assert found[3] == "Text goes on" and found[4] == ("x < y " * 200_000).strip() and found[5] == "" and found[6] == "&" and found[7] == "<div" and found[8] == "All there is"
+
+
 def test_toxicity_holds_out_and_learns(spark):
     draw = random.Random(8)
     syllables = ["an", "er", "th", "on", "re", "sh", "ble", "ing"]
@@ -475,7 +609,7 @@ def test_toxicity_holds_out_and_learns(spark):
     texts += [None, ""]
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = toxicity.train(*toxicity.sample_rows(docs, known))
+    model = toxicity.train(docs, known)
     found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 == 2]
     right = sum(found[i].predicted == labels[i][2] for i in held)
@@ -488,6 +622,23 @@ def test_toxicity_holds_out_and_learns(spark):
     assert [i for i in range(900) if flags[i]] == held
 
 
+def test_toxicity_samples_are_bounded(spark):
+    draw = random.Random(4)
+    word = lambda: draw.choice(["an", "er", "th", "on", "re", "sh", "ble", "ing"]) * draw.randint(1, 3)
+    long_one = " ".join(word() for _ in range(200_000))
+    assert len(toxicity.some_windows(long_one)) == toxicity.ROW_WINDOWS and toxicity.some_windows("a b") == [b"a b"] and not toxicity.some_windows("")
+    rows = [(i, long_one if i < 4 else None if i == 5 else " ".join(word() for _ in range(30)) + (" zorgface plimwit" if i % 4 == 0 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows * 2 + [(None, "x")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] * 2 + [(None, 1), (7, None), (9, 3)], "doc_id long, toxic int")
+    sample, drawn = toxicity.sample_rows(docs, known, 100)
+    found = sample.collect()
+    assert len({r.doc_id for r in found}) == len(found) <= 100 and not any(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in found)
+    assert drawn[0] < 1 == drawn[1]
+    assert toxicity.score(docs, toxicity.train(docs, known)).count() == 401
+    assert {r.score for r in toxicity.score(docs, toxicity.train(docs, known.where("toxic = 0"))).collect()} == {0.0}
+    assert toxicity.train(docs.limit(0), known).curve is None
+
+
 def test_toxicity_threshold_holds_for_a_bounded_sample(spark):
     # one of ten rows is toxic, half of these without a telling word; the bounded sample has as many toxic as ordinary rows
     draw = random.Random(9)
@@ -502,13 +653,13 @@ def test_toxicity_threshold_holds_for_a_bounded_sample(spark):
         labels.append((i, 1, int(i % 10 == 0)))
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    found = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(*toxicity.sample_rows(docs, known, 240))).collect()}
+    found = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, known, 240)).collect()}
     assert 0.05 < sum(r.score for r in found.values()) / 2400 < 0.15
     assert sum(found[i].predicted for i in range(2400) if i % 10) / 2160 < 0.05
     assert sum(found[i].predicted for i in range(0, 2400, 20)) / 120 > 0.9
 
 
-def test_toxicity_windows_are_bounded():
+def test_toxicity_windows_are_bounded(spark):
     for text in ("字" * 5000, "x" + "é" * 4000, "😀" * 3000, "a" * 10_000 + " b", "one\u00a0word" * 2000, "plain words " * 500, "x" * 161):
         data, cuts = toxicity.windows(text)
         assert b"".join(data[a : a + n] for a, n in cuts.tolist()) == text.encode() and 0 < cuts[:, 1].min() and cuts[:, 1].max() < 240
@@ -524,7 +675,8 @@ def test_toxicity_windows_are_bounded():
             words.insert(draw.randrange(len(words)), draw.choice(bad))
         texts.append(" ".join(words))
         labels.append(int(i % 4 == 0))
-    model = toxicity.train(texts, labels)
+    known = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows_of(texts), SCHEMA), known)
     # no space for some 200 KB; every 40th word of the toxic text is telling
     clean = "\u00a0".join(word() for _ in range(30_000))
     toxic = "\u00a0".join(draw.choice(bad) if i % 40 == 0 else word() for i in range(30_000))

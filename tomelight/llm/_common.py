@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,15 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; where that is unset (tests), one of our own is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under the shared ``spark.checkpoint.dir``; where that is unset, local sessions (tests) get one of their own.
+
+    Other machines do not see a folder of this one, so on a cluster the setting is required.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        base = found or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
@@ -29,6 +34,27 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for own columns that none of df's columns has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df as they are named, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns renamed by place: maps over Arrow batches can't take names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch holds: long texts make Spark's default of 10,000 rows too many."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -73,6 +99,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError("components are not settled after 64 rounds")
     return (
         current.selectExpr("a id", "b component").union(current.selectExpr("b id", "b component")).groupBy("id").agg(F.min("component").alias("component"))
     )

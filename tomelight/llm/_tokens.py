@@ -129,8 +129,8 @@ class Encoder:
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
         coded = lists.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        breaks = index == (words.index("\n") if "\n" in words else -1)
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        breaks = index == pc.index(coded.dictionary, "\n").as_py()  # -1 where there is none
         spaced = ~breaks
         spaced[1:] &= ~breaks[:-1]
         spaced[offsets[:-1]] = False

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_or_empty
+from ._common import every, fresh, materialize, text_or_empty
 
 #: The characters that normalisation deletes: [\x20\x09-\x0D].
 BLANKS = (" ", "\n", "\t", "\r", "\x0b", "\x0c")
@@ -40,61 +40,53 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _name_blocks(rows: DataFrame) -> DataFrame:
-    """(rid, pos, name) of rows (rid, pos, block)."""
-    spark = rows.sparkSession
+    """(rid, pos, blocks, name) of rows (rid, pos, blocks, block)."""
     distinct = rows.select("block").groupBy("block").count().drop("count").sortWithinPartitions("block")
-    named = distinct.select("block", F.xxhash64("block").alias("h"), F.monotonically_increasing_id().alias("name"))
-    hashed = rows.select("rid", "pos", F.xxhash64("block").alias("h"), "block")
-    names = materialize(named.withColumn("size", F.length("block")))
+    names = materialize(distinct.select("block", F.xxhash64("block").alias("h"), F.monotonically_increasing_id().alias("name")))
+    hashed = rows.select("rid", "pos", "blocks", F.xxhash64("block").alias("h"), "block")
     shared = materialize(names.groupBy("h").count().where("count > 1").select("h"))
     if shared.isEmpty():
-        return hashed.drop("block").join(names.select("h", "name"), "h").select("rid", "pos", "name")
+        return hashed.drop("block").join(names.select("h", "name"), "h").select("rid", "pos", "blocks", "name")
     single = names.join(shared, "h", "left_anti").select("h", "name")
-    plain = hashed.drop("block").join(single, "h").select("rid", "pos", "name")
-    exact = hashed.join(shared, "h").join(names.select("block", "name"), "block").select("rid", "pos", "name")
+    plain = hashed.drop("block").join(single, "h").select("rid", "pos", "blocks", "name")
+    exact = hashed.join(shared, "h").join(names.select("block", "name"), "block").select("rid", "pos", "blocks", "name")
     return plain.union(exact)
 
 
-def identities(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
+def identities(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
     """One row a row of docs: rid, doc_id, points (code points of the text), sha256, blocks, identity.
 
-    Rows are equal in normalised text exactly when (blocks, identity) are equal.
+    Rows are equal in normalised text exactly when (blocks, identity) are equal. A text is cut in one pass over it.
     """
-    spark = docs.sparkSession
     text = text_or_empty()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("points"), without_space(text).alias("plain"))
-    base = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "points", "plain", F.sha2(F.col("plain").cast("binary"), 256).alias("sha256"))
-    count = F.greatest(F.lit(1), F.ceil(F.length("plain") / F.lit(block_chars))).cast("int")
-    blocks = base.select("rid", "doc_id", "points", "sha256", count.alias("blocks"), F.col("plain"), F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"))
+    cut = F.regexp_extract_all(F.col("plain"), F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
+    base = base.select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "points", F.sha2(F.col("plain").cast("binary"), 256).alias("sha256"), F.when(F.col("plain") == "", F.array(F.lit(""))).otherwise(cut).alias("cut")
+    )
+    blocks = base.select("rid", "doc_id", "points", "sha256", F.size("cut").alias("blocks"), F.posexplode("cut").alias("pos", "block"))
     first = F.col("pos") == 0
-    cut = F.substring(F.col("plain"), F.col("pos") * block_chars + 1, F.lit(block_chars))
     # what describes the row stays with its first block
     rows = materialize(
-        blocks.select("rid", "pos", "blocks", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("points")).alias("points"), F.when(first, F.col("sha256")).alias("sha256"), cut.alias("block"))
+        blocks.select("rid", "pos", "blocks", F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("points")).alias("points"), F.when(first, F.col("sha256")).alias("sha256"), "block")
     )
     heads = rows.where("pos = 0").select("rid", "doc_id", "points", "sha256", "blocks")
-    names = materialize(_name_blocks(rows.select("rid", "pos", "block")))
+    current = materialize(_name_blocks(rows.select("rid", "pos", "blocks", "block")))
     longest = rows.agg(F.max("blocks")).first()[0] or 1
-    finished = names.where("pos = 0")
-    current = names
+    finished = current.where("blocks = 1")
     while longest > 1:
-        # only texts that still have more than one name go on; position 0 of the others is their identity
-        more = materialize(current.where("pos > 0").select("rid").distinct())
-        finished = finished.join(more, "rid", "left_anti")
-        half = F.floor(F.col("pos") / 2).cast("int").alias("pos")
-        pairs = (
-            current.join(more, "rid", "left_semi")
-            .groupBy("rid", half)
-            .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("r"))
-        )
-        pairs = materialize(pairs)
-        current = materialize(pairs.join(_named(pairs, ["l", "r"]), ["l", "r"]).select("rid", "pos", "name"))
-        finished = finished.union(current.where("pos = 0"))
+        # only texts that still have more than one name go on; the one name of the others is their identity
+        half, fewer = F.shiftright("pos", 1).alias("pos"), F.ceil(F.col("blocks") / 2).cast("int").alias("blocks")
+        even = F.col("pos") % 2 == 0
+        sides = F.max(F.when(even, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("r")
+        pairs = materialize(current.where("blocks > 1").groupBy("rid", half, fewer).agg(*sides))
+        current = materialize(pairs.join(_named(pairs, ["l", "r"]), ["l", "r"]).select("rid", "pos", "blocks", "name"))
+        finished = finished.union(current.where("blocks = 1"))
         longest = -(-longest // 2)
     return heads.join(finished.select("rid", F.col("name").alias("identity")), "rid")
 
 
-def exact_dedup(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
     """One row a row of docs: doc_id, keep_id, group_size, kept, text_sha256, and rid, points.
 
     Of equal texts the row with the most code points stays, then the smallest doc_id.
@@ -111,15 +103,17 @@ def exact_dedup(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
     return joined.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("best_rid")).alias("kept"), F.col("sha256").alias("text_sha256"), "rid", "points")
 
 
-def drop_exact_copies(docs: DataFrame, block_chars: int = 1024) -> DataFrame:
-    """docs with the row of each group that stays, as it is; of repeated rows (same doc_id and text) one stays."""
+def drop_exact_copies(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
+    """docs with the row of each group that stays, as it is; of rows that agree in doc_id, normalised text and length, the one
+    with the least text stays."""
     kept = exact_dedup(docs, block_chars).where("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s"), F.col("points").alias("p"))
     text = text_or_empty()
+    own = fresh(docs, "k", "s", "p", "own_id", "own_sha", "own_points", "row")[3:]
     digest = F.sha2(without_space(text).cast("binary"), 256)
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_sha": digest, "_points": F.length(text).cast("long")})
-    same = marked["_id"].eqNullSafe(kept["k"]) & (marked["_sha"] == kept["s"]) & (marked["_points"] == kept["p"])
-    joined = marked.join(kept, same, "left_semi")
-    return joined.dropDuplicates(["_id", "_sha", "_points"]).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias(own[0]), digest.alias(own[1]), F.length(text).cast("long").alias(own[2]), text.alias("text"), F.struct(*every(docs)).alias(own[3]))
+    same = rows[own[0]].eqNullSafe(kept["k"]) & (rows[own[1]] == kept["s"]) & (rows[own[2]] == kept["p"])
+    joined = rows.join(kept, same, "left_semi")
+    return joined.groupBy(*own[:3]).agg(F.min_by(own[3], "text").alias("stays")).select("stays.*")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize, small_batches, text_or_empty
+from ._common import connected_components, fresh, materialize, small_batches, text_or_empty
 from ._words import shingle_sets, text_slices, word_hashes
 
 WIDTH, PERCENT = 5, 75
@@ -251,8 +251,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, as they are; repeated rows of one document count as that document."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    out = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, docs["doc_id"].cast("long") == out[gone], "left_anti")
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACE, materialize, partitions, small_batches, text_or_empty
+from ._common import SPACE, every, fresh, materialize, numbered, partitions, small_batches, text_or_empty
 
 #: Fixed values of the contract: weights by a source's rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -265,22 +265,24 @@ def mixed_documents(docs: DataFrame, block: int = 64) -> DataFrame:
     A row taken whole keeps its text; n_chars, if there is such a column, is the new text's length.
     """
     small_batches(docs.sparkSession)
-    base = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()))
-    documents, slots = mix(base, block=block, row_id="_rid")
-    spans = taken_pieces(materialize(documents), slots, block).groupBy("rid", "pass").agg(F.collect_list(F.struct("from_word", "words")).alias("_spans"))
-    joined = base.join(spans.select(F.col("rid").alias("_rid"), "_spans"), "_rid").select(*docs.columns, "_spans")
-    place = docs.columns.index("text")
+    rid, taken = fresh(docs, "row_number", "taken_spans")
+    base = materialize(docs.withColumn(rid, F.monotonically_increasing_id()))
+    documents, slots = mix(base, block=block, row_id=rid)
+    spans = taken_pieces(materialize(documents), slots, block).groupBy("rid", "pass").agg(F.collect_list(F.struct("from_word", "words")).alias(taken))
+    joined = base.join(spans.select(F.col("rid").alias(rid), taken), rid).select(*every(docs), taken)
+    names, place = docs.columns, docs.columns.index("text")
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
-            found = [cut_words(t or "", [(s["from_word"], s["words"]) for s in spans]) for t, spans in zip(batch[place].to_pylist(), batch[len(docs_columns)].to_pylist(), strict=True)]
-            columns = list(batch.columns[: len(docs_columns)])
+            columns = list(batch.columns[: len(names)])
+            found = [cut_words(t or "", [(s["from_word"], s["words"]) for s in spans]) for t, spans in zip(columns[place].to_pylist(), batch[len(names)].to_pylist(), strict=True)]
             columns[place] = pa.array(found, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+            if count is not None:
+                columns[count] = pa.array([len(t) for t in found], pa.int64()).cast(columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_columns = docs.columns
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs_columns else out
+    return numbered(joined).mapInArrow(run, docs.schema)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ next shard with room. Only overflow moves, and with one more shard most document
 
 Scale: what is gathered is one count an arc (shards x virtual nodes: fixed size). The walk around the ring on these
 counts gives, for each arc, which ranks go to which shard and their first slot there. A document then needs only
-its rank in its arc, found by windows over ``arc, bucket`` groups of bounded expected size plus bucket offsets.
+its rank in its arc. An arc is dealt to as many buckets as its own count needs, by a hash of the whole row, and buckets that are
+still too full (one row repeated) are dealt again by a number of the row, so an arc that holds a third of all rows (rows without
+doc_id, or one row repeated) is spread like any other; ranks are found by windows over groups of about ``bucket_rows`` rows plus
+bucket offsets.
 
 Defined results: a null text has size 8 and the crc32 of no bytes; repeated rows are rows of their own, all on one
 arc; null doc_ids hash like any value; fewer rows than shards leave some shards empty; an empty table gives no rows;
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import text_or_empty
+from ._common import materialize, text_or_empty
 
 RING_BITS = 32
 PART_BITS = 12
@@ -77,6 +80,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, virtual: int = 64, bucket
         (F.octet_length(text_or_empty()).cast("long") + 8).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - RING_BITS).alias("place"),
+        F.monotonically_increasing_id().alias("copy"),
     )
     # the ring is cut into 2**12 equal parts: a part lies within few arcs, found by a fixed-size table
     cuts = [p for p, _ in nodes]
@@ -88,18 +92,20 @@ def shard_documents(docs: DataFrame, shards: int = 24, virtual: int = 64, bucket
         table += [(part, x, (edges[i + 1] if i + 1 < len(edges) else high), bisect_left(cuts, x) % len(nodes)) for i, x in enumerate(edges)]
     arcs = F.broadcast(spark.createDataFrame(table, "part long, low long, high long, arc int"))
     rows = rows.withColumn("part", F.shiftright("place", RING_BITS - PART_BITS))
-    rows = rows.join(arcs, "part").where("place >= low and place < high").drop("part", "low", "high", "place")
-    total = docs.count()
-    buckets = max(1, -(-total // (len(nodes) * bucket_rows)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("arc", "bucket").agg(F.count("*").alias("n"))
-    arc_counts = {r.arc: r.n for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
+    rows = materialize(rows.join(arcs, "part").where("place >= low and place < high").drop("part", "low", "high", "place"))
+    arc_counts = dict(rows.groupBy("arc").count().collect())
     plan = walk(nodes, arc_counts, shards)
     planned = F.broadcast(spark.createDataFrame(plan, "arc int, first long, last long, shard int, base long"))
-    offsets = counts.select("arc", "bucket", (F.sum("n").over(Window.partitionBy("arc").orderBy("bucket")) - F.col("n")).alias("earlier"))
-    rank = F.row_number().over(Window.partitionBy("arc", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
+    buckets = F.broadcast(spark.createDataFrame([(arc, -(-n // bucket_rows)) for arc, n in arc_counts.items()], "arc int, buckets int"))
+    rows = rows.join(buckets, "arc").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), "buckets").cast("int"))
+    full = rows.groupBy("arc", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 4 * bucket_rows).select("arc", "bucket", F.ceil(F.col("n") / bucket_rows).alias("parts"))
+    rows = rows.join(full, ["arc", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("copy"), F.coalesce("parts", F.lit(1))))
+    key = ["arc", "bucket", "part"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    offsets = counts.select(*key, (F.sum("n").over(Window.partitionBy("arc").orderBy("bucket", "part")) - F.col("n")).alias("earlier"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "text_crc32", "size", "copy")) - 1
     ranked = rows.withColumn("inside", rank)
-    ranked = ranked.join(offsets, ["arc", "bucket"]).withColumn("rank", F.col("inside") + F.col("earlier"))
+    ranked = ranked.join(offsets, key).withColumn("rank", F.col("inside") + F.col("earlier"))
     placed = ranked.join(planned, "arc").where("rank >= first and rank < last")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

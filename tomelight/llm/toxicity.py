@@ -6,28 +6,30 @@ costs the same in both). The bytes that the toxic dictionary saves are the windo
 several where toxic text recurs. A document's windows cover its whole text; the number of windows at each distance,
 against all its windows, gives its score through a logistic curve that is calibrated on rows the dictionaries didn't see.
 
-Training, on the driver, uses at most ``SAMPLE`` labelled rows (``TOXIC_SHARE`` of them toxic at most), drawn by a hash of
-doc_id; the bound is independent of the corpus. Only rows whose crc32(doc_id) mod 4 is not 2 are drawn. Where the bound
-draws a smaller share of one class than of the other, the curve's intercept is moved back by the logarithm of their ratio,
-so a score is the probability among all labelled rows and the threshold means the same at every size.
+Training uses at most ``SAMPLE`` labelled rows (``TOXIC_SHARE`` of them toxic at most), drawn by a hash of doc_id; the bound is
+independent of the corpus. Only rows whose crc32(doc_id) mod 4 is not 2 are drawn. Where the bound draws a smaller share of one
+class than of the other, the curve's intercept is moved back by the logarithm of their ratio, so a score is the probability among
+all labelled rows and the threshold means the same at every size. Two of three drawn rows train the dictionaries: tasks cut them
+into windows and return at most ``ROW_WINDOWS`` of each, spread over the whole text, so the driver gets less than ``SAMPLE *
+ROW_WINDOWS`` windows of less than 240 bytes. The third calibrates: tasks score whole texts and return a few numbers a row.
 
 1. The ordinary dictionary is trained on windows of ordinary rows.
 2. The toxic dictionary is trained on windows of toxic rows, reduced to words with runs of letters that are
    significantly more frequent there than in ordinary rows: most of a toxic text is ordinary text, which would fill the dictionary.
 3. Ordinary windows that the toxic dictionary still shortens hold what both have in common: their words without such
    runs are trained into the ordinary dictionary (``ROUNDS`` times).
-4. The other third of the sample calibrates the curve.
+4. The rest of the sample calibrates the curve.
 
 Scoring maps over documents with the two dictionaries (tens of kilobytes) and a few coefficients broadcast.
 
 Defined results: a null or empty text has no windows and gets the curve's value for no evidence; without labelled rows
-of both kinds all scores are 0; repeated rows score alike; an empty table gives no rows; lang, source, doc_id and labels
-never enter a score; other columns are ignored.
+of both kinds all scores are 0; a doc_id with several labels is toxic if one of them is, and of several texts with a labelled
+doc_id the least is learned from; labels without doc_id are ignored; repeated rows score alike; an empty table gives no rows; lang, source,
+doc_id and labels never enter a score; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -36,10 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, text_or_empty
+from ._common import materialize, numbered, small_batches, text_or_empty
 
 WINDOW = 160
 SAMPLE, TOXIC_SHARE = 6000, 0.5
+#: Windows of a sampled row that may go to the driver.
+ROW_WINDOWS = 48
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 3 << 10
 ROUNDS = 3
 THRESHOLD = 0.3
@@ -89,12 +93,12 @@ def lengths(compressor: zstandard.ZstdCompressor, data: bytes, cuts: np.ndarray)
     return np.fromiter((len(done[i]) for i in range(len(done))), np.int64, len(done))
 
 
-def _pieces(texts: list[str]) -> list[bytes]:
-    out = []
-    for text in dict.fromkeys(texts):
-        data, cuts = windows(text)
-        out += [data[a : a + n] for a, n in cuts.tolist()]
-    return list(dict.fromkeys(out))
+def some_windows(text: str, most: int = ROW_WINDOWS) -> list[bytes]:
+    """A text's windows, or ``most`` of them at equal distances."""
+    data, cuts = windows(text)
+    if len(cuts) > most:
+        cuts = cuts[np.linspace(0, len(cuts) - 1, most).astype(np.int64)]
+    return [data[a : a + n] for a, n in cuts.tolist()]
 
 
 def _measure(compressor, pieces: list[bytes]) -> np.ndarray:
@@ -106,10 +110,13 @@ def _measure(compressor, pieces: list[bytes]) -> np.ndarray:
 
 
 def _train(size: int, samples: list[bytes]) -> bytes:
-    """Content of a trained dictionary (its entropy tables are left out: every literal then costs one byte)."""
+    """Content of a trained dictionary (its entropy tables are left out: every literal then costs one byte).
+
+    Where samples are too few for zstandard to train on, they are the dictionary themselves.
+    """
     try:
         return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
+    except zstandard.ZstdError:
         return b"".join(samples)[:size]
 
 
@@ -190,11 +197,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((z * w[:-1]).sum(1) + w[-1], -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], drawn: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Two of three rows train the dictionaries, the third calibrates the curve. drawn: the shares of all ordinary and of all
-    toxic rows that were sampled; the curve's odds are those of all rows."""
-    learn = [[t for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if y == k and i % 3 < 2] for k in (0, 1)]
-    ordinary_windows, toxic_windows = _pieces(learn[0]), _pieces(learn[1])
+def learn(ordinary_windows: list[bytes], toxic_windows: list[bytes]) -> Model:
+    """The two dictionaries, without a curve."""
+    ordinary_windows, toxic_windows = (list(dict.fromkeys(w)) for w in (ordinary_windows, toxic_windows))
     if not ordinary_windows or not toxic_windows:
         return Model(b"", b"", None)
     ordinary = _train(ORDINARY_BYTES, ordinary_windows)
@@ -205,31 +210,58 @@ def train(texts: list[str], labels: list[int], drawn: tuple[float, float] = (1.0
     toxic = _train(TOXIC_BYTES, contrasted)
     for _ in range(ROUNDS):
         gained = _measure(_compressor(ordinary), ordinary_windows) - _measure(_compressor(toxic + ordinary), ordinary_windows)
-        hard = [ordinary_windows[i] for i in np.argsort(-gained, kind="stable").tolist() if gained[i] >= 2][:20_000]
-        hard = _reduced(hard, runs, False)
-        ordinary = (_train(ORDINARY_BYTES // 4, hard) if len(hard) > 200 else b"".join(hard)[: ORDINARY_BYTES // 4]) + ordinary
-    model = Model(ordinary, toxic, None)
-    rows = [(model.evidence(t), y) for i, (t, y) in enumerate(zip(texts, labels, strict=True)) if i % 3 == 2]
-    y = np.array([r[1] for r in rows], np.float64)
-    if len(set(y.tolist())) == 2:
-        model.curve = fit_curve(np.array([r[0] for r in rows]), y)
-        model.curve[2, -1] += np.log(drawn[0] / drawn[1])
-    return model
+        hard = [ordinary_windows[i] for i in np.argsort(-gained, kind="stable").tolist() if gained[i] >= 2]
+        ordinary = _train(ORDINARY_BYTES // 4, _reduced(hard, runs, False)) + ordinary
+    return Model(ordinary, toxic, None)
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], list[int], tuple[float, float]]:
-    """At most ``rows`` labelled texts outside the held-out fold, the first by a hash of doc_id in each class; their labels;
-    the shares of all such ordinary and toxic rows that this is."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, toxic, third, text) of at most ``rows`` labelled documents outside the held-out fold, the first by a hash of doc_id in
+    each class; and the shares of all such ordinary and toxic rows that this is."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     most = rows - int(rows * TOXIC_SHARE), int(rows * TOXIC_SHARE)
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(most[1]).union(known.where("toxic = 0").orderBy(order, "doc_id").limit(most[0]))
     counts = dict(known.groupBy("toxic").count().collect())
     drawn = tuple(min(1.0, most[k] / counts.get(k, 1)) for k in (0, 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()) // 4, r.doc_id, r.text))
-    return [r.text for r in found], [r.toxic for r in found], drawn
+    # at most ``rows`` pairs of numbers are broadcast
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    third = F.pmod(F.xxhash64(F.lit("third"), F.col("doc_id")), F.lit(3)).cast("int")
+    return materialize(found.select("doc_id", "toxic", third.alias("third"), "text")), drawn
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
+    """A model of the labelled documents outside the held-out fold."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample, drawn = sample_rows(docs, labels, rows)
+
+    def cut(batches):
+        for batch in batches:
+            found = [some_windows(t) for t in batch[2].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(found, pa.list_(pa.binary()))], ["doc_id", "toxic", "windows"])
+
+    parts = sample.where("third < 2").select("doc_id", "toxic", "text").mapInArrow(cut, "doc_id long, toxic int, windows array<binary>").collect()
+    parts.sort(key=lambda r: r.doc_id)
+    model = learn(*([bytes(w) for r in parts if r.toxic == k for w in r.windows] for k in (0, 1)))
+    if not model.toxic:
+        return model
+    shared = spark.sparkContext.broadcast(model)
+
+    def weigh(batches):
+        model = shared.value
+        for batch in batches:
+            found = [model.evidence(t).tolist() for t in batch[2].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+
+    rest = sample.where("third = 2").select("doc_id", "toxic", "text").mapInArrow(weigh, "doc_id long, toxic int, x array<double>").collect()
+    rest.sort(key=lambda r: r.doc_id)
+    if len({r.toxic for r in rest}) == 2:
+        model.curve = fit_curve(np.array([r.x for r in rest]), np.array([r.toxic for r in rest], np.float64))
+        model.curve[2, -1] += np.log(drawn[0] / drawn[1])
+    return model
 
 
 def held_out(doc_id):
@@ -255,19 +287,19 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model doesn't reject, as they are."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
+    names, place = docs.columns, docs.columns.index("text")
 
     def run(batches):
         model = shared.value
         for batch in batches:
             x = np.array([model.evidence(t) for t in batch[place].to_pylist()]).reshape(len(batch[place]), -1)
-            yield batch.filter(pa.array(model.scores(x) < THRESHOLD))
+            yield batch.rename_columns(names).filter(pa.array(model.scores(x) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)
 
 
 def op4_compression_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, score, predicted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(*sample_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
