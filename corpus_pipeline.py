@@ -14,12 +14,12 @@ from tomelight.llm.exact_dedup import drop_exact_copies
 from tomelight.llm.minhash_dedup import drop_near_copies
 from tomelight.llm.mixing import mixed_documents
 from tomelight.llm.packing import pack
-from tomelight.llm.toxicity import keep_clean, sample_rows, train
+from tomelight.llm.toxicity import keep_clean, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, trained on the labelled ones, doesn't reject."""
-    return keep_clean(docs, train(*sample_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return keep_clean(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
