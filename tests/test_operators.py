@@ -118,7 +118,7 @@ def test_text_functions(spark):
 
 def test_staged_duplicates_and_keepers(spark):
     rows = spark.createDataFrame([(1, "i1", None), (2, "i1", "g1"), (3, None, "g1"), (4, None, "g2"), (5, None, None)], "id long, isbn string, ext string")
-    found = {r.id: r.group_id for r in resolve.staged_duplicates(rows, "id", [("ids", [F.col("isbn"), F.col("ext")])]).collect()}
+    found = {r.id: r.group_id for r in resolve.staged_duplicates(rows, "id", [("ids", F.array(F.concat(F.lit("isbn:"), "isbn"), F.concat(F.lit("ext:"), "ext")))]).collect()}
     assert found == {1: 1, 2: 1, 3: 1}
     ranked = spark.createDataFrame([("g", 1, 5), ("g", 2, 9), ("g", 3, 9)], "g string, id long, score int")
     assert resolve.keepers(ranked, "g", [F.col("score")], "id").first().keeper == 2

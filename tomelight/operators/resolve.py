@@ -16,6 +16,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/resolve/{uuid.uuid4().hex}"
@@ -23,19 +25,25 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame, most: int = 50) -> DataFrame:
-    """links(a, b) -> (id, component): smallest id that is reached. Minimum labels with pointer jumping."""
+def components(links: DataFrame) -> DataFrame:
+    """links(a, b) -> (id, component): smallest id that is reached. Minimum labels with pointer jumping, until nothing changes."""
     both = _written(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = _written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(most):
+    while True:
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         near = labels.join(heard, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = near.select(F.col("id").alias("component"), F.col("component").alias("far"))
         following = _written(near.join(jump, "component", "left").select("id", F.coalesce(F.least("component", "far"), "component").alias("component"), "was"))
-        if following.where("component <> was").isEmpty():
-            return following.select("id", "component")
         labels = following.select("id", "component")
-    raise RuntimeError("components did not settle")
+        if following.where("component <> was").isEmpty():
+            return labels
+
+
+def same_key_groups(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
+    """(id, group_id) of the rows whose key others have too; the key is computed once, the smallest id is the group's."""
+    keyed = _written(rows.select(F.col(id_column), key.alias("key")).where("key is not null"))
+    first = keyed.groupBy("key").agg(F.min(id_column).alias("group_id"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(first, "key").select(id_column, "group_id")
 
 
 def same_key_links(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
@@ -45,21 +53,26 @@ def same_key_links(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
     return keyed.join(first, "key").where("id <> a").select("a", F.col("id").alias("b"))
 
 
-def staged_duplicates(rows: DataFrame, id_column: str, stages: list[tuple[str, list[Column]]]) -> DataFrame:
-    """(id, group_id, stage): stages in order, each over rows that no earlier stage grouped; any shared key links."""
+def staged_duplicates(rows: DataFrame, id_column: str, stages: list[tuple[str, Column]]) -> DataFrame:
+    """(id, group_id, stage): stages in order, each over rows that no earlier stage grouped.
+
+    A stage's column is one key (rows with it are a group) or an array of keys (any shared one links, transitively).
+    """
     spark: SparkSession = rows.sparkSession
-    left, found = rows, []
-    for name, keys in stages:
-        links = reduce(lambda a, b: a.union(b), [same_key_links(left, F.concat(F.lit(f"{i}:"), k.cast("string")), id_column) for i, k in enumerate(keys)])
-        links = _written(links)
-        if links.isEmpty():
-            continue
-        grouped = components(links).select(F.col("id").alias(id_column), F.col("component").alias("group_id"), F.lit(name).alias("stage"))
-        grouped = _written(grouped)
+    kind, left, found = dict(rows.dtypes)[id_column], rows, []
+    for name, key in stages:
+        if dict(left.select(key.alias("k")).dtypes)["k"].startswith("array"):
+            keys = left.select(F.col(id_column).alias("id"), F.explode(key).alias("key"))
+            links = _written(same_key_links(keys, F.col("key"), "id"))
+            if links.isEmpty():
+                continue
+            grouped = components(links).select(F.col("id").alias(id_column), F.col("component").alias("group_id"))
+        else:
+            grouped = same_key_groups(left, key, id_column)
+        grouped = _written(grouped.withColumn("stage", F.lit(name)))
         found.append(grouped)
         left = left.join(grouped.select(id_column), id_column, "left_anti")
     if not found:
-        kind = dict(rows.dtypes)[id_column]
         return spark.createDataFrame([], f"{id_column} {kind}, group_id {kind}, stage string")
     return reduce(lambda a, b: a.union(b), found)
 
@@ -81,21 +94,22 @@ def normalised(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x / length))
 
 
-def top_similar(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame, k: int = 25, least: float = 0.1, blocks: int = 16) -> DataFrame:
+def top_similar(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame, k: int = 25, least: float = 0.1, query_rows: int = 512, block_rows: int = 8192) -> DataFrame:
     """(query, other, score): for each query row the k best other vectors above ``least``, by cosine.
 
-    Queries and vectors are dealt to blocks by hash; every block of queries meets every block of vectors in numpy and
-    keeps k rows a query, so a query's final choice is among k rows a block. The number of query blocks bounds what a
-    task holds; choose it with the data.
+    Queries and vectors are dealt to blocks by hash, as many as their counts need, so a block's size does not grow with the
+    data; every block of queries meets every block of vectors in numpy and keeps k rows a query. A query's final choice is
+    among k rows a block of vectors.
     """
     import numpy as np
     import pyarrow as pa
 
-    number = F.pmod(F.xxhash64(id_column), F.lit(blocks))
     kind = dict(vectors.dtypes)[id_column]
+    asked, held = (max(1, -(-x.count() // size)) for x, size in ((queries, query_rows), (vectors, block_rows)))
+    number = lambda n: F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int")
     side = [F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")]
-    q = queries.select(*side, number.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
-    v = vectors.select(*side, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("r"), number.cast("int").alias("s"))
+    q = queries.select(*side, number(asked).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(held - 1))).alias("vb"))
+    v = vectors.select(*side, F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("r"), number(held).alias("s"))
 
     def unit(column) -> np.ndarray:
         x = np.array(column.to_pylist(), np.float64)
@@ -131,10 +145,13 @@ def rating_proximity(a: Column, b: Column) -> Column:
 def capped_per_author(scored: DataFrame, target: str, authors: str, most: int = 3, limit: int = 25) -> DataFrame:
     """Greedy in score order: an item whose authors already have ``most`` items in the list is passed over.
 
-    scored: target, item, authors (array), score. One group a target; it holds the target's candidates only.
+    scored: target, item, authors (array), score. Of items with the same authors only the best ``most`` of a target can be
+    taken, and a ranked window drops the others first; a target's group then holds its candidates' different author lists.
     """
     import pandas as pd
 
+    scored = newest_per(scored.withColumn("_authors", F.array_sort(authors)), [target, "_authors"], [F.desc("score"), F.asc("item")], most).drop("_authors")
+
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         counts: dict[str, int] = {}
         kept = []

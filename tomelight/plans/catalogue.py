@@ -103,11 +103,14 @@ def truncated_terms(t: Tables):
 
 
 @query("""
-WITH w AS (SELECT p_partkey, string_split(lower(p_type), ' ') AS a, string_split(lower(p_name), ' ') AS b FROM part) SELECT p_partkey, 1.0::DOUBLE AS self_cosine FROM w
+WITH w AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_name || ' ' || p_type || ' ' || p_type), ' ') AS b FROM part),
+d AS (SELECT p_partkey, list_sum([len(list_filter(a, lambda y: y = x)) * len(list_filter(b, lambda y: y = x)) for x in list_distinct(list_intersect(a, b))]) AS dot,
+sqrt(list_sum([len(list_filter(a, lambda y: y = x)) ** 2 for x in list_distinct(a)])) AS na, sqrt(list_sum([len(list_filter(b, lambda y: y = x)) ** 2 for x in list_distinct(b)])) AS nb FROM w)
+SELECT p_partkey, round(coalesce(dot, 0) / (na * nb), 6) AS cosine FROM d
 """)
 def token_cosine(t: Tables):
-    """Cosine of token counts; of a text with itself it is 1."""
-    return t.part.select("p_partkey", F.round(token_counts_cosine(F.col("p_type"), F.upper("p_type")), 6).alias("self_cosine"))
+    """Cosine of the token counts of two texts: a title, and the title with its kind twice."""
+    return t.part.select("p_partkey", F.round(token_counts_cosine(F.col("p_name"), F.concat_ws(" ", "p_name", "p_type", "p_type")), 6).alias("cosine"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, search_key
-from ..operators.resolve import capped_per_author, changed_fields, components, consolidated, dot, keepers, merged_by_priority, newest_per, normalised, rating_proximity, replaced, same_key_links, similarity, staged_duplicates, top_similar
+from ..operators.resolve import capped_per_author, changed_fields, components, consolidated, dot, keepers, merged_by_priority, newest_per, normalised, rating_proximity, replaced, same_key_groups, same_key_links, similarity, staged_duplicates, top_similar
 from ..operators.sets import bulk_set, compare, purged, upsert, without_orphans
 from .registry import Tables, query
 
@@ -17,24 +17,33 @@ SELECT p_partkey, group_id FROM part JOIN g USING (p_brand, p_size, p_type)
 """)
 def duplicates_by_key(t: Tables):
     """Rows that share a key: each with its group's smallest id."""
-    key = F.concat_ws("|", "p_brand", "p_size", "p_type")
-    links = same_key_links(t.part, key, "p_partkey")
-    return links.select(F.col("b").alias("p_partkey"), F.col("a").alias("group_id")).union(links.select("a", "a").distinct())
+    return same_key_groups(t.part, F.concat_ws("|", "p_brand", "p_size", "p_type"), "p_partkey")
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_orderkey % 20 = 0),
+WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey),
 n AS (SELECT DISTINCT a FROM e), r AS (SELECT a, a AS x FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.x)
 SELECT a AS id, min(x) AS component FROM r GROUP BY 1
 """)
 def linked_suppliers(t: Tables):
-    """Transitive groups: suppliers that share an order of a marked kind (every 20th order is marked)."""
-    l = t.lineitem.where("l_orderkey % 20 = 0").select("l_orderkey", "l_suppkey")
+    """Transitive groups: suppliers that share an order."""
+    l = t.lineitem.select("l_orderkey", "l_suppkey")
     links = same_key_links(l, F.col("l_orderkey"), "l_suppkey")
     every = l.select(F.col("l_suppkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     return components(links.union(every))
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_shipdate = b.l_shipdate AND a.l_orderkey <> b.l_orderkey),
+n AS (SELECT DISTINCT a FROM e), r AS (SELECT a, a AS x FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.x)
+SELECT a AS id, min(x) AS component FROM r GROUP BY 1
+""")
+def linked_orders(t: Tables):
+    """Transitive groups of many sizes: orders that ship the same part on the same day."""
+    links = same_key_links(t.lineitem, F.concat_ws("|", "l_partkey", "l_shipdate"), "l_orderkey")
+    return components(links.where("a <> b"))
+
+
 @query("""
 WITH s1 AS (SELECT p_partkey, min(p_partkey) OVER w AS group_id, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand, p_size, p_type)),
 a AS (SELECT p_partkey, group_id, 'key' AS stage FROM s1 WHERE n > 1),
@@ -43,7 +52,7 @@ SELECT * FROM a UNION ALL SELECT p_partkey, group_id, 'series' FROM s2 WHERE n >
 """)
 def staged_duplicate_groups(t: Tables):
     """Stages in order; a row that one stage groups is left out of the next."""
-    return staged_duplicates(t.part, "p_partkey", [("key", [F.concat_ws("|", "p_brand", "p_size", "p_type")]), ("series", [F.concat_ws("|", "p_brand", "p_type")])])
+    return staged_duplicates(t.part, "p_partkey", [("key", F.concat_ws("|", "p_brand", "p_size", "p_type")), ("series", F.concat_ws("|", "p_brand", "p_type"))])
 
 
 @query("""
@@ -61,8 +70,7 @@ SELECT doc_id, group_id FROM d JOIN g USING (k) WHERE n > 1
 def same_text_groups(t: Tables):
     """Documents with the same normalised text, by its digest."""
     key = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), 256)
-    links = same_key_links(t.documents, key, "doc_id")
-    return links.select(F.col("b").alias("doc_id"), F.col("a").alias("group_id")).union(links.select("a", "a").distinct())
+    return same_key_groups(t.documents, key, "doc_id")
 
 
 @query("""
@@ -109,7 +117,11 @@ def pairwise_similarity(t: Tables):
     return joined.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), score.alias("score"))
 
 
-@query()
+@query("""
+WITH o AS (SELECT l_suppkey AS target, l_partkey AS item, p_brand, CAST(sum(l_quantity) AS DOUBLE) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
+c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY target, p_brand ORDER BY score DESC, item) <= 3)
+SELECT target, item, score FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, item) <= 25
+""")
 def recommendations_capped(t: Tables):
     """At most three recommendations an author for each target, greedily in score order."""
     o = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("score"))
@@ -225,8 +237,8 @@ def top_items_per_supplier(t: Tables):
 
 
 @query("""
-WITH k AS (SELECT item_id, text, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS key FROM benchmark) SELECT key IS NOT NULL AS keyed, count(*) AS items, count(DISTINCT item_id) AS ids FROM k GROUP BY 1
+SELECT item_id, trim(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(replace(strip_accents(text), 'ß', 'ss'), 'ø', 'o'), 'æ', 'ae'), 'œ', 'oe'), 'ł', 'l')), '[!@$%^&*_=|~`<>?/"]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM benchmark
 """)
 def normalised_titles(t: Tables):
-    """Items by whether they have a search key."""
-    return t.benchmark.groupBy(search_key(F.col("text")).isNotNull().alias("keyed")).agg(F.count("*").alias("items"), F.countDistinct("item_id").alias("ids"))
+    """Search keys of items."""
+    return t.benchmark.select("item_id", search_key(F.col("text")).alias("key"))

@@ -60,13 +60,14 @@ def author_universe(t: Tables):
 
 
 @query("""
-WITH y AS (SELECT CAST(regexp_extract(url, '(\\d{4})', 1) AS INTEGER) AS y FROM pages WHERE regexp_extract(url, '(\\d{4})', 1) <> ''), k AS (SELECT y FROM y WHERE y BETWEEN 1000 AND 2099)
+WITH f AS (SELECT 'printed in ' || CAST(1000 + o_orderkey * 37 % 1100 AS VARCHAR) || ', again ' || CAST(year(o_orderdate) AS VARCHAR) AS note FROM orders),
+y AS (SELECT CAST(regexp_extract(note, '(\\d{4})', 1) AS INTEGER) AS y FROM f), k AS (SELECT y FROM y WHERE y BETWEEN 1000 AND 2099)
 SELECT CASE WHEN y < 1900 THEN 'before 1900' WHEN y >= 2020 THEN '2020s' ELSE CAST(y // 10 * 10 AS VARCHAR) || 's' END AS decade, count(*) AS n FROM k GROUP BY 1
 """)
 def publication_timeline(t: Tables):
     """Decades of the first four-digit year found in a text."""
-    year = free_text_year(F.col("url"), 2099)
-    return t.pages.select(year.alias("y")).where("y is not null").groupBy(decade(F.col("y")).alias("decade")).agg(F.count("*").alias("n"))
+    note = F.concat(F.lit("printed in "), (1000 + F.col("o_orderkey") * 37 % 1100).cast("string"), F.lit(", again "), F.year("o_orderdate").cast("string"))
+    return t.orders.select(free_text_year(note, 2099).alias("y")).where("y is not null").groupBy(decade(F.col("y")).alias("decade")).agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -40,11 +40,18 @@ def hashed_names(t: Tables):
     return t.part.select("p_partkey", java_hash(F.col("p_brand")).alias("hash"))
 
 
-@query("SELECT p_partkey, 1.0::DOUBLE AS length FROM part")
+@query("""
+WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part),
+h AS (SELECT p_partkey, list_reduce(list_concat([0::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(w, '')]), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM w),
+p AS (SELECT p_partkey, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 128 AS place, count(*) AS n FROM h GROUP BY 1, 2),
+u AS (SELECT p_partkey, place, n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)) AS x FROM p)
+SELECT p_partkey, CAST(place AS INTEGER) AS place, round(x, 6) AS x FROM u
+""")
 def hashed_vectors(t: Tables):
-    """Hashed word counts have unit length."""
-    v = hashed_features(F.split(F.lower("p_type"), " "))
-    return t.part.select("p_partkey", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))
+    """Hashed word counts of unit length: their components that aren't zero."""
+    v = hashed_features(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " "))
+    x = t.part.select("p_partkey", F.posexplode(v).alias("place", "x")).where("x <> 0")
+    return x.select("p_partkey", "place", F.round("x", 6).alias("x"))
 
 
 @query("""
@@ -65,7 +72,14 @@ def richest_result(t: Tables):
     return t.part.groupBy("p_brand", "p_size").agg(F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("richest"), F.count("*").alias("found"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, hour(ts) * 60.0 + minute(ts) AS a, hour(ts) * 60.0 + minute(ts) + value AS b FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY a, event_id) AS k FROM e),
+r AS (SELECT user_id, day, k, event_id, 0 AS track, b AS e0, CAST(NULL AS DOUBLE) AS e1, CAST(NULL AS DOUBLE) AS e2 FROM n WHERE k = 1
+UNION ALL SELECT user_id, day, k, event_id, track, CASE WHEN track = 0 THEN greatest(e0, b) ELSE e0 END, CASE WHEN track = 1 THEN greatest(coalesce(e1, b), b) ELSE e1 END, CASE WHEN track = 2 THEN greatest(coalesce(e2, b), b) ELSE e2 END
+FROM (SELECT n.user_id, n.day, n.k, n.event_id, n.b, r.e0, r.e1, r.e2, CASE WHEN r.e0 <= n.a THEN 0 WHEN r.e1 <= n.a THEN 1 WHEN r.e2 <= n.a THEN 2 WHEN r.e1 IS NULL THEN 1 ELSE 2 END AS track FROM r JOIN n ON n.user_id = r.user_id AND n.day = r.day AND n.k = r.k + 1))
+SELECT event_id, CAST(track AS BIGINT) AS track FROM r
+""")
 def session_tracks(t: Tables):
     """Sessions of a user's day on at most three tracks, without overlap where that is possible; overflow shares the last.
 

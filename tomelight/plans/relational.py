@@ -104,9 +104,11 @@ def semi_join(t: Tables):
     return t.customer.join(done, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def anti_join(t: Tables):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a finished urgent order."""
+    urgent = t.orders.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    return t.customer.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""
@@ -265,7 +267,8 @@ def refresh_queue(t: Tables):
     return t.orders.select("o_orderkey", rank.alias("rank"), "o_orderdate").orderBy("rank", F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "rank")
 
 
-@query()
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5('7:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 20")
 def random_row(t: Tables):
-    """A seeded random row of the dashboard: a sampling operator."""
-    return t.part.orderBy(F.rand(7)).limit(20).select("p_partkey", "p_name")
+    """A random row of the dashboard, by a seeded hash: a sampling operator."""
+    order = F.md5(F.concat(F.lit("7:"), F.col("p_partkey").cast("string")).cast("binary"))
+    return t.part.orderBy(order, "p_partkey").limit(20).select("p_partkey", "p_name")

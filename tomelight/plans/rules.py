@@ -27,6 +27,7 @@ def part_schema() -> dict[str, Field]:
         "pages": Field(F.col("p_size"), "number"),
         "price": Field(F.col("p_retailprice"), "number"),
         "tags": Field(F.col("words"), "list"),
+        "publisher": Field(F.when(F.col("p_size") % 7 != 0, F.when(F.col("p_size") % 7 == 1, " \t").otherwise(F.col("p_brand"))), "text"),
     }
 
 
@@ -52,10 +53,10 @@ PART_RULES = {
     "rule_not_equals": (_and(_leaf("series", "not_equals", "Brand#11")), "lower(p_brand) <> 'brand#11'"),
     "rule_contains": (_or(_leaf("title", "contains", "An"), _leaf("type", "contains", "STEEL")), "contains(lower(p_name), 'an') OR contains(lower(p_type), 'steel')"),
     "rule_not_contains": (_and(_leaf("title", "does_not_contain", "e")), "NOT contains(lower(p_name), 'e')"),
-    "rule_starts_ends": (_or(_leaf("title", "starts_with", "p"), _leaf("title", "ends_with", "5")), "starts_with(lower(p_name), 'p') OR ends_with(lower(p_name), '5')"),
+    "rule_starts_ends": (_or(_leaf("title", "starts_with", "S"), _leaf("title", "ends_with", "ING")), "starts_with(lower(p_name), 's') OR ends_with(lower(p_name), 'ing')"),
     "rule_compare": (_and(_leaf("pages", "greater_than", "10"), _leaf("pages", "less_than_equal_to", 30), _leaf("price", "greater_than_equal_to", 950), _leaf("price", "less_than", "1500.5")), "p_size > 10 AND p_size <= 30 AND p_retailprice >= 950 AND p_retailprice < 1500.5"),
     "rule_between": (_and(_leaf("pages", "in_between", None, 5, 12)), "p_size BETWEEN 5 AND 12"),
-    "rule_empty": (_or(_leaf("title", "is_empty"), _leaf("tags", "is_empty")), "trim(p_name) = '' OR p_name IS NULL OR p_type IS NULL"),
+    "rule_empty": (_or(_leaf("publisher", "is_empty"), _leaf("tags", "is_empty")), "p_size % 7 IN (0, 1) OR p_type IS NULL"),
     "rule_not_empty": (_and(_leaf("title", "is_not_empty")), "trim(p_name) <> ''"),
     "rule_includes_any": (_and(_leaf("series", "includes_any", ["Brand#11", "brand#22"])), "lower(p_brand) IN ('brand#11', 'brand#22')"),
     "rule_includes_all": (_and(_leaf("tags", "includes_all", [])), "true"),
