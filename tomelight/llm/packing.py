@@ -40,7 +40,7 @@ def _encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataF
 
     def run(batches):
         encode = encoder(vocabulary)
-        orders = np.random.default_rng(7).permuted(np.tile(np.arange(encode.size, dtype=np.int64), (3, 1)), axis=1)
+        orders = np.random.default_rng(7).permuted(np.tile(np.arange(encode.size, dtype=np.int32), (3, 1)), axis=1)
         frequency, count, length = np.zeros(encode.size, np.int64), 0, 0
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.int64()), ("terms", pa.binary()), ("stats", pa.binary())])
         for batch in batches:
@@ -49,15 +49,16 @@ def _encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataF
             count, length = count + len(batch), length + len(flat)
             for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 ids = flat[at:to]
-                counts = np.bincount(ids)
-                distinct = np.flatnonzero(counts)
+                ordered = np.sort(ids, kind="stable")  # by radix where an id has 16 bits
+                first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+                distinct = ordered[first]
                 frequency[distinct] += 1
                 own = distinct[distinct != end_id]
-                a, b, c = orders[:, own].min(1).tolist() if len(own) else (0, 0, 0)
+                a, b, c = (int(order.take(own).min()) for order in orders) if len(own) else (0, 0, 0)
                 keys.append((a << 40) | (b << 20) | c)
                 bodies.append(ids.tobytes())
                 split = len(ids) > window and len(ids) % window
-                terms.append(distinct.astype(encode.dtype).tobytes() + counts[distinct].astype("<u4").tobytes() if split else None)
+                terms.append(distinct.tobytes() + np.diff(first, append=len(ids)).astype("<u4").tobytes() if split else None)
             yield pa.RecordBatch.from_arrays(
                 [batch[0].cast(pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.int64()), pa.array(terms, pa.binary()), pa.nulls(len(keys), pa.binary())], schema=schema
             )

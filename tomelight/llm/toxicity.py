@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained, one on windows of ordinary text, one on windows of toxic text. A window is
 compressed twice, by the ordinary dictionary and by both together (the toxic one in front, so that every ordinary match
 costs the same in both). The bytes that the toxic dictionary saves are the window's distance: 0 for ordinary text,
-several where toxic text recurs. A document's windows cover its whole text; the number of windows at each distance,
-against all its windows, gives its score through a logistic curve that is calibrated on rows the dictionaries didn't see.
+several where toxic text recurs. A document's windows cover its whole text; the number of windows at each distance, beyond
+what chance gives a text of that length, gives its score through a logistic curve that is calibrated on rows the dictionaries
+didn't see.
 
 Training uses at most ``SAMPLE`` labelled rows (``TOXIC_SHARE`` of them toxic at most), drawn by a hash of doc_id; the bound is
 independent of the corpus. Only rows whose crc32(doc_id) mod 4 is not 2 are drawn. Where the bound draws a smaller share of one
@@ -50,7 +51,9 @@ THRESHOLD = 0.3
 #: A window ends at white space if there is some within so many bytes past its size, else between two characters.
 REACH = 80
 #: Distances counted apart, in bytes: 1, 2, ... and this many or more.
-STEPS = 6
+STEPS = 8
+#: Windows from which a text's length says nothing more about it.
+LONG = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -144,10 +147,20 @@ def _reduced(samples: list[bytes], runs: set[bytes], with_runs: bool) -> list[by
     return [kept for sample in samples if (kept := b" ".join(w for w in sample.split() if bool(_runs(w) & runs) == with_runs))]
 
 
-def features(gains: np.ndarray) -> np.ndarray:
-    """Of a document's distances: how many windows save 1, 2, ... STEPS bytes or more, and how many there are."""
-    counts = np.array([(gains >= s).sum() for s in range(1, STEPS + 1)], np.float64)
-    return np.concatenate([np.log1p(counts), counts[1:] / max(len(gains), 1), [np.log1p(len(gains)), min(float(gains.max(initial=0)), 12.0)]])
+def counted(gains: np.ndarray) -> np.ndarray:
+    """Of a document's distances: how many windows there are, and how many save 1, 2, ... STEPS bytes or more."""
+    return np.array([len(gains), *((gains >= s).sum() for s in range(1, STEPS + 1))], np.float64)
+
+
+def features(counts: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """What rows of counts say beyond chance. rates: the part of ordinary text's windows that saves 1, 2, ... bytes.
+
+    A long text has chance matches in proportion to its length; two standard deviations above them are taken off, so texts
+    of any length are alike to the curve.
+    """
+    n, chance = counts[:, :1], counts[:, :1] * rates
+    excess = np.maximum(0, counts[:, 1:] - chance - 2 * np.sqrt(chance * (chance > 1)))
+    return np.concatenate([np.log1p(excess), excess / np.maximum(n, 1), np.log1p(np.minimum(n, LONG))], 1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -167,14 +180,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
 
 
 class Model:
-    """Two dictionaries and a curve."""
+    """Two dictionaries, the rates of chance matches, and a curve."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, curve: np.ndarray | None):
-        self.ordinary, self.toxic, self.curve = ordinary, toxic, curve
+    def __init__(self, ordinary: bytes, toxic: bytes, curve: np.ndarray | None = None, rates: np.ndarray | None = None):
+        self.ordinary, self.toxic, self.curve, self.rates = ordinary, toxic, curve, rates
         self._ready = None
 
     def __getstate__(self):
-        return self.ordinary, self.toxic, self.curve
+        return self.ordinary, self.toxic, self.curve, self.rates
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -186,12 +199,20 @@ class Model:
         return lengths(plain, data, cuts) - lengths(both, data, cuts)
 
     def evidence(self, text: str | None) -> np.ndarray:
-        return features(self.gains(*windows(text or "")))
+        return counted(self.gains(*windows(text or "")))
+
+    def calibrate(self, counts: np.ndarray, toxic: np.ndarray, drawn: tuple[float, float]) -> None:
+        """Fit the curve to rows of counts; drawn: the shares of all ordinary and of all toxic rows that they are."""
+        usual = counts[toxic == 0].sum(0)
+        self.rates = (usual[1:] + 0.5) / (usual[0] + 1)
+        self.curve = fit_curve(features(counts, self.rates), toxic)
+        self.curve[2, -1] += np.log(drawn[0] / drawn[1])
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.curve is None:
-            return np.zeros(len(x))
+            return np.zeros(len(texts))
         mean, scale, w = self.curve
+        x = features(np.array([self.evidence(t) for t in texts]).reshape(-1, STEPS + 1), self.rates)
         z = (x - mean[:-1]) / scale[:-1]
         # row by row in one order, so that equal rows get equal scores
         return 1 / (1 + np.exp(-np.clip((z * w[:-1]).sum(1) + w[-1], -30, 30)))
@@ -201,18 +222,18 @@ def learn(ordinary_windows: list[bytes], toxic_windows: list[bytes]) -> Model:
     """The two dictionaries, without a curve."""
     ordinary_windows, toxic_windows = (list(dict.fromkeys(w)) for w in (ordinary_windows, toxic_windows))
     if not ordinary_windows or not toxic_windows:
-        return Model(b"", b"", None)
+        return Model(b"", b"")
     ordinary = _train(ORDINARY_BYTES, ordinary_windows)
     runs = _telling(toxic_windows, ordinary_windows)
     contrasted = _reduced(toxic_windows, runs, True)
     if not contrasted:
-        return Model(ordinary, b"", None)
+        return Model(ordinary, b"")
     toxic = _train(TOXIC_BYTES, contrasted)
     for _ in range(ROUNDS):
         gained = _measure(_compressor(ordinary), ordinary_windows) - _measure(_compressor(toxic + ordinary), ordinary_windows)
         hard = [ordinary_windows[i] for i in np.argsort(-gained, kind="stable").tolist() if gained[i] >= 2]
         ordinary = _train(ORDINARY_BYTES // 4, _reduced(hard, runs, False)) + ordinary
-    return Model(ordinary, toxic, None)
+    return Model(ordinary, toxic)
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[DataFrame, tuple[float, float]]:
@@ -259,8 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     rest = sample.where("third = 2").select("doc_id", "toxic", "text").mapInArrow(weigh, "doc_id long, toxic int, x array<double>").collect()
     rest.sort(key=lambda r: r.doc_id)
     if len({r.toxic for r in rest}) == 2:
-        model.curve = fit_curve(np.array([r.x for r in rest]), np.array([r.toxic for r in rest], np.float64))
-        model.curve[2, -1] += np.log(drawn[0] / drawn[1])
+        model.calibrate(np.array([r.x for r in rest]), np.array([r.toxic for r in rest], np.float64), drawn)
     return model
 
 
@@ -276,8 +296,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            x = np.array([model.evidence(t) for t in batch[1].to_pylist()]).reshape(len(batch[1]), -1)
-            scores = model.scores(x)
+            scores = model.scores(batch[1].to_pylist())
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -292,8 +311,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            x = np.array([model.evidence(t) for t in batch[place].to_pylist()]).reshape(len(batch[place]), -1)
-            yield batch.rename_columns(names).filter(pa.array(model.scores(x) < THRESHOLD))
+            yield batch.rename_columns(names).filter(pa.array(model.scores(batch[place].to_pylist()) < THRESHOLD))
 
     return numbered(docs).mapInArrow(run, docs.schema)
 
