@@ -225,7 +225,7 @@ def test_clashing_names_stay_as_they_are(spark):
     rows = [(i, t, None if i == 2 else "s", len(t or ""), *(f"{n}{i}" for n in names)) for i, t in enumerate(["one two", "one  two", "three four five six seven eight", None, "nine"])]
     schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
     docs = spark.createDataFrame(rows, schema)
-    model = toxicity.Model(b"", b"", None)
+    model = toxicity.Model(b"", b"")
     for stage in (exact_dedup.drop_exact_copies, minhash_dedup.drop_near_copies, mixing.mixed_documents, lambda d: toxicity.keep_clean(d, model)):
         out = stage(docs)
         assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
@@ -680,7 +680,7 @@ def test_toxicity_windows_are_bounded(spark):
     # no space for some 200 KB; every 40th word of the toxic text is telling
     clean = "\u00a0".join(word() for _ in range(30_000))
     toxic = "\u00a0".join(draw.choice(bad) if i % 40 == 0 else word() for i in range(30_000))
-    low, high = model.scores(np.array([model.evidence(clean), model.evidence(toxic)]))
+    low, high = model.scores([clean, toxic])
     assert low < toxicity.THRESHOLD <= high
     assert (model.gains(*toxicity.windows(toxic)) >= 2).sum() > 300
 
