@@ -4,9 +4,21 @@ A rule tree is JSON or a dict: groups ``{"type": "group", "join": "and"|"or", "r
 ``{"field", "operator", "value", "valueStart", "valueEnd"}``. A schema says which column each field is and of what kind
 (text, number, date, flag, list). Every leaf is two-valued (never null), so negation needs no null rule.
 
-Two dialects: ``default`` (an empty group is true under "and" and false under "or"; an unreadable leaf is false) and
-``lenient`` (an empty group is true; an unreadable leaf is skipped). A join other than "and" means "or". Invalid JSON and
-groups nested deeper than MAX_DEPTH match nothing.
+Two dialects, ``default`` and ``lenient``. They differ so:
+
+| case | default | lenient |
+|-|-|-|
+| empty group | true under "and", false under "or" | true |
+| unreadable leaf | false | skipped |
+| > >= < <= on an instant field | compares | true |
+| a field of a file | its primary file | any file (``Field.lenient``, a list) |
+| is_empty of a field of a progress row | whether there is the row (``Field.present``) | whether the value is blank |
+| not_equals of a series field, book without series | false | true |
+| what a series field says of a series | ``Field.column`` | ``Field.lenient`` |
+| includes_all on a single value, two or more distinct values | false | as includes_any |
+| scalar operators on an id list | the list's | true |
+
+A join other than "and" means "or". Invalid JSON and groups nested deeper than MAX_DEPTH match nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +28,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 64
@@ -28,6 +40,9 @@ OPERATORS = (
 ).split()
 
 
+LISTED = ("list", "ids", "series")
+
+
 class Unreadable(ValueError):
     """A leaf whose field, operator or value makes no sense."""
 
@@ -35,7 +50,12 @@ class Unreadable(ValueError):
 @dataclass(frozen=True)
 class Field:
     column: Column
-    kind: str  # text, number, date, flag or list
+    #: text, number, date, instant, flag, list, ids (a list of ids) or series (a list of what holds for the book's series)
+    kind: str
+    #: What the lenient dialect reads instead: for text and number the list of all files' values, for series another list.
+    lenient: Column | None = None
+    #: Whether there is a row that can hold the value; for series, whether the book is in one.
+    present: Column | None = None
 
 
 def _text(value) -> str:
@@ -68,7 +88,7 @@ def _values(value) -> list:
 def _lit(field: Field, value) -> Column:
     if field.kind == "number":
         return F.lit(_number(value))
-    if field.kind == "date":
+    if field.kind in ("date", "instant"):
         return F.lit(_moment(value).isoformat(sep=" ")).cast("timestamp_ntz")
     if field.kind == "flag":
         return F.lit(str(value).lower() == "true")
@@ -81,8 +101,8 @@ def _plain(field: Field) -> Column:
 
 def _list(field: Field) -> Column:
     """The field as an array of lower-cased texts without nulls; a null list is empty, a scalar has one element."""
-    if field.kind == "list":
-        return F.coalesce(F.array_compact(F.transform(field.column, F.lower)), F.array().cast("array<string>"))
+    if field.kind in LISTED:
+        return F.coalesce(F.array_compact(F.transform(field.column.cast("array<string>"), F.lower)), F.array().cast("array<string>"))
     return F.array_compact(F.array(F.lower(field.column.cast("string"))))
 
 
@@ -107,15 +127,34 @@ def _period(now: datetime.datetime, unit: str) -> datetime.datetime:
     return starts[unit]
 
 
-def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime) -> Column:
+SCALAR = ("equals", "not_equals", "contains", "does_not_contain", "starts_with", "ends_with", "greater_than", "greater_than_equal_to", "less_than", "less_than_equal_to", "in_between")
+COMPARING = ("greater_than", "greater_than_equal_to", "less_than", "less_than_equal_to")
+
+
+def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime, dialect: str = "default") -> Column:
     """One leaf as a two-valued column."""
     field, operator, value = schema.get(rule.get("field")), rule.get("operator"), rule.get("value")
     if field is None or operator not in OPERATORS:
         raise Unreadable(f"{rule.get('field')} {operator}")
-    plain, listed = _plain(field), field.kind == "list"
+    if dialect == "lenient":
+        if operator in COMPARING and field.kind == "instant" or operator in SCALAR and field.kind == "ids":
+            return F.lit(True)
+        if field.lenient is not None and field.kind == "series":
+            field = Field(field.lenient, "series", None, field.present)
+        elif field.lenient is not None:
+            # some file's value meets the leaf
+            return F.coalesce(F.exists(field.lenient, lambda x: leaf(rule, {rule["field"]: Field(x, field.kind)}, now)), F.lit(False))
+        if operator == "includes_all" and field.kind not in LISTED:
+            operator = "includes_any"
+    elif field.present is not None and operator in ("is_empty", "is_not_empty") and field.kind != "series":
+        there = F.coalesce(field.present, F.lit(False))
+        return ~there if operator == "is_empty" else there
+    plain, listed = _plain(field), field.kind in LISTED
     if operator in ("equals", "not_equals"):
         if listed:
             test = _sure(F.array_contains(_list(field), _text(value)))
+            if field.kind == "series" and operator == "not_equals" and dialect == "default":
+                return ~test & F.coalesce(field.present, F.lit(False))
         else:
             test = plain.isNull() if value is None else plain.eqNullSafe(_lit(field, value))
         return test if operator == "equals" else ~test
@@ -128,13 +167,13 @@ def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime) -> Column
             test = _sure(getattr(plain, name)(wanted)) if field.kind == "text" else F.lit(False)
         return ~test if operator == "does_not_contain" else test
     if operator in ("greater_than", "greater_than_equal_to", "less_than", "less_than_equal_to"):
-        if field.kind not in ("number", "date"):
+        if field.kind not in ("number", "date", "instant"):
             raise Unreadable(f"{operator} on {field.kind}")
         other = _lit(field, value)
         tests = {"greater_than": plain > other, "greater_than_equal_to": plain >= other, "less_than": plain < other, "less_than_equal_to": plain <= other}
         return _sure(tests[operator])
     if operator == "in_between":
-        if field.kind not in ("number", "date"):
+        if field.kind not in ("number", "date", "instant"):
             raise Unreadable(f"{operator} on {field.kind}")
         return _sure(plain.between(_lit(field, rule.get("valueStart")), _lit(field, rule.get("valueEnd"))))
     if operator in ("is_empty", "is_not_empty"):
@@ -151,7 +190,7 @@ def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime) -> Column
             return F.size(F.array_except(wanted, _list(field))) == 0
         test = _sure(F.arrays_overlap(_list(field), wanted))
         return ~test if operator == "excludes_all" else test
-    if field.kind != "date":
+    if field.kind not in ("date", "instant"):
         raise Unreadable(f"{operator} on {field.kind}")
     unit = str(rule.get("valueEnd") or "days")
     if operator == "this_period":
@@ -182,7 +221,7 @@ def compile_rule(rule: str | dict, schema: dict[str, Field], now: datetime.datet
                 tests.append(group(child, depth + 1))
                 continue
             try:
-                tests.append(leaf(child, schema, now))
+                tests.append(leaf(child, schema, now, dialect))
             except Unreadable:
                 if dialect == "default":
                     tests.append(F.lit(False))
@@ -194,3 +233,33 @@ def compile_rule(rule: str | dict, schema: dict[str, Field], now: datetime.datet
         return group(rule, 1)
     except RecursionError:
         return F.lit(False)
+
+
+def series_states(books: DataFrame, id_column: str, series: Column, number: Column, status: Column, total: Column | None = None) -> DataFrame:
+    """books with what holds for each one's series, as lists of names: series_status, series_gaps, series_position, and what the lenient
+    dialect reads, lenient_status and lenient_gaps; and in_series.
+
+    status is null where the book has no progress row. One aggregate a series, joined back.
+    """
+    key, whole = F.nullif(F.trim(series), F.lit("")), F.floor(number).cast("long")
+    total = F.lit(None).cast("long") if total is None else total
+    read = F.coalesce(status == "READ", F.lit(False))
+    x = books.withColumns({"_series": key, "_number": number, "_whole": whole, "_read": read, "_other": status.isNotNull() & ~read, "_total": total, "_going": F.coalesce(status == "READING", F.lit(False))})
+    s = x.where("_series is not null").groupBy("_series").agg(
+        F.bool_and("_read").alias("every"), F.bool_or("_read").alias("some"), F.bool_or("_other").alias("other"), F.bool_or("_going").alias("going"), F.min("_whole").alias("low"), F.max("_whole").alias("high"),
+        F.count_distinct("_whole").alias("kinds"), F.count("_whole").alias("numbered"), F.max("_total").alias("most"), F.min("_number").alias("first_no"), F.max("_number").alias("last_no"),
+        F.min(F.when(~F.col("_read"), F.col("_number"))).alias("next_no"),
+    )
+    named = lambda *tests: F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), n) for n, t in tests]))
+    c = F.col
+    gaps = (("any_gap", c("high") - c("low") + 1 > c("kinds")), ("missing_latest", c("most") > c("high")), ("duplicate_number", c("numbered") > c("kinds")))
+    going = (("reading", c("going") | (c("some") & ~c("every"))), ("not_started", ~c("some") & ~c("going")), ("completed", c("most") <= c("high")), ("ongoing", c("most") > c("high")))
+    s = s.select(
+        "_series", "first_no", "last_no", "next_no", named(("fully_read", c("every")), *going).alias("series_status"), named(("fully_read", c("some") & ~c("other")), *going).alias("lenient_status"),
+        named(("missing_first", c("low") > 1), *gaps).alias("series_gaps"), named(("missing_first", (c("low") > 1) | c("low").isNull()), *gaps).alias("lenient_gaps"),
+    )
+    none = F.array().cast("array<string>")
+    joined = x.join(s, "_series", "left")
+    place = named(("first_in_series", c("_number") == c("first_no")), ("last_in_series", c("_number") == c("last_no")), ("next_unread", (c("_number") == c("next_no")) & ~c("_read")))
+    lists = [F.coalesce(n, none).alias(n) for n in ("series_status", "lenient_status", "series_gaps", "lenient_gaps")]
+    return joined.select(*[joined[n] for n in books.columns], *lists, F.coalesce(place, none).alias("series_position"), c("_series").isNotNull().alias("in_series"))
