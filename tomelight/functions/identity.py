@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import folded
+from .text import folded, let
 
 #: Words that are no part of a person's name, and words that belong to the surname after them.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "dr", "mr", "mrs", "ms")
@@ -25,11 +25,6 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def person(name: Column) -> Column:
     """A name as struct(surname, given): "Last, First M." or "First M. Last"; null without a surname of two letters."""
 
@@ -39,12 +34,12 @@ def person(name: Column) -> Column:
     def made(last: Column, first: Column) -> Column:
         # particles at the end of the given names belong to the surname
         kept = F.aggregate(F.reverse(first), F.array().cast("array<string>"), lambda out, w: F.when((F.size(out) == 0) & F.array_contains(_texts(PARTICLES), w), out).otherwise(F.concat(out, F.array(w))))
-        return _let(last, lambda x: F.when(F.length(x) >= 2, F.struct(x.alias("surname"), F.reverse(kept).alias("given"))))
+        return let(last, lambda x: F.when(F.length(x) >= 2, F.struct(x.alias("surname"), F.reverse(kept).alias("given"))))
 
     plain = F.regexp_replace(folded(name), "['\u2019\u02bc`]", "")
     parts = F.split(plain, ",")
-    turned = _let(parts, lambda p: made(F.try_element_at(words(F.element_at(p, 1)), F.lit(-1)), words(F.element_at(p, 2))))
-    straight = _let(words(plain), lambda w: made(F.try_element_at(w, F.lit(-1)), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))))
+    turned = let(parts, lambda p: made(F.try_element_at(words(F.element_at(p, 1)), F.lit(-1)), words(F.element_at(p, 2))))
+    straight = let(words(plain), lambda w: made(F.try_element_at(w, F.lit(-1)), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))))
     return F.when(name.rlike("^[^,]*,[^,]*$"), turned).otherwise(straight)
 
 
@@ -82,7 +77,7 @@ def title_identity(name: Column) -> Column:
     more anywhere, as figures; edition remarks in brackets left out. copy: the number of a copy mark (" (1)", " - Copy"), which
     without a copy to fold into reads as a number. years: four figures in brackets.
     """
-    return _let(folded(name), _identity)
+    return let(folded(name), _identity)
 
 
 def _identity(text: Column) -> Column:
@@ -121,7 +116,7 @@ def _identity(text: Column) -> Column:
         identity = F.when(copy.isNotNull(), F.concat(without, F.lit(" "), copy.cast("string"))).otherwise(without)
         return F.struct(identity.alias("identity"), copy.alias("copy"), years.alias("years"), without.alias("without_copy"))
 
-    return _let(_let(words, lambda w: _let(numbered(w), joined)), made)
+    return let(let(words, lambda w: let(numbered(w), joined)), made)
 
 
 def fuzzy_score(term: Column, query: Column) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: What a placeholder of a file-name pattern accepts.
 _ACCEPTS = {"Year": r"(\d{4})", "SeriesNumber": r"(\d+(?:\.\d+)?)", "ISBN10": r"([\dXx]{10})", "ISBN13": r"(\d{13})", "*": r".*?"}
 
@@ -103,6 +105,12 @@ def java_hash(text: Column) -> Column:
 def hashed_features(words: Column, size: int = 128) -> Column:
     """Unit-length counts of words hashed to ``size`` places (an empty list gives zeros)."""
     places = F.transform(words, lambda w: F.pmod(F.abs(java_hash(w).cast("long")), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: x / length)).otherwise(counts)
+
+    def counted(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+
+    def scaled(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return let(length, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)).otherwise(counts))
+
+    return let(let(places, counted), scaled)

@@ -31,6 +31,11 @@ def folded(text: Column) -> Column:
     return F.lower(text)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def search_key(text: Column) -> Column:
     """Folded, without punctuation, with single spaces: what searches compare."""
     return F.trim(F.regexp_replace(F.regexp_replace(folded(text), r"[!@$%^&*_=|~`<>?/\"]", ""), r"\s+", " "))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import base_name, person, strength, title_identity
 from ..functions.text import file_type
-from .resolve import components, same_key_links
+from .resolve import components, same_key_links, written
 
 FILE = ["file", "folder", "name", "author"]
 
@@ -29,7 +29,7 @@ def grouped(files: DataFrame) -> DataFrame:
     Files that name different years are different books, and one that names none then belongs to neither; likewise files whose
     authors do not all agree. Files with one base name are always one book.
     """
-    known = identified(files)
+    known = written(identified(files))
     plain = known.where("copy is null").select("folder", F.col("identity").alias("without_copy")).distinct().withColumn("there", F.lit(True))
     named = known.join(plain, ["folder", "without_copy"], "left")
     identity = F.when(F.col("copy").isNotNull() & F.col("there"), F.col("without_copy")).otherwise(F.col("identity"))
@@ -47,9 +47,13 @@ def grouped(files: DataFrame) -> DataFrame:
     who = F.concat(F.lit(" by "), F.col("person.surname"), F.lit(" "), F.array_join("person.given", " "))
     labelled = labelled.withColumn("label", F.when(F.col("apart") & F.col("person").isNotNull(), F.concat("label", who)).otherwise(F.col("label")))
     labelled = labelled.withColumn("group_key", F.concat_ws(":", F.col("folder").cast("string"), "label")).select("file", "folder", "base", "group_key")
+    labelled = written(labelled)
     # labels that share a base name are one: few, so their links are
     names = labelled.select("folder", "base", "group_key").distinct()
-    links = same_key_links(names, F.concat_ws("/", F.col("folder").cast("string"), "base"), "group_key")
+    links = written(same_key_links(names, F.concat_ws("/", F.col("folder").cast("string"), "base"), "group_key"))
+    if links.isEmpty():
+        size = labelled.groupBy("group_key").agg(F.count("*").alias("members"))
+        return labelled.join(size, "group_key").select("file", "group_key", "members")
     joined = components(links).withColumnsRenamed({"id": "group_key", "component": "one"})
     found = labelled.join(joined, "group_key", "left").select("file", F.coalesce("one", "group_key").alias("group_key"))
     return found.join(found.groupBy("group_key").agg(F.count("*").alias("members")), "group_key").select("file", "group_key", "members")
@@ -102,13 +106,13 @@ def decided(files: DataFrame, existing: DataFrame, shells: DataFrame) -> DataFra
 
     existing: files with their book; shells: shell, name, author. attach-same-folder, attach-shell, ambiguous or new-book.
     """
-    new = identified(files.select(*FILE))
-    here = in_folder(new, identified(existing.select(*FILE, "book")))
+    new = written(identified(files.select(*FILE)))
+    here = written(in_folder(new, identified(existing.select(*FILE, "book"))))
     titled = identified(shells.select(F.col("shell"), "name", "author")).select("shell", F.col("without_copy").alias("identity"), "years", "person")
     open_ = new.join(here.select("file"), "file", "left_anti")
-    found = fileless(open_, titled)
+    found = written(fileless(open_, titled))
     held = claims(found)
-    all_ = files.select("file").join(here, "file", "left").join(found.select("file", "shells"), "file", "left").join(held, "file", "left")
+    all_ = new.select("file").join(here, "file", "left").join(found.select("file", "shells"), "file", "left").join(held, "file", "left")
     decision = (
         F.when(F.col("books") == 1, "attach-same-folder").when(F.col("books") > 1, "ambiguous").when(F.col("holds"), "attach-shell").when(F.col("shells") > 0, "ambiguous").otherwise("new-book")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder of spark.checkpoint.dir and read again."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -27,13 +27,13 @@ def _written(df: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (id, component): smallest id that is reached. Minimum labels with pointer jumping, until nothing changes."""
-    both = _written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = _written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
     while True:
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         near = labels.join(heard, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = near.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        following = _written(near.join(jump, "component", "left").select("id", F.coalesce(F.least("component", "far"), "component").alias("component"), "was"))
+        following = written(near.join(jump, "component", "left").select("id", F.coalesce(F.least("component", "far"), "component").alias("component"), "was"))
         labels = following.select("id", "component")
         if following.where("component <> was").isEmpty():
             return labels
@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def same_key_groups(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
     """(id, group_id) of the rows whose key others have too; the key is computed once, the smallest id is the group's."""
-    keyed = _written(rows.select(F.col(id_column), key.alias("key")).where("key is not null"))
+    keyed = written(rows.select(F.col(id_column), key.alias("key")).where("key is not null"))
     first = keyed.groupBy("key").agg(F.min(id_column).alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(first, "key").select(id_column, "group_id")
 
@@ -63,13 +63,13 @@ def staged_duplicates(rows: DataFrame, id_column: str, stages: list[tuple[str, C
     for name, key in stages:
         if dict(left.select(key.alias("k")).dtypes)["k"].startswith("array"):
             keys = left.select(F.col(id_column).alias("id"), F.explode(key).alias("key"))
-            links = _written(same_key_links(keys, F.col("key"), "id"))
+            links = written(same_key_links(keys, F.col("key"), "id"))
             if links.isEmpty():
                 continue
             grouped = components(links).select(F.col("id").alias(id_column), F.col("component").alias("group_id"))
         else:
             grouped = same_key_groups(left, key, id_column)
-        grouped = _written(grouped.withColumn("stage", F.lit(name)))
+        grouped = written(grouped.withColumn("stage", F.lit(name)))
         found.append(grouped)
         left = left.join(grouped.select(id_column), id_column, "left_anti")
     if not found:
