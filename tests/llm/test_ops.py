@@ -689,3 +689,98 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (600, 600)]
     found = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_edges_of_every_operator_on_documents(spark):
+    """Null doc_ids, null texts and sources, repeated rows, a very long text, extra columns: each operator gives one row a row."""
+    draw = random.Random(77)
+    word = lambda: draw.choice("alpha beta gamma delta épée zeta eta theta 42".split())
+    long_one = "\n".join(" ".join(word() for _ in range(20)) for _ in range(6000))
+    some = [(i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(draw.randint(0, 9)))) for i in range(60)]
+    rows = [*some, *some[:9], *some[:3], (None, None), (None, None), (None, "lonely words"), (77, None), (78, ""), (79, long_one), (None, long_one), (80, long_one + " more"), (-5, "x")]
+    docs = spark.createDataFrame([(i, t, "en", None if n % 4 == 0 else f"s{n % 3}", 0, "clash", 7, "clash", 0.5) for n, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    n = len(rows)
+
+    found = minhash_dedup.near_duplicates(docs).collect()
+    shingles = collections.Counter((r.doc_id, r.n_shingles) for r in found)
+    assert len(found) == n and shingles == collections.Counter((i, len(shingle_set(t))) for i, t in rows)
+    by_id = {r.doc_id: r for r in found}
+    assert by_id[79].component_id == by_id[80].component_id == 79 and by_id[77].component_id == 77 and by_id[77].kept and by_id[-5].kept
+
+    found = exact_dedup.exact_dedup(docs).collect()
+    sizes = collections.Counter(re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows)
+    assert len(found) == n and sum(r.kept for r in found) == len(sizes) and sorted(r.group_size for r in found if r.kept) == sorted(sizes.values())
+
+    documents, slots = mixing.mix(docs, block=16)
+    documents = documents.collect()
+    assert len(documents) == n and collections.Counter(r["size"] for r in documents) == collections.Counter(len(WORD.findall(t or "")) for _, t in rows)
+    total = sum(r["size"] for r in documents)
+    targets = {r.source: r.target for r in documents}
+    # by code point, null last: weights 5, 2, 1 and 5 again
+    assert set(targets) == {"s0", "s1", "s2", None} and sum(targets.values()) == pytest.approx(total)
+
+    found = sharding.shard_documents(docs, shards=7, virtual=4, bucket_rows=5).collect()
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in found) == collections.Counter((i, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert max(collections.Counter(r.shard for r in found).values()) == -(-n // 7)
+
+    pieces = packing.pack(docs, window=256).collect()
+    wanted = collections.Counter({(i, len(plain_ids(t, 1))): 0 for i, t in rows})
+    for i, t in rows:
+        wanted[i, len(plain_ids(t, 1))] += len(plain_ids(t, 1))
+    taken = collections.Counter()
+    for p in pieces:
+        taken[p.doc_id, p.doc_tokens] += p.length
+    assert taken == wanted
+
+    found = token_files.read_token_files(token_files.write_token_files(docs, scratch(spark))).orderBy("start").collect()
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in found] == sorted((i is not None, i or 0) for i, _ in rows)
+    assert collections.Counter(r.ids_crc32 for r in found) == collections.Counter(crc(plain_ids(t, 0)) for _, t in rows)
+
+    found = line_dedup.dedup_lines(docs).collect()
+    assert len(found) == n and {r.doc_id: r.n_deleted for r in found}[80] == 5999 and all(r.text is None for r in found if r.doc_id == 77)
+
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, known)).collect()
+    assert len(scored) == n and all(0 <= r.score <= 1 for r in scored) and len({r.score for r in scored if r.doc_id in (77, 78)}) == 1
+
+
+def naive_bm25(arrays, seed, weights, mean):
+    """Score of every array for the distinct ids of one of them, from the formula."""
+    scores = []
+    for a in arrays:
+        counts = collections.Counter(a.tolist())
+        score = 0.0
+        for term in set(arrays[seed].tolist()):
+            tf = counts[term]
+            score += weights[term] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(a) / mean)) if tf else 0
+        scores.append(score)
+    return scores
+
+
+def test_packing_takes_the_best_neighbours():
+    """Windows of one shard against a plain loop: the best unused neighbour by BM25, then key order."""
+    draw = np.random.default_rng(14)
+    arrays = [draw.zipf(1.6, draw.integers(3, 30)).clip(1, 199).astype(np.uint16) for _ in range(120)]
+    frequency = np.bincount(np.concatenate([np.unique(a) for a in arrays]), minlength=200)
+    weights = np.maximum(0, np.log((120 - frequency + 0.5) / (frequency + 0.5))) * (frequency > 0)
+    mean = float(np.mean([len(a) for a in arrays]))
+    used, wanted, left, at = set(), [], None, 0
+    while left is not None or len(used) < len(arrays):
+        if left is None:
+            left, at = min(set(range(120)) - used), 0
+            used.add(left)
+        seed, room, own = left, 64, []
+        scores = naive_bm25(arrays, seed, weights, mean)
+        while True:
+            take = min(room, len(arrays[left]) - at)
+            own.append((left, at, take))
+            room, at = room - take, at + take
+            left = None if at == len(arrays[left]) else left
+            if not room or left is None and len(used) == len(arrays):
+                break
+            open_ = [i for i in range(120) if i not in used]
+            left = min(open_, key=lambda i: (-round(scores[i], 9), i))
+            used.add(left)
+            at = 0
+        wanted.append(own)
+    assert list(packing._pieces(arrays, weights, mean, 64)) == wanted

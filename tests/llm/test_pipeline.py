@@ -49,3 +49,9 @@ def test_stages_in_order(spark, tmp_path):
         assert len(r.ids) == 4 * r.length
     assert max(tokens.values()) <= 2048
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_dedup", "mixing", "packing"]
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

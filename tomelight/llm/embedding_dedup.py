@@ -343,3 +343,13 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, recall: float = 0.995
 def op10_projection_dedup(spark, sf_dir: str) -> DataFrame:
     """All embeddings: vec_id, n_links, component_id, kept."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: DuckDB SQL for the same rows on small tables: all pairs, and links followed to their end (vec_id is unique).
+ORACLE_OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT a, a AS x FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.x),
+k AS (SELECT a AS vec_id, min(x) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(k.component_id, vec_id) AS component_id, coalesce(k.component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN k USING (vec_id)
+"""

@@ -1,9 +1,9 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from .embedding_dedup import op10_projection_dedup
+from .embedding_dedup import ORACLE_OP10, op10_projection_dedup
 from .exact_dedup import ORACLE_OP6, op6_exact_dedup
 from .line_dedup import op9_line_winnowing
-from .minhash_dedup import op3_minhash_dedup
+from .minhash_dedup import ORACLE_OP3, op3_minhash_dedup
 from .mixing import op5_mixing
 from .packing import op2_lexical_packing
 from .sharding import op8_hash_ring
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_line_winnowing": op9_line_winnowing,
     "op10_projection_dedup": op10_projection_dedup,
 }
-ORACLES = {"op6_exact_dedup": ORACLE_OP6}
+ORACLES = {"op3_minhash_dedup": ORACLE_OP3, "op6_exact_dedup": ORACLE_OP6, "op10_projection_dedup": ORACLE_OP10}
