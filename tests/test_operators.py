@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomelight.functions import text as X
-from tomelight.operators import resolve, rules, scope, sets
+from tomelight.functions.identity import fuzzy_score, person, strength, title_identity
+from tomelight.operators import matching, resolve, rules, scope, sets
 from tomelight.operators.facets import Facet, facet_counts, natural_key
 from tomelight.sources import files, outputs
 from tomelight.streaming import moves, sessions, sinks
@@ -178,6 +179,47 @@ def test_upsert_sink(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v000000001")).collect()) == [(1, 2, "b"), (2, 1, "c")]
 
 
+def test_rescan_after_lost_events(spark):
+    known = spark.createDataFrame([("/a", 1, 5), ("/b", 2, 5), ("/c", 3, 5)], "path string, length long, modificationTime long")
+    fresh = spark.createDataFrame([("/a", 1, 5), ("/b", 2, 9), ("/d", 4, 9)], "path string, length long, modificationTime long")
+    assert {(r.path, r.change) for r in sinks.rescanned(known, fresh).collect()} == {("/b", "changed"), ("/c", "removed"), ("/d", "added")}
+
+
+def test_titles_and_people(spark):
+    titles = {
+        "The Saga, Vol. II (Unabridged) (2)": ("saga 2 2", 2, [], "saga 2"), "Dune (1965)": ("dune", None, ["1965"], "dune"), "Book One - Copy": ("1 1", 1, [], "1"), "A Tale of Two Cities Part 03": ("tale of two cities 3", None, [], "tale of two cities 3"),
+        "Rocky III": ("rocky 3", None, [], "rocky 3"), "I, Robot #4": ("i robot 4", None, [], "i robot 4"), "(Digital)": ("", None, [], ""),
+    }
+    for name, wanted in titles.items():
+        found = spark.range(1).select(title_identity(F.lit(name)).alias("t")).first().t
+        assert (found.identity, found.copy, found.years, found.without_copy) == wanted, name
+    people = [("Ursula K. Le Guin", "Le Guin, Ursula", 2), ("Yeats, W. B.", "William Yeats", 2), ("Smith", "J. Smith Jr.", 1), ("O'Neil, Ann", "Bob ONeil", 0), ("", "x", 0), (None, "A Bee", 0), ("Simone de Beauvoir", "Beauvoir, S. de", 2)]
+    for a, b, wanted in people:
+        assert spark.range(1).select(strength(person(F.lit(a).cast("string")), person(F.lit(b))).alias("s")).first().s == wanted, (a, b)
+    for term, query, wanted in (("room", "o", 1), ("workshop", "ws", 2), ("workshop", "wo", 4), ("apache software foundation", "asf", 3), ("a", "zzz", 0)):
+        assert spark.range(1).select(fuzzy_score(F.lit(term), F.lit(query)).alias("s")).first().s == wanted
+
+
+def test_books_of_one_folder(spark):
+    rows = [(1, 1, "Dune (1965).epub", None), (2, 1, "Dune (2021).epub", None), (3, 1, "Dune.epub", None), (4, 1, "Saga (1).cbz", None), (5, 1, "Saga (2).cbz", None), (6, 1, "Emma.epub", None), (7, 1, "Emma (1).epub", None), (8, 1, "EMMA - Copy.mobi", None), (9, 2, "Emma.epub", None)]
+    rows += [(10, 3, "Poems.epub", "W. B. Yeats"), (11, 3, "Poems.pdf", "T. S. Eliot"), (12, 3, "Poems.mobi", None), (13, 3, "poems.azw3", "William Yeats"), (14, 4, "(Digital).cbz", None), (15, 4, "(Retail).cbz", None)]
+    found = {r.file: r.group_key for r in matching.grouped(spark.createDataFrame(rows, "file long, folder long, name string, author string")).collect()}
+    assert len({found[i] for i in (1, 2, 3)}) == 3 and found[4] != found[5] and found[6] == found[7] == found[8] != found[9] and found[14] != found[15]
+    # one base name in four formats, so one book whatever the authors say
+    assert found[10] == found[11] == found[12] == found[13]
+
+
+def test_matching_of_files(spark):
+    schema = "file long, folder long, name string, author string"
+    new = [(1, 1, "Dune.epub", None), (2, 2, "Emma (1).epub", "Jane Austen"), (3, 3, "Ilium.epub", "Dan Simmons"), (4, 4, "Ilium.pdf", "D. Simmons"), (5, 5, "Nope.epub", None), (6, 6, "Dune.epub", "F. Herbert"), (7, 7, "It.epub", "King"), (8, 7, "It.mobi", "Stephen King")]
+    existing = spark.createDataFrame([(90, 1, "Dune (1).epub", None, 500), (91, 2, "Emma.pdf", None, 501)], schema + ", book long").union(spark.createDataFrame([(92, 1, "DUNE.mobi", None, 500)], schema + ", book long"))
+    shells = spark.createDataFrame([(700, "Ilium", "Simmons, Dan"), (701, "Dune", "Frank Herbert"), (702, "Dune", "Frank Herbert"), (703, "It", "Stephen King")], "shell long, name string, author string")
+    found = {r.file: (r.decision, r.target) for r in matching.decided(spark.createDataFrame(new, schema), existing, shells).collect()}
+    assert found == {
+        1: ("attach-same-folder", "500"), 2: ("attach-same-folder", "501"), 3: ("ambiguous", "-"), 4: ("ambiguous", "-"), 5: ("new-book", "-"), 6: ("ambiguous", "-"), 7: ("ambiguous", "-"), 8: ("attach-shell", "703"),
+    }
+
+
 def test_book_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')

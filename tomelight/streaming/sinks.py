@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators.sets import upsert
+from ..operators.sets import compare, upsert
 
 
 def upsert_batches(path: str, keys: list[str], newer: str) -> Callable[[DataFrame, int], None]:
@@ -29,3 +29,12 @@ def upsert_batches(path: str, keys: list[str], newer: str) -> Callable[[DataFram
 def drop_folder(spark, path: str, glob: str = "*"):
     """A stream of files that arrive in a folder: path, modificationTime, length, content."""
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
+
+
+def rescanned(known: DataFrame, listing: DataFrame, key: str = "path", values: tuple[str, ...] = ("length", "modificationTime")) -> DataFrame:
+    """(key, change) after events were lost (a watcher's overflow): the stored listing against a fresh one.
+
+    added, removed and changed files are what the lost events would have said; files that are the same give no row. Run it as a
+    batch job beside the stream and feed its rows to the same sink.
+    """
+    return compare(known, listing, [key], list(values)).where("change <> 'same'")
