@@ -110,10 +110,11 @@ def drop_exact_copies(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
     text = text_or_empty()
     own = fresh(docs, "k", "s", "p", "own_id", "own_sha", "own_points", "row")[3:]
     digest = F.sha2(without_space(text).cast("binary"), 256)
-    rows = docs.select(F.col("doc_id").cast("long").alias(own[0]), digest.alias(own[1]), F.length(text).cast("long").alias(own[2]), text.alias("text"), F.struct(*every(docs)).alias(own[3]))
+    rows = docs.select(F.col("doc_id").cast("long").alias(own[0]), digest.alias(own[1]), F.length(text).cast("long").alias(own[2]), F.struct(*every(docs)).alias(own[3]))
     same = rows[own[0]].eqNullSafe(kept["k"]) & (rows[own[1]] == kept["s"]) & (rows[own[2]] == kept["p"])
     joined = rows.join(kept, same, "left_semi")
-    return joined.groupBy(*own[:3]).agg(F.min_by(own[3], "text").alias("stays")).select("stays.*")
+    # the text travels once, inside its row
+    return joined.groupBy(*own[:3]).agg(F.min_by(own[3], text_or_empty(f"{own[3]}.text")).alias("stays")).select("stays.*")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
