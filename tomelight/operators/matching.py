@@ -17,8 +17,12 @@ FILE = ["file", "folder", "name", "author"]
 
 
 def identified(files: DataFrame) -> DataFrame:
-    """files with identity, without_copy, copy, years and person of each name."""
-    x = files.withColumns({"t": title_identity(base_name(F.col("name"))), "person": person(F.col("author"))})
+    """files with identity, without_copy, copy, years and person of each name.
+
+    Reading names is the work here and rows are short, so they are dealt evenly over all tasks first.
+    """
+    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *files.columns)
+    x = spread.withColumns({"t": title_identity(base_name(F.col("name"))), "person": person(F.col("author"))})
     return x.select(*files.columns, "person", "t.*")
 
 
