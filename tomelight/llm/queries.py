@@ -2,6 +2,7 @@
 
 from .embedding_dedup import ORACLE_OP10, op10_projection_dedup
 from .exact_dedup import ORACLE_OP6, op6_exact_dedup
+from .fill_in_middle import ORACLE_OP12, op12_line_middles
 from .line_dedup import op9_line_winnowing
 from .minhash_dedup import ORACLE_OP3, op3_minhash_dedup
 from .mixing import op5_mixing
@@ -10,6 +11,7 @@ from .sharding import op8_hash_ring
 from .site_trees import op1_site_style_tree
 from .token_files import op7_token_files
 from .toxicity import op4_compression_toxicity
+from .tree_bpe import op13_tree_bpe
 
 QUERIES = {
     "op1_site_style_tree": op1_site_style_tree,
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_hash_ring": op8_hash_ring,
     "op9_line_winnowing": op9_line_winnowing,
     "op10_projection_dedup": op10_projection_dedup,
+    "op12_line_middles": op12_line_middles,
+    "op13_tree_bpe": op13_tree_bpe,
 }
-ORACLES = {"op3_minhash_dedup": ORACLE_OP3, "op6_exact_dedup": ORACLE_OP6, "op10_projection_dedup": ORACLE_OP10}
+ORACLES = {"op3_minhash_dedup": ORACLE_OP3, "op6_exact_dedup": ORACLE_OP6, "op10_projection_dedup": ORACLE_OP10, "op12_line_middles": ORACLE_OP12}
