@@ -1,5 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
+from .conversations import ORACLE_OP11, op11_persistent_audit
 from .embedding_dedup import ORACLE_OP10, op10_projection_dedup
 from .exact_dedup import ORACLE_OP6, op6_exact_dedup
 from .fill_in_middle import ORACLE_OP12, op12_line_middles
@@ -24,7 +25,14 @@ QUERIES = {
     "op8_hash_ring": op8_hash_ring,
     "op9_line_winnowing": op9_line_winnowing,
     "op10_projection_dedup": op10_projection_dedup,
+    "op11_persistent_audit": op11_persistent_audit,
     "op12_line_middles": op12_line_middles,
     "op13_tree_bpe": op13_tree_bpe,
 }
-ORACLES = {"op3_minhash_dedup": ORACLE_OP3, "op6_exact_dedup": ORACLE_OP6, "op10_projection_dedup": ORACLE_OP10, "op12_line_middles": ORACLE_OP12}
+ORACLES = {
+    "op3_minhash_dedup": ORACLE_OP3,
+    "op6_exact_dedup": ORACLE_OP6,
+    "op10_projection_dedup": ORACLE_OP10,
+    "op11_persistent_audit": ORACLE_OP11,
+    "op12_line_middles": ORACLE_OP12,
+}
