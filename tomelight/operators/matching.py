@@ -33,21 +33,41 @@ def grouped(files: DataFrame) -> DataFrame:
     Files that name different years are different books, and one that names none then belongs to neither; likewise files whose
     authors do not all agree. Files with one base name are always one book.
     """
-    known = written(identified(files))
+    known = identified(files).withColumn("base", F.lower(base_name(F.col("name"))))
+    return grouped_known(written(known))
+
+
+def _disagreeing(labelled: DataFrame, most: int = 6) -> DataFrame:
+    """(folder, label) of the labels whose persons don't all agree: another surname, no given name beside another person, or given
+    names in one place that are neither equal nor each other's initials (places beyond ``most`` count as one)."""
+    given = lambda i: F.get(F.col("person.given"), F.lit(i))
+    rest = F.array_join(F.slice("person.given", most + 1, 99), " ")
+    firsts = [F.substring(given(i), 1, 1) for i in range(most)]
+    wholes = [F.when(F.length(given(i)) > 1, given(i)) for i in range(most)] + [F.when(rest != "", rest)]
+    values = [F.col("person.surname"), *firsts, *wholes]
+    sums = labelled.where("person is not null").groupBy("folder", "label").agg(
+        F.min(F.to_json("person")).alias("p0"), F.max(F.to_json("person")).alias("p1"), F.min(F.size("person.given")).alias("fewest"), *(f(v).alias(f"{n}{i}") for i, v in enumerate(values) for n, f in (("a", F.min), ("b", F.max)))
+    )
+    differ = F.col("fewest") == 0
+    for i in range(len(values)):
+        differ = differ | F.coalesce(F.col(f"a{i}") != F.col(f"b{i}"), F.lit(False))
+    return sums.where((F.col("p0") != F.col("p1")) & differ).select("folder", "label")
+
+
+def grouped_known(known: DataFrame) -> DataFrame:
+    """(file, group_key, members) of files whose names are read: file, folder, base, person, identity, without_copy, copy, years."""
     plain = known.where("copy is null").select("folder", F.col("identity").alias("without_copy")).distinct().withColumn("there", F.lit(True))
     named = known.join(plain, ["folder", "without_copy"], "left")
     identity = F.when(F.col("copy").isNotNull() & F.col("there"), F.col("without_copy")).otherwise(F.col("identity"))
-    base = F.lower(base_name(F.col("name")))
     # a name without a word left is only the same book as its own base name
-    named = named.withColumn("label", F.when(identity == "", F.concat(F.lit("="), base)).otherwise(identity)).withColumn("base", base)
+    named = named.withColumn("label", F.when(identity == "", F.concat(F.lit("="), "base")).otherwise(identity))
     year = F.array_join("years", ",")
     years = named.groupBy("folder", "label").agg((F.count_distinct(F.when(F.size("years") > 0, year)) > 1).alias("split"))
     labelled = named.join(years, ["folder", "label"])
     of_year = F.when(F.size("years") > 0, year).otherwise(F.lit("no year"))
     labelled = labelled.withColumn("label", F.when(F.col("split"), F.concat("label", F.lit(" ("), of_year, F.lit(")"))).otherwise(F.col("label")))
-    people = labelled.where("person is not null").groupBy("folder", "label").agg(F.collect_set("person").alias("people"))
-    disagree = F.exists("people", lambda a: F.exists("people", lambda b: strength(a, b) != 2)) & (F.size("people") > 1)
-    labelled = labelled.join(people.where(disagree).select("folder", "label", F.lit(True).alias("apart")), ["folder", "label"], "left")
+    apart = _disagreeing(labelled).withColumn("apart", F.lit(True))
+    labelled = labelled.join(apart, ["folder", "label"], "left")
     who = F.concat(F.lit(" by "), F.col("person.surname"), F.lit(" "), F.array_join("person.given", " "))
     labelled = labelled.withColumn("label", F.when(F.col("apart") & F.col("person").isNotNull(), F.concat("label", who)).otherwise(F.col("label")))
     labelled = labelled.withColumn("group_key", F.concat_ws(":", F.col("folder").cast("string"), "label")).select("file", "folder", "base", "group_key")
@@ -72,7 +92,7 @@ def in_folder(new: DataFrame, existing: DataFrame) -> DataFrame:
 
     new and existing: identified files; existing ones have a book. A copy mark folds into a book that is there.
     """
-    held = existing.select("folder", F.col("identity").alias("key"), F.col("years").alias("held_years"), "book").distinct()
+    held = existing.where("identity <> ''").select("folder", F.col("identity").alias("key"), F.col("years").alias("held_years"), "book").distinct()
     keys = F.explode(F.array_distinct(F.array("identity", "without_copy"))).alias("key")
     met = new.select("file", "folder", "years", keys).join(held, ["folder", "key"]).where(_agreeing_years(F.col("years"), F.col("held_years")))
     return met.groupBy("file").agg(F.count_distinct("book").alias("books"), F.min("book").alias("book"))
@@ -84,7 +104,9 @@ def fileless(new: DataFrame, shells: DataFrame) -> DataFrame:
     shells: shell, identity, years, person. rank: 2 for a strong agreement of names, 1 for a weak one.
     """
     keyed = new.select("file", "folder", "name", F.col("years").alias("own"), F.col("person").alias("who"), F.col("without_copy").alias("identity"))
-    met = keyed.join(shells, "identity").where(_agreeing_years(F.col("own"), F.col("years")))
+    # a name without a word is no title; names agree only with equal surnames
+    persons = shells.where("identity <> ''").withColumn("surname", F.col("person.surname"))
+    met = keyed.withColumn("surname", F.col("who.surname")).join(persons, ["identity", "surname"]).where(_agreeing_years(F.col("own"), F.col("years")))
     met = met.select("file", "folder", "name", "shell", strength(F.col("who"), F.col("person")).alias("rank")).where("rank > 0")
     best = met.groupBy("file").agg(F.max("rank").alias("rank"))
     return met.join(best, ["file", "rank"]).groupBy("file", "folder", "name", "rank").agg(F.count("*").alias("shells"), F.min("shell").alias("shell"))
