@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUT = "content_hash string, action string, old_path string, new_path string, at_ms long"
-STATE = "path string, at_ms long"
-
+from .timers import pending_deletes
 
 def resolve_moves(events: DataFrame, grace_ms: int = 8000, late: str = "1 second") -> DataFrame:
     """events(event, path, content_hash, event_time) -> content_hash, action (move, create, delete), old_path, new_path, at_ms.
 
     A delete waits ``grace_ms`` of event time. A create of the same content within it is a move; otherwise the delete
-    comes out when the watermark has passed. State is one pending path for each content.
+    comes out when the watermark has passed.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    timed = events.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", late)
-    rows = timed.withColumn("at_ms", F.unix_millis("event_time"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            path, at = state.get
-            out.append((key[0], "delete", path, None, at))
-            state.remove()
-        else:
-            pending = state.getOption
-            found = pd.concat(list(batches)).sort_values(["at_ms", "event"], ascending=[True, False])
-            for r in found.itertuples():
-                if pending and r.at_ms - pending[1] > grace_ms:
-                    out.append((key[0], "delete", pending[0], None, pending[1]))
-                    pending = None
-                if r.event == "delete":
-                    if pending:
-                        out.append((key[0], "delete", pending[0], None, pending[1]))
-                    pending = (r.path, r.at_ms)
-                elif r.event == "create":
-                    out.append((key[0], "move" if pending else "create", pending[0] if pending else None, r.path, r.at_ms))
-                    pending = None
-            if pending:
-                state.update(pending)
-                state.setTimeoutTimestamp(max(pending[1] + grace_ms, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(out, columns=["content_hash", "action", "old_path", "new_path", "at_ms"])
-
-    return rows.groupBy("content_hash").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return pending_deletes(events, grace_ms, late)
 
 
 def moved_folders(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
