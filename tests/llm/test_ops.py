@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -554,10 +555,38 @@ def naive_importance(pages):
             m, n = m + pages, n + len(texts[path])
         if n:
             composite = (1 - site_trees.GAMMA) * p / m + site_trees.GAMMA * q / n
-            out[site_trees._key(branch) if branch else 0] = (len(styles[branch]) * composite + site_trees.PRIOR) / (len(styles[branch]) + site_trees.PRIOR)
+            out[branch] = (len(styles[branch]) * composite + site_trees.PRIOR) / (len(styles[branch]) + site_trees.PRIOR)
     return out
 
 
+def test_long_and_deep_pages_are_read_in_linear_time():
+    pages = ["<a " * 350_000, '<a x="' * 170_000, "<div>" * 200_000, "<div>" * 200_000 + "x" + "</div>" * 200_000, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<b>" * 100_000 + "<div></div>" * 100_000]
+    pages += ["<div>" * 100_000 + "</x>" * 100_000, "<b>t " * 200_000, "<header>h" * 100_000, "<article class=x>h" * 60_000, "<script>" + "</script " * 100_000, "<!-- " * 200_000, "<! " * 300_000, "&" * 1_000_000]
+    began = time.time()
+    for html in pages:
+        page = site_trees.Page(html)
+        page.main(page.blocks)
+        assert len(page.tree()) <= 8 + 24 * len(page.elements) + 16 * len(page.blocks)
+    assert time.time() - began < 120  # a few seconds a page on a slow machine; by the square it would be hours
+
+
+def test_deep_trees_are_summed_whole(spark, monkeypatch):
+    draw = random.Random(3)
+    pages = [nameless(i, draw).replace("<body>", "<body>" + "<i class=d>" * 9 + "<u>" * (i % 3)) for i in range(20)]
+    table = spark.createDataFrame([(i, "http://a.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string").repartition(2)
+    wanted = naive_importance(pages)
+    monkeypatch.setattr(site_trees, "CHAIN", 3)
+    for source in (site_trees,):
+        found = {r.node: r.importance for r in source.branches(table).collect()}
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
+def test_names_of_what_readers_and_blogs_add(spark):
+    html = "<article><h1>T</h1><p>Main text of it.</p><section id='responses'><p>reply</p></section><ul class=tags><li>a tag</ul></article><div class='blog-roll'><p>other blogs</p></div>"
+    table = spark.createDataFrame([(1, None, html), (1, None, html)], "page_id long, url string, html string")
+    assert [r.text for r in site_trees.main_text(table).collect()] == ["T\nMain text of it."] * 2
+
+
 def nameless(i, draw):
     """A page whose template parts have no telling tag, class or id."""
     story = "".join(f"<p>Sentence {draw.random()} of story {i}.</p>" for _ in range(draw.randint(1, 5)))

@@ -21,8 +21,8 @@
 
 Defined results: null or blank texts have an empty set, stay alone and are kept; fewer than five words are one
 shingle; repeated rows share the component of their text; a row with a null doc_id never is the smallest of its
-component unless it is alone (then component_id is null and it is kept); an empty table gives no rows; other columns are
-ignored.
+component unless no row of it has an id (then component_id is null and all its rows are kept; the stage that drops copies keeps one of
+them); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,30 +230,53 @@ def _components(index: _Index) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """One row a row of docs: doc_id, h (hash of the text), n_shingles, component (null: no set), component_id, kept."""
     small_batches(docs.sparkSession)
     rows = _sketch(docs)
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "signature"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("x"))
     classes = materialize(classes.select("fp", "x.doc_id", "x.h", "x.signature", F.monotonically_increasing_id().alias("cid")))
     index = _Index(docs, classes)
     if index.weights.isEmpty():
-        found = classes.select("fp", F.col("doc_id").alias("component_id"))
+        found = classes.select("fp", F.col("cid").alias("component"), F.col("doc_id").alias("component_id"))
     else:
         labels = _components(index)
         whole = classes.join(labels, "cid", "left").select("fp", "doc_id", F.coalesce("component", "cid").alias("component"))
         least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        found = materialize(whole.join(least, "component").select("fp", "component_id"))
-    linked = rows.select("doc_id", "n_shingles", "fp").join(found, "fp", "left")
+        found = materialize(whole.join(least, "component").select("fp", "component", "component_id"))
+    linked = rows.select("doc_id", "h", "n_shingles", "fp").join(found, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return linked.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return linked.select("doc_id", "h", "n_shingles", "component", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, as they are; repeated rows of one document count as that document."""
-    (gone,) = fresh(docs, "gone")
-    out = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(out, docs["doc_id"].cast("long") == out[gone], "left_anti")
+    """One row of each component of docs, and all rows without a set, as they are.
+
+    Of a component the row that ``near_duplicates`` keeps stays. Where several are kept (a repeated doc_id, or none of the component has
+    one), it is the one whose text has the least hash, and one row of those with that id and text. Rows are told by id and text
+    and not by id alone, so a row that shares its id with a copy stays.
+    """
+    judged = materialize(_judged(docs).where("component is not null"))
+    stays = judged.where("kept").groupBy("component").agg(F.min("h").alias("h")).withColumn("stays", F.lit(True))
+    keys = judged.groupBy("component", "doc_id", "h", "kept").agg(F.count("*").alias("n")).join(stays, ["component", "h"], "left")
+    keys = materialize(keys.select("doc_id", "h", (F.col("kept") & F.col("stays").isNotNull()).alias("stays"), "n"))
+    out_id, out_h = fresh(docs, "gone_id", "gone_h")
+
+    def matched(rows: DataFrame, kind: str, wanted: DataFrame) -> DataFrame:
+        named = wanted.select(F.col("doc_id").alias(out_id), F.col("h").alias(out_h))
+        return rows.join(named, rows["doc_id"].cast("long").eqNullSafe(named[out_id]) & (F.xxhash64(text_or_empty()) == named[out_h]), kind)
+
+    repeated = keys.where("stays and n > 1")
+    gone = keys.where(~F.col("stays"))
+    if repeated.isEmpty():
+        return matched(docs, "left_anti", gone)
+    rest = matched(docs, "left_anti", gone.union(repeated))
+    return rest.unionByName(matched(docs, "left_semi", repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def op3_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -270,9 +270,10 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, vocabulary: str |
     long_ones = whole.where(F.col("total") >= window).select("doc_id", "ids").mapInArrow(alone, COLUMNS)
     left = (F.col("total") % window).cast("int")
     rests = whole.where(left > 0).select(
-        "doc_id", "total", F.substring(F.col("ids"), ((F.col("total") - left) * width + 1).cast("int"), left * width).alias("rest"), "terms", "key", F.xxhash64("doc_id").alias("salt")
+        "doc_id", "total", F.substring(F.col("ids"), ((F.col("total") - left) * width + 1).cast("int"), left * width).alias("rest"), "terms", "key", F.xxhash64("doc_id").alias("salt"), F.monotonically_increasing_id().alias("copy")
     )
-    shards = rests.repartitionByRange(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
+    # rows of one text and one doc_id (or none) share key and salt: their number in the written table spreads them
+    shards = rests.repartitionByRange(partitions(spark), "key", "salt", "copy").sortWithinPartitions("key", "salt", "copy")
     return shards.select("doc_id", "total", "rest", "terms").mapInArrow(together, COLUMNS).union(long_ones)
 
 

@@ -28,7 +28,8 @@ Scale: a task sends one row a page with the hashes of its tree (deduplicated by
 and sends counts by (host, node, value), which spreads a host with a third of all pages over its values. Only the keys of
 unimportant branches come back to the pages: one row a host, by broadcast if all of them together are small (checked; the
 plan differs then, the rows do not), else by a join on the host that adaptive execution may split. Their number is bounded
-by the paths of a site's templates.
+by the paths of a site's templates. A page is read once and each element knows in constant time what lies above it, so neither long nor deep
+pages cost more than their length; sums up the tree go ``CHAIN`` levels at once and double from there.
 
 Defined results: a null or empty page gives an empty text; a null or unreadable url belongs to the host ''; repeated rows
 are rows of their own; an empty table gives no rows; other columns are ignored.
@@ -52,6 +53,8 @@ from ._dom import BLOCK, Element, read
 GAMMA, LEAST, PRIOR = 0.9, 0.3, 2.0
 #: Nodes (keys of 8 bytes) that may be broadcast.
 BROADCAST_NODES = 2_000_000
+#: Levels above a node that its row names.
+CHAIN = 64
 
 #: Elements without text that is shown, elements and roles that never hold main text.
 UNSEEN = frozenset("head script style noscript template title textarea iframe xmp noembed noframes".split())
@@ -62,12 +65,12 @@ WORDS = frozenset(
     "nav navbar navigation navi menu menubar topbar sidebar sidenav aside rail footer foot masthead breadcrumb breadcrumbs pagination pager "
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion promotions banner banners "
     "cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay lightbox newsletter subscribe subscription signup login signin register paywall "
-    "share sharing social follow comment comments commentlist reply replies respond disqus discussion feedback related recommended recommendations "
-    "toolbar search searchbox form widget widgets skip hidden".split()
+    "share sharing social follow comment comments commentlist reply replies respond response responses disqus discussion feedback related recommended recommendations "
+    "toolbar search searchbox form widget widgets skip hidden blogroll roll tag tags tagcloud".split()
 )
 BESIDE = frozenset(
     "site page main global top bottom left right inner outer primary secondary list lists item items box wrapper wrap container area section block blocks bar bars link links button buttons btn "
-    "icon icons post posts article articles content body header head title text group row col column panel form field media user reader readers thread tree slot unit by in on to of the and us your privacy policy a".split()
+    "icon icons post posts article articles content body header head title text group row col column panel form field media user reader readers thread tree slot unit blog cloud by in on to of the and us your privacy policy a".split()
 )
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -83,47 +86,35 @@ def _key(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
-def _inside(element: Element | None, tags: tuple[str, ...]) -> bool:
-    while element is not None:
-        if element.tag in tags:
-            return True
-        element = element.parent
-    return False
-
-
 class Page:
     """A page's text blocks (text, number of the element that owns it), and which parts of it are not main text."""
 
     def __init__(self, html: str):
         self.elements, pieces = read(html)
         n = len(self.elements)
-        unseen = [False] * n
+        # what holds for an element itself or from above, found in page order
+        unseen, self.block, self.cut = [False] * n, list(range(n)), [False] * n
+        self.sections, self.mains = [False] * n, [False] * n  # inside an article, main element or section; an article or main element
         for e in self.elements[1:]:
-            unseen[e.number] = e.tag in UNSEEN or unseen[e.parent.number]
+            above, tag = e.parent.number, e.tag
+            unseen[e.number] = tag in UNSEEN or unseen[above]
+            self.mains[e.number] = tag in ("article", "main") or self.mains[above]
+            self.sections[e.number] = tag == "section" or self.mains[e.number] or self.sections[above]
+            if tag not in BLOCK:  # an inline element is in the block above it
+                self.block[e.number] = self.block[above]
+                self.cut[e.number] = self.cut[above] or tag in FOREIGN or bool(e.attributes) and self._says(e)
         self.blocks: list[tuple[str, int]] = []
         text, owner = [], None
         for number, piece in [*pieces, (0, None)]:
             if piece is None:
                 if owner is not None and (joined := " ".join("".join(text).split())):
-                    element = self.elements[owner]
-                    while element.tag not in BLOCK and element.parent is not None:
-                        element = element.parent
-                    self.blocks.append((joined, element.number))
+                    self.blocks.append((joined, self.block[owner]))
                 text, owner = [], None
-            elif not unseen[number] and not self._inline_foreign(number):
+            elif not unseen[number] and not self.cut[number]:  # a button or hidden span is cut out of its block
                 text.append(piece)
                 if owner is None and not piece.isspace():
                     owner = number
 
-    def _inline_foreign(self, number: int) -> bool:
-        """Whether an element inside a block (a button, a hidden span) says that it isn't main text; such parts are cut out of their block."""
-        element = self.elements[number]
-        while element.parent is not None and element.tag not in BLOCK:
-            if element.tag in FOREIGN or element.attributes and self._says(element):
-                return True
-            element = element.parent
-        return False
-
     @staticmethod
     def _says(element: Element) -> bool:
         """By role, attribute or style."""
@@ -135,25 +126,21 @@ class Page:
     def _core(self) -> set[int]:
         """The elements around the page's main part: a class or id does not remove these."""
         found = next((e for e in self.elements if e.tag == "main" or e.attributes.get("role") == "main"), None) or next((e for e in self.elements if e.tag == "h1"), None)
-        found = found or next((e for e in self.elements if e.tag == "article" and not self._below_named(e)), None)
+        if not found:
+            named = [False] * len(self.elements)
+            for e in self.elements[1:]:
+                named[e.number] = named[e.parent.number] or bool(e.attributes) and e.tag not in ("html", "body") and self._by_name(e)
+            found = next((e for e in self.elements if e.tag == "article" and not named[e.number]), None)
         out = set()
         while found is not None:
             out.add(found.number)
             found = found.parent
         return out
 
-    @staticmethod
-    def _by_name(element: Element) -> bool:
+    def _by_name(self, element: Element) -> bool:
         given = element.attributes
         names = f"{given.get('class', '')} {given.get('id', '')}".split()
-        return any(map(_named_foreign, names)) or element.tag != "header" and any("header" in x.lower() for x in names) and not _inside(element.parent, ("article", "main"))
-
-    def _below_named(self, element: Element) -> bool:
-        while element.parent is not None:
-            if element.attributes and element.tag not in ("html", "body") and self._by_name(element):
-                return True
-            element = element.parent
-        return False
+        return any(map(_named_foreign, names)) or element.tag != "header" and any("header" in x.lower() for x in names) and not (element.parent is not None and self.mains[element.parent.number])
 
     def foreign(self, by_name: bool = True) -> list[bool]:
         """For each element, whether it says that it isn't main text, itself or from above."""
@@ -166,7 +153,7 @@ class Page:
             if tag in ("html", "body", "main"):
                 continue
             says = tag in FOREIGN and not (tag == "form" and e.number in core)
-            says = says or tag == "header" and not _inside(e.parent, ("article", "main", "section"))
+            says = says or tag == "header" and not self.sections[e.parent.number]
             if given and not says:
                 says = self._says(e) or by_name and e.number not in core and self._by_name(e)
             out[e.number] = says
@@ -196,12 +183,12 @@ class Page:
             return self.blocks
         out = [False] * len(self.elements)
         for e in self.elements[1:]:
-            out[e.number] = out[e.parent.number] or _key(e.path) in low
+            out[e.number] = out[e.parent.number] or e.path in low
         return [b for b in self.blocks if not out[b[1]]] or self.blocks
 
     def tree(self) -> bytes:
         """The page's part of the style tree: nodes (key, place of the parent, style) and their distinct texts (place, hash)."""
-        places: dict[str, int] = {"": 0}
+        places: dict[int, int] = {0: 0}
         nodes, styles = [(0, 0)], [[]]
         for e in self.elements[1:]:
             if e.tag in UNSEEN:
@@ -209,7 +196,7 @@ class Page:
             place, above = places.get(e.path), places[e.parent.path] if e.parent.path in places else 0
             if place is None:
                 place = places[e.path] = len(nodes)
-                nodes.append((_key(e.path), above))
+                nodes.append((e.path, above))
                 styles.append([])
             if not styles[above] or styles[above][-1] != e.tag:
                 styles[above].append(e.tag)
@@ -255,28 +242,29 @@ def branches(pages: DataFrame) -> DataFrame:
         counts, chains = Counter(), {}
 
         def rows():
-            found = [(h, n, k, v, c, chains[n]) for (h, n, k, v), c in counts.items()]
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["host", "node", "kind", "value", "c", "chain"])
+            found = [(h, n, k, v, c, *chains[n]) for (h, n, k, v), c in counts.items()]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["host", "node", "kind", "value", "c", "chain", "far"])
 
         for batch in batches:
             for host, tree in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 nodes, texts = unpacked(tree)
                 keys, own = nodes[:, 0].tolist(), []
                 for place, (key, above, style) in enumerate(nodes.tolist()):
-                    own.append([key] if not place else [*own[above], key])
-                    chains.setdefault(key, own[-1])
+                    own.append([key] if not place else [key, *own[above][: CHAIN - 1]])
+                    far = own[above][CHAIN - 1] if place and len(own[above]) == CHAIN else None
+                    chains.setdefault(key, (own[-1], far))
                     counts[host, key, 0, style] += 1
                 for place, text in texts.tolist():
                     counts[host, keys[place], 1, text] += 1
-            if len(counts) > 200_000:
-                yield rows()
-                counts, chains = Counter(), {}
+                if len(counts) > 200_000:
+                    yield rows()
+                    counts, chains = Counter(), {}
         if counts:
             yield rows()
 
-    merged = distinct.select("host", "tree").mapInArrow(merge, "host string, node long, kind int, value long, c long, chain array<long>")
-    values = merged.groupBy("host", "node", "kind", "value").agg(F.sum("c").alias("c"), F.first("chain").alias("chain"))
+    merged = distinct.select("host", "tree").mapInArrow(merge, "host string, node long, kind int, value long, c long, chain array<long>, far long")
+    values = merged.groupBy("host", "node", "kind", "value").agg(F.sum("c").alias("c"), F.first("chain").alias("chain"), F.first("far").alias("far"))
     style, text = F.col("kind") == 0, F.col("kind") == 1
     nodes = values.groupBy("host", "node").agg(
         F.sum(F.when(style, F.col("c"))).alias("m"),
@@ -284,14 +272,23 @@ def branches(pages: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(text, F.log("c"))), F.lit(0.0)).alias("logs"),
         F.count(F.when(text, 1)).alias("texts"),
         F.first("chain").alias("chain"),
+        F.first("far").alias("far"),
     )
     base = F.log("m")
     presentation = F.when(F.col("m") > 1, (base - F.col("clogc") / F.col("m")) / base).otherwise(0.0)
     content = F.when(F.col("m") > 1, F.col("texts") - F.col("logs") / base).otherwise(F.col("texts").cast("double"))
-    scored = nodes.select("host", "node", "m", (F.col("m") * presentation).alias("p"), content.alias("q"), "texts", "chain")
-    above = scored.select("host", F.col("node").alias("low"), "m", "p", "q", "texts", F.explode("chain").alias("node"))
-    own = F.max(F.when(F.col("low") == F.col("node"), F.col("m"))).alias("pages")
-    sums = above.groupBy("host", "node").agg(own, F.sum("p").alias("p"), F.sum("m").alias("m"), F.sum("q").alias("q"), F.sum("texts").alias("texts")).where("texts > 0")
+    scored = nodes.select("host", "node", "m", (F.col("m") * presentation).alias("p"), content.alias("q"), "texts", "chain", "far")
+    # sums over what is less than CHAIN levels below a node, then over twice as much, and so on: pages are seldom that deep
+    above = scored.select("host", F.col("node").alias("low"), "m", "p", "q", "texts", "far", F.explode("chain").alias("node"))
+    itself = F.col("low") == F.col("node")
+    own = [F.max(F.when(itself, F.col("m"))).alias("pages"), F.max(F.when(itself, F.col("far"))).alias("far")]
+    sums = materialize(above.groupBy("host", "node").agg(*own, *(F.sum(c).alias(c) for c in ("p", "m", "q", "texts"))))
+    while not sums.where("far is not null").isEmpty():
+        deeper = sums.where("far is not null").groupBy("host", F.col("far").alias("node")).agg(*(F.sum(c).alias(f"{c}_") for c in ("p", "m", "q", "texts")))
+        further = sums.where("far is not null").select("host", F.col("node").alias("far"), F.col("far").alias("far_"))
+        both = sums.join(deeper, ["host", "node"], "left").join(further, ["host", "far"], "left")
+        sums = materialize(both.select("host", "node", "pages", F.col("far_").alias("far"), *((F.col(c) + F.coalesce(f"{c}_", F.lit(0))).alias(c) for c in ("p", "m", "q", "texts"))))
+    sums = sums.where("texts > 0")
     composite = (1 - GAMMA) * F.col("p") / F.col("m") + GAMMA * F.col("q") / F.col("texts")
     return sums.select("host", "node", "pages", ((F.col("pages") * composite + PRIOR) / (F.col("pages") + PRIOR)).alias("importance"))
 

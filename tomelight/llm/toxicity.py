@@ -16,7 +16,7 @@ ROW_WINDOWS`` windows of less than 240 bytes. The third calibrates: tasks score
 
 1. The ordinary dictionary is trained on windows of ordinary rows.
 2. The toxic dictionary is trained on windows of toxic rows, reduced to words with runs of letters that are
-   significantly more frequent there than in ordinary rows: most of a toxic text is ordinary text, which would fill the dictionary.
+   significantly more frequent in toxic rows than in ordinary ones: most of a toxic text is ordinary text, which would fill the dictionary.
 3. Ordinary windows that the toxic dictionary still shortens hold what both have in common: their words without such
    runs are trained into the ordinary dictionary (``ROUNDS`` times).
 4. The rest of the sample calibrates the curve.
@@ -52,8 +52,6 @@ THRESHOLD = 0.3
 REACH = 80
 #: Distances counted apart, in bytes: 1, 2, ... and this many or more.
 STEPS = 8
-#: Windows from which a text's length says nothing more about it.
-LONG = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,14 +126,14 @@ def _runs(word: bytes) -> set[bytes]:
     return {b" " + word[:n] for n in range(4, min(len(word), 9) + 1)} | {word[i : i + 5] for i in range(len(word) - 4)}
 
 
-def _telling(toxic: list[bytes], ordinary: list[bytes], least: int = 5, ratio: float = 4.0, deviations: float = 7.0) -> set[bytes]:
-    """Runs of letters that are much more frequent in toxic windows: in ``least`` of them, at ``ratio`` times ordinary text's
-    rate, and so many standard deviations above it."""
+def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int = 5, ratio: float = 4.0, deviations: float = 5.0) -> set[bytes]:
+    """Runs of letters that are much more frequent in toxic rows (lists of windows): in ``least`` of them, at ``ratio`` times ordinary
+    rows' rate, and so many standard deviations above it. Rows are counted and not windows, so what one row repeats counts once."""
 
-    def count(samples):
+    def count(rows):
         found: Counter = Counter()
-        for sample in samples:
-            found.update(set().union(*(_runs(w) for w in set(sample.split()))))
+        for row in rows:
+            found.update(set().union(*(_runs(w) for w in {w for window in row for w in window.split()})))
         return found
 
     seen, usual, share = count(toxic), count(ordinary), len(toxic) / max(len(ordinary), 1)
@@ -156,11 +154,11 @@ def features(counts: np.ndarray, rates: np.ndarray) -> np.ndarray:
     """What rows of counts say beyond chance. rates: the part of ordinary text's windows that saves 1, 2, ... bytes.
 
     A long text has chance matches in proportion to its length; two standard deviations above them are taken off, so texts
-    of any length are alike to the curve.
+    of any length are alike to the curve. Length itself is no feature: without evidence a text of any length, or an empty one, gets one score.
     """
     n, chance = counts[:, :1], counts[:, :1] * rates
     excess = np.maximum(0, counts[:, 1:] - chance - 2 * np.sqrt(chance * (chance > 1)))
-    return np.concatenate([np.log1p(excess), excess / np.maximum(n, 1), np.log1p(np.minimum(n, LONG))], 1)
+    return np.concatenate([np.log1p(excess), excess / np.maximum(n, 1)], 1)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -218,13 +216,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((z * w[:-1]).sum(1) + w[-1], -30, 30)))
 
 
-def learn(ordinary_windows: list[bytes], toxic_windows: list[bytes]) -> Model:
-    """The two dictionaries, without a curve."""
-    ordinary_windows, toxic_windows = (list(dict.fromkeys(w)) for w in (ordinary_windows, toxic_windows))
+def learn(ordinary_rows: list[list[bytes]], toxic_rows: list[list[bytes]]) -> Model:
+    """The two dictionaries of rows of windows, without a curve."""
+    ordinary_windows, toxic_windows = (list(dict.fromkeys(w for row in rows for w in row)) for rows in (ordinary_rows, toxic_rows))
     if not ordinary_windows or not toxic_windows:
         return Model(b"", b"")
     ordinary = _train(ORDINARY_BYTES, ordinary_windows)
-    runs = _telling(toxic_windows, ordinary_windows)
+    runs = _telling(toxic_rows, ordinary_rows)
     contrasted = _reduced(toxic_windows, runs, True)
     if not contrasted:
         return Model(ordinary, b"")
@@ -266,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
 
     parts = sample.where("third < 2").select("doc_id", "toxic", "text").mapInArrow(cut, "doc_id long, toxic int, windows array<binary>").collect()
     parts.sort(key=lambda r: r.doc_id)
-    model = learn(*([bytes(w) for r in parts if r.toxic == k for w in r.windows] for k in (0, 1)))
+    model = learn(*([[bytes(w) for w in r.windows] for r in parts if r.toxic == k] for k in (0, 1)))
     if not model.toxic:
         return model
     shared = spark.sparkContext.broadcast(model)
