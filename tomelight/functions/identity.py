@@ -13,12 +13,27 @@ PARTICLES = ("de", "del", "della", "der", "den", "di", "da", "du", "la", "le", "
 #: Leading words of titles that don't count, words that a volume's number follows, numbers as words.
 ARTICLES = ("the", "a", "an")
 KEYWORDS = ("book", "bk", "vol", "volume", "part", "pt", "episode", "ep", "chapter", "issue", "season", "no", "number", "#")
-NUMBERS = "one two three four five six seven eight nine ten eleven twelve".split()
-#: Words that make what stands in brackets an edition and not a title.
-EDITIONS = (
-    "edition ed anniversary illustrated annotated unabridged abridged uncut deluxe expanded revised remastered digital retail ebook audiobook audio "
-    "dramatized dramatised dramatization dramatisation production scan pdf epub mobi azw azw3 fb2 cbz cbr cb7 m4b m4a mp3 opus kindle"
+NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split()
+#: The keywords after which a number is written in figures only, and those that a comic's issue follows.
+FIGURES_ONLY = ("no", "number", "#")
+ISSUES = ("#", "issue", "no", "number", "episode", "ep", "chapter")
+#: Words that a remark on an edition or format is made of.
+DESCRIPTORS = (
+    "edition ed anniversary illustrated annotated unabridged abridged complete uncut deluxe special collectors collector expanded revised extended updated definitive enhanced remastered digital retail "
+    "ebook audiobook audio full cast production dramatized dramatised dramatization dramatisation version original scan first second third fourth fifth sixth seventh eighth ninth tenth "
+    "twentieth thirtieth fortieth fiftieth sixtieth seventieth hundredth twenty thirty forty fifty sixty seventy hundred and the a an "
+    "pdf epub mobi azw azw3 fb2 cbz cbr cb7 m4b m4a mp3 opus kindle"
 ).split()
+#: Words one of which makes such a remark one.
+ANCHORS = (
+    "edition ed anniversary illustrated annotated unabridged abridged uncut deluxe expanded revised remastered digital retail ebook audiobook audio dramatized dramatised dramatization dramatisation production scan "
+    "pdf epub mobi azw azw3 fb2 cbz cbr cb7 m4b m4a mp3 opus kindle"
+).split()
+#: Anchors that are one next to a title even alone, and those that may lead a name.
+STANDALONE = "unabridged abridged uncut ebook audiobook dramatized dramatised illustrated annotated pdf epub mobi azw azw3 fb2 cbz cbr cb7 m4b m4a mp3".split()
+LEADING = "unabridged abridged ebook audiobook dramatized dramatised pdf epub mobi azw azw3 fb2 cbz cbr cb7 m4b m4a mp3".split()
+_ORDINAL = r"\d+(?:st|nd|rd|th)"
 
 
 def _texts(values) -> Column:
@@ -70,36 +85,92 @@ def _roman(word: Column) -> Column:
     return F.when(value > 0, value)
 
 
-def title_identity(name: Column) -> Column:
+def title_identity(name: Column, comic: Column | None = None) -> Column:
     """struct(identity, copy, years, without_copy) of a title or of a file name without extension.
 
-    identity: folded words without articles; numbers after a keyword (book, vol, #, ...), and Roman numerals of two letters or
-    more anywhere, as figures; edition remarks in brackets left out. copy: the number of a copy mark (" (1)", " - Copy"), which
-    without a copy to fold into reads as a number. years: four figures in brackets.
+    identity: folded words without articles; numbers after a keyword (book, vol, #, ...), ordinals, "v01" and Roman numerals of two
+    letters or more as figures. Remarks on an edition are left out: in brackets or as a part of their own where all their words are
+    such words and one is an anchor, at the end of a name where one is an anchor that stands alone or two words are
+    of them, at its beginning where a leading anchor is among them. copy: the number of a copy mark (" (1)", " - Copy"), which
+    without a copy to fold into reads as a number. years: four figures in brackets. comic: whether the name is a comic's: its
+    numbers but for those of volumes are issues ("i7"), and a deluxe edition is another book.
     """
-    return let(folded(name), _identity)
+    return let(folded(name), lambda text: _identity(text, F.lit(False) if comic is None else F.coalesce(comic, F.lit(False))))
+
+
+def _remark(text: Column, comic: Column) -> Column:
+    """Whether all words of a text are descriptors and one is an anchor."""
+
+    def matched(words: list[str], anchors: list[str]) -> Column:
+        word, apart = "(?:" + "|".join([*words, _ORDINAL]) + ")", r"[^\p{L}\p{N}]"
+        return text.rlike(rf"^{apart}*{word}(?:{apart}+{word})*{apart}*$") & text.rlike(rf"(?:^|{apart})(?:{'|'.join(anchors)})(?:{apart}|$)")
+
+    plain = [w for w in DESCRIPTORS if w != "deluxe"]
+    return F.when(comic, matched(plain, [a for a in ANCHORS if a != "deluxe"])).otherwise(matched(DESCRIPTORS, ANCHORS))
+
+
+def _without_runs(words: Column, comic: Column) -> Column:
+    """Words without the descriptors that end or begin them, if these make a remark; one word always stays."""
+    descriptor = lambda w: (F.array_contains(_texts(DESCRIPTORS), w) | w.rlike(f"^{_ORDINAL}$")) & ~(comic & (w == "deluxe"))
+    among = lambda run, known: F.exists(run, lambda w: F.array_contains(_texts(known), w))
+
+    def run_length(words: Column) -> Column:
+        """Number of descriptors that an array begins with, one less if that is all of it."""
+        begun = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"))
+        n = F.aggregate(words, begun, lambda s, w: F.struct((s["on"] & descriptor(w)).alias("on"), (s["n"] + F.when(s["on"] & descriptor(w), 1).otherwise(0)).alias("n")), lambda s: s["n"])
+        return F.greatest(F.lit(0), F.least(n, F.size(words) - 1))
+
+    def ended(words: Column) -> Column:
+        def cut(n: Column) -> Column:
+            run = F.slice(words, F.size(words) - n + 1, n)
+            counted = F.size(F.filter(run, lambda w: ~F.array_contains(_texts([*ARTICLES, "and"]), w)))
+            remark = (n > 0) & among(run, ANCHORS) & (among(run, STANDALONE) | (counted >= 2))
+            return F.when(remark, F.slice(words, 1, F.size(words) - n)).otherwise(words)
+
+        return let(run_length(F.reverse(words)), cut)
+
+    def begun(words: Column) -> Column:
+        def cut(n: Column) -> Column:
+            return F.when((n > 0) & among(F.slice(words, 1, n), LEADING), F.slice(words, n + 1, F.size(words) - n)).otherwise(words)
+
+        return let(run_length(words), cut)
+
+    return F.when(F.size(words) == 0, words).otherwise(let(let(words, ended), begun))
 
 
-def _identity(text: Column) -> Column:
+def _identity(text: Column, comic: Column) -> Column:
+    text = F.replace(text, F.lit("_"), F.lit(" "))
     marked = F.regexp_extract(text, r"\s\(([1-9]\d?)\)$", 1)
     copied = text.rlike(r"\s-\scopy(\s\(\d+\))?$")
     copy = F.when(copied, 1).when(marked != "", marked.cast("int"))
     bare = F.regexp_replace(text, r"\s(-\scopy(\s\(\d+\))?|\([1-9]\d?\))$", "")
     years = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\(\[]((?:1[5-9]|20)\d\d)[\)\]]"), F.lit(1))))
     plain = F.regexp_replace(bare, r"[\(\[](?:1[5-9]|20)\d\d[\)\]]", " ")
-    plain = F.regexp_replace(plain, r"[\(\[][^\(\)\[\]]*\b(?:" + "|".join(EDITIONS) + r")\b[^\(\)\[\]]*[\)\]]", " ")
-    plain = F.regexp_replace(F.replace(plain, F.lit("#"), F.lit(" # ")), "['\u2019`]", "")
-    words = F.filter(F.split(plain, r"[^\p{L}\p{N}#]+"), lambda w: w != "")
-    named = F.create_map(*[F.lit(x) for i, w in enumerate(NUMBERS) for x in (w, i + 1)])
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\baudio[\s-]book\b", "audiobook"), r"\be[\s-]book\b", "ebook")
+    # brackets: a remark or a release's tag goes, what else stands in them stays as words
+    pieces = F.regexp_extract_all(plain, F.lit(r"[\(\[{][^\(\)\[\]{}]*[\)\]}]|[^\(\[{]+|[\(\[{]"), F.lit(0))
+    bracket = lambda p: p.rlike(r"^[\(\[{].*[\)\]}]$") & (_remark(p, comic) | p.rlike(r"^.\s*v\d+(\.\d+)*\s*.$"))
+    kept = F.array_join(F.transform(pieces, lambda p: F.when(bracket(p), F.lit(" ")).otherwise(p)), "")
+    parts = F.filter(F.split(kept, r"\s+[-\u2013\u2014]\s+|\s*:\s+"), lambda p: F.trim(p) != "")
+    some = let(parts, lambda ps: let(F.filter(ps, lambda p: ~_remark(p, comic)), lambda good: F.when(F.size(good) > 0, good).otherwise(ps)))
+    spaced = F.replace(F.replace(F.array_join(some, " "), F.lit("#"), F.lit(" # ")), F.lit("&"), F.lit(" and "))
+    words = F.filter(F.split(F.regexp_replace(spaced, "['\u2018\u2019`]", ""), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
+    named = F.create_map(*[F.lit(x) for known in (NUMBERS, ORDINALS) for i, w in enumerate(known) for x in (w, i + 1)], F.lit("zero"), F.lit(0))
 
     def numbered(words: Column) -> Column:
-        """Each word with the figures that it stands for, if it does."""
+        """Each word with the figures that it stands for, if it does; a comic's issue with an i before them."""
 
         def number(w: Column, i: Column) -> Column:
-            after = (i > 0) & F.coalesce(F.array_contains(_texts(KEYWORDS), F.get(words, i - 1)), F.lit(False))
-            figures = F.when(w.rlike(r"^\d+$"), F.regexp_replace(w, r"^0+(?=\d)", ""))
-            counted = F.when(after | (F.length(w) >= 2), _roman(w)).cast("string")
-            return F.struct(w.alias("w"), F.coalesce(figures, counted, F.when(after, F.try_element_at(named, w)).cast("string")).alias("n"))
+            before = F.get(words, i - 1)
+            known = lambda keys: (i > 0) & F.coalesce(F.array_contains(_texts(keys), before), F.lit(False))
+            after = known(KEYWORDS)
+            spelled = known([k for k in KEYWORDS if k not in FIGURES_ONLY])
+            release = w.rlike(r"^v\d+$")
+            digits = F.when(w.rlike(rf"^(?:v?\d+|{_ORDINAL})$"), F.regexp_replace(F.regexp_extract(w, r"(\d+)", 1), r"^0+(?=\d)", ""))
+            counted = F.when(spelled | (F.length(w) >= 2), _roman(w)).cast("string")
+            n = F.coalesce(digits, counted, F.when(spelled, F.try_element_at(named, w)).cast("string"))
+            issue = comic & ~release & (~after | known(ISSUES))
+            return F.struct(w.alias("w"), F.when(issue, F.concat(F.lit("i"), n)).otherwise(n).alias("n"))
 
         return F.transform(words, number)
 
@@ -113,10 +184,12 @@ def _identity(text: Column) -> Column:
         return F.array_join(F.transform(F.filter(read, stays), lambda x: F.coalesce(x["n"], x["w"])), " ")
 
     def made(without: Column) -> Column:
-        identity = F.when(copy.isNotNull(), F.concat(without, F.lit(" "), copy.cast("string"))).otherwise(without)
+        number = F.when(comic, F.concat(F.lit("i"), copy.cast("string"))).otherwise(copy.cast("string"))
+        identity = F.when(copy.isNotNull(), F.concat(without, F.lit(" "), number)).otherwise(without)
         return F.struct(identity.alias("identity"), copy.alias("copy"), years.alias("years"), without.alias("without_copy"))
 
-    return let(let(words, lambda w: let(numbered(w), joined)), made)
+    stripped = let(words, lambda w: _without_runs(w, comic))
+    return let(let(stripped, lambda w: let(numbered(w), joined)), made)
 
 
 def fuzzy_score(term: Column, query: Column) -> Column:

@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder of spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path under spark.checkpoint.dir; where that is unset, local sessions (tests) get a folder of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/resolve/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage: write to the shared folder of spark.checkpoint.dir and read again."""
+    path = shared_folder(df.sparkSession, "resolve")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -94,12 +98,13 @@ def normalised(vector: Column) -> Column:
     return F.when(length > 0, F.transform(vector, lambda x: x / length))
 
 
-def top_similar(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame, k: int = 25, least: float = 0.1, query_rows: int = 512, block_rows: int = 8192) -> DataFrame:
-    """(query, other, score): for each query row the k best other vectors above ``least``, by cosine.
+def top_similar(vectors: DataFrame, id_column: str, vector: str, queries: DataFrame, k: int = 25, least: float = 0.1, query_rows: int = 512, block_rows: int = 8192, apart: str | None = None) -> DataFrame:
+    """(query, other, score): for each query row the k best other vectors above ``least``, by cosine, equal scores by id.
 
     Queries and vectors are dealt to blocks by hash, as many as their counts need, so a block's size does not grow with the
     data; every block of queries meets every block of vectors in numpy and keeps k rows a query. A query's final choice is
-    among k rows a block of vectors.
+    among k rows a block of vectors. apart: a column; rows with one value of it (null: none) are not each other's neighbours. The score
+    is dot / sqrt(product of the squared lengths), so vectors of whole numbers have the same scores wherever they are computed.
     """
     import numpy as np
     import pyarrow as pa
@@ -107,31 +112,68 @@ def top_similar(vectors: DataFrame, id_column: str, vector: str, queries: DataFr
     kind = dict(vectors.dtypes)[id_column]
     asked, held = (max(1, -(-x.count() // size)) for x, size in ((queries, query_rows), (vectors, block_rows)))
     number = lambda n: F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int")
-    side = [F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    side = [F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.xxhash64(apart) if apart else F.lit(0)).alias("g"), (F.col(apart).isNotNull() if apart else F.lit(False)).alias("named")]
     q = queries.select(*side, number(asked).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(held - 1))).alias("vb"))
     v = vectors.select(*side, F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("r"), number(held).alias("s"))
 
-    def unit(column) -> np.ndarray:
-        x = np.array(column.to_pylist(), np.float64)
-        n = np.linalg.norm(x, axis=1)
-        return x / np.where(n > 0, n, 1)[:, None]
-
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query": pa.array([], left["id"].type), "other": pa.array([], left["id"].type), "score": pa.array([], pa.float64())})
+        right = right.sort_by("id")
         own, ids = left["id"].to_numpy(), right["id"].to_numpy()
-        scores = unit(left["v"]) @ unit(right["v"]).T
+        x, y = (np.array(t["v"].to_pylist(), np.float64) for t in (left, right))
+        squares = np.outer((x * x).sum(1), (y * y).sum(1))
+        scores = (x @ y.T) / np.sqrt(np.where(squares > 0, squares, 1))
         scores[own[:, None] == ids[None, :]] = -2
-        top = np.argpartition(-scores, min(k, len(ids)) - 1, axis=1)[:, :k]
-        row = np.repeat(np.arange(len(own)), top.shape[1])
-        flat = scores[row, top.ravel()]
-        some = flat > least
-        return pa.table({"query": own[row[some]], "other": ids[top.ravel()[some]], "score": flat[some]})
+        if apart:
+            g, h = (np.where(t["named"].to_numpy(), t["g"].to_numpy(), 0) for t in (left, right))
+            scores[(g[:, None] == h[None, :]) & left["named"].to_numpy()[:, None] & right["named"].to_numpy()[None, :]] = -2
+        few = min(k, len(ids))
+        last = np.partition(scores, len(ids) - few, axis=1)[:, len(ids) - few]
+        rows, columns = [], []
+        for i, bound in enumerate(np.maximum(last, np.nextafter(least, 2))):
+            some = np.flatnonzero(scores[i] >= bound)
+            chosen = some[np.argsort(-scores[i, some], kind="stable")][:k]
+            rows.append(np.full(len(chosen), i))
+            columns.append(chosen)
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
+        return pa.table({"query": own[rows], "other": ids[columns], "score": scores[rows, columns]})
 
     met = q.groupBy("qb", "vb").cogroup(v.groupBy("r", "s")).applyInArrow(best, f"query {kind}, other {kind}, score double")
     return newest_per(met, ["query"], [F.desc("score"), F.asc("other")], k)
 
 
+def _features(values: Column, prefix: str, weight: float) -> Column:
+    return F.transform(values, lambda v: F.struct(F.concat(F.lit(prefix + "_"), v).alias("key"), F.lit(weight).alias("weight")))
+
+
+def weighted_features(parts: list[tuple[str, Column, float, int | None]]) -> Column:
+    """Features of a row as an array of struct(key, weight). parts: (prefix, column, weight, words): a text column is one feature of its
+    lower-cased value, an array column one for each distinct value; with ``words`` the text's first so many words of more than three letters."""
+    out = []
+    for prefix, column, weight, words in parts:
+        if words:
+            plain = F.regexp_replace(F.lower(column), r"[^a-z0-9\s]", " ")
+            values = F.slice(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 3), 1, words)
+        else:
+            values = F.array_distinct(F.transform(F.filter(column, lambda x: x.isNotNull()), F.lower))
+        made = _features(values, prefix, float(weight))
+        out.append(F.coalesce(made, F.array().cast("array<struct<key:string,weight:double>>")))
+    return F.concat(*out)
+
+
+def hashed_weights(rows: DataFrame, id_column: str, features: Column, size: int = 128) -> DataFrame:
+    """(id, vector): the weights of each row's features summed at the places of their 32-bit polynomial hash; not scaled, so that whole weights stay whole."""
+    from ..functions.naming import java_hash
+
+    one = rows.select(id_column, F.explode_outer(features).alias("f"))
+    place = F.pmod(F.abs(java_hash(F.col("f.key")).cast("long")), F.lit(size)).cast("int")
+    sums = one.select(id_column, place.alias("place"), F.col("f.weight").alias("weight")).groupBy(id_column, "place").agg(F.sum("weight").alias("weight"))
+    held = sums.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "weight")))).alias("m"))  # size entries at most
+    vector = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return held.select(id_column, vector.alias("vector"))
+
+
 def similarity(title: Column, series: Column, authors: Column, categories: Column, rating: Column) -> Column:
     """Weighted similarity of two items from their parts."""
     total = title * 1.5 + series * 2.0 + authors * 3.0 + categories * 3.5 + rating * 0.6

@@ -40,7 +40,7 @@ def read_names(files: DataFrame) -> DataFrame:
     mark), mark (a copy's number, 0 for " - Copy"), years, who (the person of author), and copies (the name that copies and parts share)."""
     spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *files.columns)
     base = base_name(F.col("name"))
-    read = spread.withColumns({"t": title_identity(base), "base": F.lower(base), "who": person(F.col("author")), "format": file_type(F.col("name"))})
+    read = spread.withColumns({"t": title_identity(base, file_type(F.col("name")) == "cbx"), "base": F.lower(base), "who": person(F.col("author")), "format": file_type(F.col("name"))})
     word = F.col("base").rlike(_COPY_WORD)
     mark = F.when(F.col("t.copy").isNotNull(), F.when(word, 0).otherwise(F.col("t.copy")))
     copies = F.regexp_replace(F.when(word, F.regexp_replace("base", _COPY_WORD, "")).otherwise(F.regexp_replace("base", _COPY_NUMBER, "")), r"\s+", " ")
