@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,23 +29,34 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> (id, component): smallest id that is reached. Minimum labels with pointer jumping, until nothing changes."""
+def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """links(a, b) -> (id, component): smallest id that is reached.
+
+    Every round a node takes the least label among its neighbours' and, of its label's node, that node's (pointer jumping). A round is
+    one written table that counts its changes while it is written; links through one smallest id, as ``same_key_links`` gives them, need two
+    or three rounds.
+    """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = written(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
-    while True:
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    labels = written(labels)
+    for _ in range(most_rounds):
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         near = labels.join(heard, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        jump = near.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        following = written(near.join(jump, "component", "left").select("id", F.coalesce(F.least("component", "far"), "component").alias("component"), "was"))
-        labels = following.select("id", "component")
-        if following.where("component <> was").isEmpty():
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        following = near.join(jump, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "was")
+        seen = Observation()
+        labels = written(following.observe(seen, F.count(F.when(F.col("component") != F.col("was"), 1)).alias("changes"))).select("id", "component")
+        if not seen.get["changes"]:
             return labels
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
 def same_key_groups(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
     """(id, group_id) of the rows whose key others have too; the key is computed once, the smallest id is the group's."""
-    keyed = written(rows.select(F.col(id_column), key.alias("key")).where("key is not null"))
+    return _groups(written(rows.select(F.col(id_column), key.alias("key")).where("key is not null")), id_column)
+
+
+def _groups(keyed: DataFrame, id_column: str) -> DataFrame:
     first = keyed.groupBy("key").agg(F.min(id_column).alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return keyed.join(first, "key").select(id_column, "group_id")
 
@@ -63,22 +74,20 @@ def staged_duplicates(rows: DataFrame, id_column: str, stages: list[tuple[str, C
     A stage's column is one key (rows with it are a group) or an array of keys (any shared one links, transitively).
     """
     spark: SparkSession = rows.sparkSession
-    kind, left, found = dict(rows.dtypes)[id_column], rows, []
-    for name, key in stages:
-        if dict(left.select(key.alias("k")).dtypes)["k"].startswith("array"):
-            keys = left.select(F.col(id_column).alias("id"), F.explode(key).alias("key"))
-            links = written(same_key_links(keys, F.col("key"), "id"))
-            if links.isEmpty():
-                continue
+    kind = dict(rows.dtypes)[id_column]
+    # ids and keys are computed once; a stage's groups are a small table that the next one leaves out
+    keys = written(rows.select(F.col(id_column), *[key.alias(f"k{i}") for i, (_, key) in enumerate(stages)]))
+    found = None
+    for i, (name, _) in enumerate(stages):
+        left = keys if found is None else keys.join(found.select(id_column), id_column, "left_anti")
+        if dict(keys.dtypes)[f"k{i}"].startswith("array"):
+            links = same_key_links(left.select(F.col(id_column).alias("id"), F.explode(f"k{i}").alias("key")), F.col("key"), "id")
             grouped = components(links).select(F.col("id").alias(id_column), F.col("component").alias("group_id"))
         else:
-            grouped = same_key_groups(left, key, id_column)
+            grouped = _groups(left.select(id_column, F.col(f"k{i}").alias("key")).where("key is not null"), id_column)
         grouped = written(grouped.withColumn("stage", F.lit(name)))
-        found.append(grouped)
-        left = left.join(grouped.select(id_column), id_column, "left_anti")
-    if not found:
-        return spark.createDataFrame([], f"{id_column} {kind}, group_id {kind}, stage string")
-    return reduce(lambda a, b: a.union(b), found)
+        found = grouped if found is None else found.union(grouped)
+    return found if found is not None else spark.createDataFrame([], f"{id_column} {kind}, group_id {kind}, stage string")
 
 
 def keepers(grouped: DataFrame, group: str, rank: list[Column], id_column: str) -> DataFrame:

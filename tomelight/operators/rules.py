@@ -132,7 +132,7 @@ COMPARING = ("greater_than", "greater_than_equal_to", "less_than", "less_than_eq
 
 
 def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime, dialect: str = "default") -> Column:
-    """One leaf as a two-valued column."""
+    """One leaf as a column: two-valued, or in the lenient dialect three-valued where a scalar field is null."""
     field, operator, value = schema.get(rule.get("field")), rule.get("operator"), rule.get("value")
     if field is None or operator not in OPERATORS:
         raise Unreadable(f"{rule.get('field')} {operator}")
@@ -150,13 +150,17 @@ def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime, dialect:
         there = F.coalesce(field.present, F.lit(False))
         return ~there if operator == "is_empty" else there
     plain, listed = _plain(field), field.kind in LISTED
+    # the lenient dialect is SQL's own: a test of an unknown value is unknown, and so is its negation
+    sure = _sure if dialect == "default" or listed else (lambda test: test)
     if operator in ("equals", "not_equals"):
         if listed:
             test = _sure(F.array_contains(_list(field), _text(value)))
             if field.kind == "series" and operator == "not_equals" and dialect == "default":
                 return ~test & F.coalesce(field.present, F.lit(False))
         else:
-            test = plain.isNull() if value is None else plain.eqNullSafe(_lit(field, value))
+            test = plain.isNull() if value is None else plain.eqNullSafe(_lit(field, value)) if dialect == "default" else plain == _lit(field, value)
+            if dialect == "lenient" and operator == "not_equals" and rule["field"] == "readStatus" and value != "UNSET":
+                return plain.isNull() | ~test  # a book without a status has another one
         return test if operator == "equals" else ~test
     if operator in ("contains", "does_not_contain", "starts_with", "ends_with"):
         name = {"starts_with": "startswith", "ends_with": "endswith"}.get(operator, "contains")
@@ -164,18 +168,18 @@ def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime, dialect:
         if listed:
             test = F.exists(_list(field), lambda x: getattr(x, name)(wanted))
         else:
-            test = _sure(getattr(plain, name)(wanted)) if field.kind == "text" else F.lit(False)
+            test = sure(getattr(plain, name)(wanted)) if field.kind == "text" else F.lit(False)
         return ~test if operator == "does_not_contain" else test
     if operator in ("greater_than", "greater_than_equal_to", "less_than", "less_than_equal_to"):
         if field.kind not in ("number", "date", "instant"):
             raise Unreadable(f"{operator} on {field.kind}")
         other = _lit(field, value)
         tests = {"greater_than": plain > other, "greater_than_equal_to": plain >= other, "less_than": plain < other, "less_than_equal_to": plain <= other}
-        return _sure(tests[operator])
+        return sure(tests[operator])
     if operator == "in_between":
         if field.kind not in ("number", "date", "instant"):
             raise Unreadable(f"{operator} on {field.kind}")
-        return _sure(plain.between(_lit(field, rule.get("valueStart")), _lit(field, rule.get("valueEnd"))))
+        return sure(plain.between(_lit(field, rule.get("valueStart")), _lit(field, rule.get("valueEnd"))))
     if operator in ("is_empty", "is_not_empty"):
         if listed:
             empty = F.coalesce(F.size(field.column) <= 0, F.lit(True))
@@ -189,6 +193,9 @@ def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime, dialect:
         if operator == "includes_all":
             return F.size(F.array_except(wanted, _list(field))) == 0
         test = _sure(F.arrays_overlap(_list(field), wanted))
+        if dialect == "lenient" and not listed:
+            unset = operator == "excludes_all" and rule["field"] == "readStatus" and "UNSET" not in _values(value)
+            test = F.when(plain.isNull(), F.lit(False) if unset else None).otherwise(test)
         return ~test if operator == "excludes_all" else test
     if field.kind not in ("date", "instant"):
         raise Unreadable(f"{operator} on {field.kind}")
@@ -202,7 +209,7 @@ def leaf(rule: dict, schema: dict[str, Field], now: datetime.datetime, dialect:
 
 
 def compile_rule(rule: str | dict, schema: dict[str, Field], now: datetime.datetime, dialect: str = "default") -> Column:
-    """A rule tree as one two-valued column: ``df.where(compile_rule(...))``."""
+    """A rule tree as one column: ``df.where(compile_rule(...))``. The default dialect's is two-valued; the lenient one's keeps nulls through groups, as SQL does."""
     if isinstance(rule, str):
         try:
             rule = json.loads(rule)

@@ -65,6 +65,11 @@ CASES = {
     "missing first": (_and(_leaf("seriesGaps", "equals", "missing_first")), "low > 1", "s IS NOT NULL AND (low > 1 OR low IS NULL)"),
     "fully read": (_and(_leaf("seriesStatus", "equals", "fully_read")), "done_all", "done_some AND NOT not_done"),
     "all of a scalar": (_and(_leaf("language", "includes_all", ["eng", "fre"])), "false", "language IN ('eng', 'fre')"),
+    "not equal to null": (_and(_leaf("language", "not_equals", "eng")), "language IS DISTINCT FROM 'eng'", "language <> 'eng'"),
+    "null without a text": (_and(_leaf("language", "does_not_contain", "e")), "NOT coalesce(contains(language, 'e'), false)", "NOT contains(language, 'e')"),
+    "unknown beside true": (_or(_leaf("language", "not_equals", "eng"), _leaf("readingProgress", "greater_than", 40)), "language IS DISTINCT FROM 'eng' OR coalesce(epub_progress > 40, false)", "language <> 'eng' OR epub_progress > 40"),
+    "null among others": (_and(_leaf("language", "excludes_all", ["eng", "fre"])), "NOT coalesce(language IN ('eng', 'fre'), false)", "language NOT IN ('eng', 'fre')"),
+    "another status": (_and(_leaf("readStatus", "not_equals", "READ")), "NOT coalesce(status = 'READ', false)", "status IS NULL OR status <> 'READ'"),
     "shelf as text": (_and(_leaf("shelf", "contains", "S1")), "list_contains(shelves, 'S1')", "true"),
 }
 

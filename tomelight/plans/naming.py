@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.filedates import pattern_fields, within_bytes
 from ..functions.naming import extracted, hashed_features, java_hash, name_strength, path_template
 from .registry import Tables, query
 
@@ -151,3 +152,37 @@ def authors_of_file_names(t: Tables):
     other = F.when(plain(right) == title, left).when(plain(left) == title, right)
     turned = F.trim(F.regexp_replace(other, r"^([^,]*),\s*(.+)$", "$2 $1"))
     return t.part.select("p_partkey", turned.alias("author")).where("author is not null")
+
+
+#: Forms in which a date may be written: (SQL for the text, SQL for the date that it gives).
+_DATES = [
+    ("strftime(d, '%Y')", "make_date(year(d), 1, 1)"), ("strftime(d, '%y')", "make_date(CASE WHEN year(d) % 100 < 50 THEN 2000 ELSE 1900 END + year(d) % 100, 1, 1)"), ("strftime(d, '%Y%m%d')", "d"), ("year(d) || '-' || month(d)", "make_date(year(d), month(d), 1)"),
+    ("month(d) || '/' || year(d)", "make_date(year(d), month(d), 1)"), ("strftime(d, '%Y.%m.%d')", "d"), ("day(d) || '-' || month(d) || '-' || year(d)", "d"), ("year(d) || '_' || day(d) || '_' || month(d)", "CASE WHEN day(d) > 12 THEN d ELSE make_date(year(d), day(d), month(d)) END"),
+    ("strftime(d, '%Yx%m')", "CAST(NULL AS DATE)"),
+]
+
+
+@query("WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN {want}" for i, (_, want) in enumerate(_DATES)) + " END AS published, CASE WHEN o_orderkey % 9 = 8 THEN 'no date' ELSE 'Saga' END AS series, CAST(o_orderkey % 7 + 0.5 AS FLOAT) AS number FROM o")
+def file_name_dates(t: Tables):
+    """Published dates that file names give in nine forms, by one pattern with typed fields."""
+    d, y, m, day = F.to_date("o_orderdate"), F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
+    texts = [y.cast("string"), F.date_format(d, "yy"), F.date_format(d, "yyyyMMdd"), F.concat_ws("-", y, m), F.concat_ws("/", m, y), F.date_format(d, "yyyy.MM.dd"), F.concat_ws("-", day, m, y), F.concat_ws("_", y, day, m), F.concat(y, F.lit("x"), F.lpad(m.cast("string"), 2, "0"))]
+    turn = F.col("o_orderkey") % 9
+    text = texts[0]
+    for i, one in enumerate(texts[1:], 1):
+        text = F.when(turn == i, one).otherwise(text)
+    series = F.when(turn == 8, "no date").otherwise("Saga")
+    name = F.concat(series, F.lit(" #"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".5 - Title, second ("), text, F.lit(")"))
+    x = t.orders.select("o_orderkey", pattern_fields(name, "{SeriesName} #{SeriesNumber} - {Title} ({Published})").alias("f"))
+    return x.select("o_orderkey", F.col("f.Published").alias("published"), F.col("f.SeriesName").alias("series"), F.col("f.SeriesNumber").alias("number"))
+
+
+@query(r"""
+WITH x AS (SELECT doc_id, coalesce(text, '') AS t, substr(coalesce(text, ''), 1, 41) AS s FROM documents),
+c AS (SELECT doc_id, t, CASE WHEN strlen(t) <= 40 THEN t ELSE regexp_replace(substr(s, 1, coalesce(list_max([i FOR i IN range(0, 42) IF strlen(substr(s, 1, i)) <= 40]), 0)), '[\s\p{Z}]+$', '') END AS cut FROM x)
+SELECT doc_id, cut, strlen(cut) AS bytes FROM c
+""")
+def byte_budgets(t: Tables):
+    """Names of at most 40 bytes from texts of several scripts."""
+    cut = within_bytes(F.coalesce("text", F.lit("")), 40)
+    return t.documents.select("doc_id", cut.alias("cut")).select("doc_id", "cut", F.octet_length("cut").alias("bytes"))
