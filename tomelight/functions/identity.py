@@ -79,6 +79,10 @@ def base_name(file: Column) -> Column:
 
 def _roman(word: Column) -> Column:
     """Value of a Roman numeral from i to xxxix, else null."""
+    return F.when(word.rlike("^[ivx]+$"), _roman_value(word))
+
+
+def _roman_value(word: Column) -> Column:
     ones = F.create_map(*[F.lit(x) for pair in (("", 0), ("i", 1), ("ii", 2), ("iii", 3), ("iv", 4), ("v", 5), ("vi", 6), ("vii", 7), ("viii", 8), ("ix", 9)) for x in pair])
     tens = F.length(F.regexp_extract(word, "^(x{0,3})", 1))
     value = tens * 10 + F.try_element_at(ones, F.regexp_replace(word, "^x{0,3}", ""))
@@ -111,8 +115,8 @@ def _remark(text: Column, comic: Column) -> Column:
 
 def _without_runs(words: Column, comic: Column) -> Column:
     """Words without the descriptors that end or begin them, if these make a remark; one word always stays."""
-    descriptor = lambda w: (F.array_contains(_texts(DESCRIPTORS), w) | w.rlike(f"^{_ORDINAL}$")) & ~(comic & (w == "deluxe"))
-    among = lambda run, known: F.exists(run, lambda w: F.array_contains(_texts(known), w))
+    descriptor = lambda w: (w.isin(*DESCRIPTORS) | w.rlike(f"^{_ORDINAL}$")) & ~(comic & (w == "deluxe"))
+    among = lambda run, known: F.exists(run, lambda w: w.isin(*known))
 
     def run_length(words: Column) -> Column:
         """Number of descriptors that an array begins with, one less if that is all of it."""
@@ -123,7 +127,7 @@ def _without_runs(words: Column, comic: Column) -> Column:
     def ended(words: Column) -> Column:
         def cut(n: Column) -> Column:
             run = F.slice(words, F.size(words) - n + 1, n)
-            counted = F.size(F.filter(run, lambda w: ~F.array_contains(_texts([*ARTICLES, "and"]), w)))
+            counted = F.size(F.filter(run, lambda w: ~w.isin(*ARTICLES, "and")))
             remark = (n > 0) & among(run, ANCHORS) & (among(run, STANDALONE) | (counted >= 2))
             return F.when(remark, F.slice(words, 1, F.size(words) - n)).otherwise(words)
 
@@ -135,7 +139,8 @@ def _without_runs(words: Column, comic: Column) -> Column:
 
         return let(run_length(words), cut)
 
-    return F.when(F.size(words) == 0, words).otherwise(let(let(words, ended), begun))
+    either = F.coalesce(descriptor(F.try_element_at(words, F.lit(-1))) | descriptor(F.try_element_at(words, F.lit(1))), F.lit(False))
+    return F.when(either, let(let(words, ended), begun)).otherwise(words)
 
 
 def _identity(text: Column, comic: Column) -> Column:
@@ -152,7 +157,8 @@ def _identity(text: Column, comic: Column) -> Column:
     bracket = lambda p: p.rlike(r"^[\(\[{].*[\)\]}]$") & (_remark(p, comic) | p.rlike(r"^.\s*v\d+(\.\d+)*\s*.$"))
     kept = F.array_join(F.transform(pieces, lambda p: F.when(bracket(p), F.lit(" ")).otherwise(p)), "")
     parts = F.filter(F.split(kept, r"\s+[-\u2013\u2014]\s+|\s*:\s+"), lambda p: F.trim(p) != "")
-    some = let(parts, lambda ps: let(F.filter(ps, lambda p: ~_remark(p, comic)), lambda good: F.when(F.size(good) > 0, good).otherwise(ps)))
+    good = lambda ps: let(F.filter(ps, lambda p: ~_remark(p, comic)), lambda g: F.when(F.size(g) > 0, g).otherwise(ps))
+    some = let(parts, lambda ps: F.when(F.size(ps) > 1, good(ps)).otherwise(ps))
     spaced = F.replace(F.replace(F.array_join(some, " "), F.lit("#"), F.lit(" # ")), F.lit("&"), F.lit(" and "))
     words = F.filter(F.split(F.regexp_replace(spaced, "['\u2018\u2019`]", ""), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
     named = F.create_map(*[F.lit(x) for known in (NUMBERS, ORDINALS) for i, w in enumerate(known) for x in (w, i + 1)], F.lit("zero"), F.lit(0))
@@ -162,11 +168,11 @@ def _identity(text: Column, comic: Column) -> Column:
 
         def number(w: Column, i: Column) -> Column:
             before = F.get(words, i - 1)
-            known = lambda keys: (i > 0) & F.coalesce(F.array_contains(_texts(keys), before), F.lit(False))
+            known = lambda keys: (i > 0) & F.coalesce(before.isin(*keys), F.lit(False))
             after = known(KEYWORDS)
             spelled = known([k for k in KEYWORDS if k not in FIGURES_ONLY])
             release = w.rlike(r"^v\d+$")
-            digits = F.when(w.rlike(rf"^(?:v?\d+|{_ORDINAL})$"), F.regexp_replace(F.regexp_extract(w, r"(\d+)", 1), r"^0+(?=\d)", ""))
+            digits = F.when(w.rlike(r"\d") & w.rlike(rf"^(?:v?\d+|{_ORDINAL})$"), F.regexp_replace(F.regexp_extract(w, r"(\d+)", 1), r"^0+(?=\d)", ""))
             counted = F.when(spelled | (F.length(w) >= 2), _roman(w)).cast("string")
             n = F.coalesce(digits, counted, F.when(spelled, F.try_element_at(named, w)).cast("string"))
             issue = comic & ~release & (~after | known(ISSUES))
@@ -178,8 +184,8 @@ def _identity(text: Column, comic: Column) -> Column:
         """Figures in place of their words, without articles and the keywords before figures."""
 
         def stays(x: Column, i: Column) -> Column:
-            leads = F.coalesce(F.array_contains(_texts(KEYWORDS), x["w"]) & F.get(read, i + 1)["n"].isNotNull(), F.lit(False))
-            return ~leads & (x["n"].isNotNull() | ~F.array_contains(_texts(ARTICLES), x["w"]))
+            leads = F.coalesce(x["w"].isin(*KEYWORDS) & F.get(read, i + 1)["n"].isNotNull(), F.lit(False))
+            return ~leads & (x["n"].isNotNull() | ~x["w"].isin(*ARTICLES))
 
         return F.array_join(F.transform(F.filter(read, stays), lambda x: F.coalesce(x["n"], x["w"])), " ")
 
