@@ -354,8 +354,24 @@ def test_sharding_is_even_and_follows_the_ring(spark, docs, empty, texts):
     shard_of = {r.doc_id: r.shard for r in found}
     for arc, own in arcs.items():
         moved = [i for _, i, _, _ in own if shard_of[i] != nodes[arc][1]]
-        # what stays fits; what moves goes to the next shards clockwise that have room left
         assert len(moved) <= beyond[arc]
+    # a row at a time: home arcs in ring order, then what is left over goes clockwise to the next shard with room
+    left, wanted = list(room), collections.Counter()
+    for turn in (0, 1):
+        for arc in range(len(nodes)):
+            for k in range(len(arcs[arc])):
+                home = nodes[arc][1]
+                if turn == 0 and k < len(arcs[arc]) - beyond[arc]:
+                    left[home] -= 1
+                    wanted[arc, home] += 1
+                elif turn == 1 and k >= len(arcs[arc]) - beyond[arc]:
+                    at = arc
+                    while not left[nodes[at % len(nodes)][1]]:
+                        at += 1
+                    left[nodes[at % len(nodes)][1]] -= 1
+                    wanted[arc, nodes[at % len(nodes)][1]] += 1
+    home_of = {i: arc for arc, own in arcs.items() for _, i, _, _ in own}
+    assert collections.Counter((home_of[r.doc_id], r.shard) for r in found) == wanted and not any(left)
     slots = collections.defaultdict(list)
     for r in found:
         slots[r.shard].append(r.slot)
