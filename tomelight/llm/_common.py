@@ -60,6 +60,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Caches that outlive a task (encoders with their words), a dictionary each; workers are used again by other maps.
+CACHES: list[dict] = []
+
+
+def without_caches() -> None:
+    """Called by maps that use none of them: a worker gives back what an earlier map has kept (hundreds of MB)."""
+    for cache in CACHES:
+        cache.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

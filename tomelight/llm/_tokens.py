@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from ._common import CACHES
+
 #: The split pattern of the byte-level vocabulary.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Two white-space characters in a row: there the place of a split depends on the neighbours.
@@ -173,6 +175,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder(path: str) -> Encoder:

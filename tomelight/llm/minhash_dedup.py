@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, fresh, materialize, small_batches, text_or_empty
+from ._common import connected_components, fresh, materialize, small_batches, text_or_empty, without_caches
 from ._words import shingle_sets, text_slices, word_hashes
 
 WIDTH, PERCENT = 5, 75
@@ -59,6 +59,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), n_shingles, fp (128-bit hash of the set), values (the signature)."""
 
     def run(batches):
+        without_caches()
         for batch in batches:
             for at, raw, offsets in text_slices(batch[1]):
                 sets = shingle_sets(*word_hashes(raw, offsets), WIDTH)
@@ -127,6 +128,7 @@ class _Index:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
         def sets(batches):
+            without_caches()
             for batch in batches:
                 for at, raw, offsets in text_slices(batch[2]):
                     found = [s.tobytes() for s in shingle_sets(*word_hashes(raw, offsets), WIDTH)]
@@ -179,6 +181,7 @@ class _Index:
                 own = np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, COORDINATES)
                 return cid, component, own, [np.frombuffer(s, np.uint64) for s in shingles]
 
+            without_caches()
             out, top = [], {}
 
             def root(c):

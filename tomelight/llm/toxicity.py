@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, numbered, small_batches, text_or_empty
+from ._common import materialize, numbered, small_batches, text_or_empty, without_caches
 
 WINDOW = 160
 SAMPLE, TOXIC_SHARE = 6000, 0.5
@@ -292,6 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries of fixed size
 
     def run(batches):
+        without_caches()
         model = shared.value
         for batch in batches:
             scores = model.scores(batch[1].to_pylist())
@@ -307,6 +308,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches):
+        without_caches()
         model = shared.value
         for batch in batches:
             yield batch.rename_columns(names).filter(pa.array(model.scores(batch[place].to_pylist()) < THRESHOLD))

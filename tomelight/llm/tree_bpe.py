@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, partitions, small_batches, text_or_empty
+from ._common import CACHES, materialize, partitions, small_batches, text_or_empty
 
 LEAF, SPAN, LONG, FAN = 2048, 1 << 18, 1 << 20, 8
 
@@ -234,6 +234,7 @@ def default_vocabulary() -> str:
 
 
 _coders: dict[str, WordBPE] = {}
+CACHES.append(_coders)
 
 
 def coder(path: str) -> WordBPE:
