@@ -258,13 +258,13 @@ def list_view(t: Tables):
 
 
 @query("""
-SELECT l_orderkey, arg_min(k, (coalesce(list_position(['R', 'N'], l_returnflag), 99), k)) AS primary_file FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS k FROM lineitem) WHERE l_linestatus = 'O' GROUP BY 1
+SELECT l_orderkey, arg_min(k, (coalesce(list_position(['R', 'N'], l_returnflag), 99), k)) AS primary_file FROM (SELECT *, l_linenumber * 1000000 + l_partkey AS k FROM lineitem) GROUP BY 1
 """)
 def primary_files(t: Tables):
     """A book's first file of the best format by the library's priority, else the lowest id."""
     key = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
     rank = F.coalesce(F.nullif(F.array_position(F.array(F.lit("R"), F.lit("N")), F.col("l_returnflag")), F.lit(0)), F.lit(99))
-    return t.lineitem.where("l_linestatus = 'O'").groupBy("l_orderkey").agg(F.min_by(key, F.struct(rank.alias("r"), key.alias("k"))).alias("primary_file"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.min_by(key, F.struct(rank.alias("r"), key.alias("k"))).alias("primary_file"))
 
 
 @query(f"""

@@ -122,14 +122,14 @@ def token_overlap(t: Tables):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS isbn, p_name AS title FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40),
+WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS isbn, p_name AS title FROM lineitem JOIN part ON p_partkey = l_partkey),
 k AS (SELECT p_partkey, p_name FROM part WHERE p_size > 10), n AS (SELECT lower(p_name) AS title, min(p_partkey) AS id FROM k GROUP BY 1), w AS (SELECT DISTINCT lower(p_name) AS title FROM part WHERE p_size <= 10)
 SELECT r.l_orderkey, r.l_linenumber, coalesce(k.p_partkey, n.id) AS owned, w.title IS NOT NULL AS wanted
 FROM r LEFT JOIN k ON k.p_partkey = r.isbn LEFT JOIN n ON n.title = lower(r.title) LEFT JOIN w ON w.title = lower(r.title)
 """)
 def owned_results(t: Tables):
     """Search results marked as owned, by identifier first and then by normalised title, and as wanted."""
-    line = t.lineitem.where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey")
+    line = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     r = line.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).alias("isbn"), F.lower("p_name").alias("title"))
     held = t.part.where("p_size > 10")
     by_id = held.select(F.col("p_partkey").alias("isbn"), F.col("p_partkey").alias("a"))
