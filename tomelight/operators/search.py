@@ -67,6 +67,30 @@ def best_by_author(found: DataFrame, asked: DataFrame, key: str = "query") -> Da
     return one.select(key, chosen.alias("x"), by.alias("by")).select(key, "x.isbn13", "x.isbn10", "by")
 
 
+def plain_words(text: Column) -> Column:
+    """Lower case, letters and figures only, single spaces; null is empty."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(""))
+
+
+def merged_results(results: DataFrame, asked: Column, query: str = "query") -> DataFrame:
+    """One row a book that several providers found for a query: the columns of results, key, richness and relevance.
+
+    results: query, place (the order in which they came), title, author (the first one), isbn13, description, thumbnail, year. Books are one by
+    ISBN-13, else by title and first author; the richest row stays, the first of equals. relevance adds to the richness what the title has of
+    the text that is asked for: 20 if equal, 12 if it begins with it, 6 if it holds it. Rows without title are left out.
+    """
+    title, wanted = plain_words(F.col("title")), plain_words(asked)
+    isbn = F.nullif(F.trim("isbn13"), F.lit(""))
+    key = F.coalesce(F.concat(F.lit("isbn:"), isbn), F.concat(F.lit("ta:"), title, F.lit("|"), plain_words(F.col("author"))))
+    points = [(F.col("thumbnail").isNotNull(), 3), (F.trim("description") != "", 2), (F.col("isbn13").isNotNull(), 2), (F.trim("author") != "", 2), (F.col("year").isNotNull(), 1)]
+    rich = sum((F.when(F.coalesce(test, F.lit(False)), n).otherwise(0) for test, n in points), F.lit(0))
+    fits = F.when(title == wanted, 20).when(title.startswith(wanted), 12).when(title.contains(wanted), 6).otherwise(0)
+    told = results.where(F.trim("title") != "").withColumns({"key": key, "richness": rich, "relevance": rich + fits})
+    every = F.struct(*told.columns)
+    best = told.groupBy(query, "key").agg(F.max_by(every, F.struct("richness", -F.col("place"))).alias("x"))
+    return best.select("x.*")
+
+
 def release_score(title: Column, size: Column, seeders: Column, protocol: Column, wanted: Column, author: Column, formats: tuple[str, ...] = ("epub",), prefer_usenet: bool = False, most_mb: int = 500) -> Column:
     """How well a release fits a wanted book, 0 to 100: its title's words (45) and its author's (25; 12 if nobody is named), format by preference
     (15, 11, 7, 3), the preferred protocol (8), seeders (up to 7; none: -40; Usenet 4), too large (-50), a bundle (-30)."""

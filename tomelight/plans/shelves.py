@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.resolve import newest_per
-from ..operators.search import COMPLETENESS, best_by_author, completeness, release_score
+from ..operators.search import COMPLETENESS, best_by_author, completeness, merged_results, release_score
 from .browse import _BOOKS, books
 from .registry import Tables, query
 
@@ -102,3 +102,22 @@ def best_releases(t: Tables):
     size = (F.col("l_quantity") * 12 * 1024 * 1024).cast("long")
     score = release_score(name, size, (line % 4).cast("int"), F.when(k % 2 == 0, "usenet").otherwise("torrent"), F.col("title"), F.col("author"), ("epub", "mobi", "pdf"))
     return newest_per(r.select("id", "l_orderkey", "l_linenumber", score.alias("score")), ["id"], [F.desc("score"), F.asc("l_orderkey"), F.asc("l_linenumber")], 3)
+
+
+@query(f"""
+WITH {_BOOKS}, r AS (SELECT id AS query, l_orderkey * 10 + l_linenumber AS place, title AS asked, CASE l_linenumber % 4 WHEN 0 THEN title WHEN 1 THEN upper(title) WHEN 2 THEN title || ' - Illustrated' ELSE 'The ' || title END AS title, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS author,
+  CASE WHEN l_orderkey % 3 = 0 THEN ' i' || (l_orderkey % 5) END AS isbn13, l_quantity > 25 AS described, l_orderkey % 2 = 0 AS shown, l_linenumber % 3 = 0 AS dated FROM lineitem JOIN b ON id = l_partkey),
+k AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(asked), '[^a-z0-9]+', ' ', 'g')) AS q, CASE WHEN shown THEN 3 ELSE 0 END + CASE WHEN described THEN 2 ELSE 0 END + CASE WHEN isbn13 IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN author IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN dated THEN 1 ELSE 0 END AS richness FROM r),
+m AS (SELECT *, coalesce('isbn:' || trim(isbn13), 'ta:' || t || '|' || coalesce(trim(regexp_replace(lower(author), '[^a-z0-9]+', ' ', 'g')), '')) AS key FROM k)
+SELECT query, key, place, richness, richness + CASE WHEN t = q THEN 20 WHEN starts_with(t, q) THEN 12 WHEN contains(t, q) THEN 6 ELSE 0 END AS relevance FROM m QUALIFY row_number() OVER (PARTITION BY query, key ORDER BY richness DESC, place) = 1
+""")
+def provider_results(t: Tables):
+    """What several providers find for a book, one row a found book: the richest record, and how well it fits. Lines play the records."""
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    b = books(t).select("id", F.col("title").alias("asked"), "p_brand")
+    title = F.when(line % 4 == 0, F.col("asked")).when(line % 4 == 1, F.upper("asked")).when(line % 4 == 2, F.concat("asked", F.lit(" - Illustrated"))).otherwise(F.concat(F.lit("The "), F.col("asked")))
+    r = t.lineitem.join(b, F.col("l_partkey") == F.col("id")).select(
+        F.col("id").alias("query"), (k * 10 + line).alias("place"), "asked", title.alias("title"), F.when(line % 2 == 0, F.col("p_brand")).alias("author"), F.when(k % 3 == 0, F.concat(F.lit(" i"), (k % 5).cast("string"))).alias("isbn13"),
+        F.when(F.col("l_quantity") > 25, "text").alias("description"), F.when(k % 2 == 0, "url").alias("thumbnail"), F.when(line % 3 == 0, 2000).alias("year"),
+    )
+    return merged_results(r, F.col("asked")).select("query", "key", "place", "richness", "relevance")
