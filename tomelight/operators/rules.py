@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -242,6 +243,41 @@ def compile_rule(rule: str | dict, schema: dict[str, Field], now: datetime.datet
         return F.lit(False)
 
 
+#: Names that a presence rule knows. A text must not be blank, a list not empty, anything else not null.
+PRESENCE = (
+    "thumbnailUrl personalRating audiobookDuration authors categories moods tags comicCharacters comicTeams comicLocations comicPencillers comicInkers comicColorists comicLetterers comicCoverArtists comicEditors "
+    "title subtitle description publisher language seriesName isbn13 isbn10 asin contentRating narrator goodreadsId hardcoverId googleId audibleId lubimyczytacId ranobedbId comicvineId "
+    "pageCount seriesNumber seriesTotal ageRating publishedDate abridged amazonRating goodreadsRating hardcoverRating ranobedbRating lubimyczytacRating audibleRating "
+    "amazonReviewCount goodreadsReviewCount hardcoverReviewCount audibleReviewCount"
+).split()
+#: Columns whose names don't follow from these.
+_COLUMNS = {"thumbnailUrl": "cover", "publishedDate": "published", "comicCharacters": "characters", "comicTeams": "teams", "comicLocations": "locations"}
+_COLUMNS |= {f"comic{n}s": n[0].lower() + n[1:] if n != "CoverArtist" else "cover_artist" for n in ("Penciller", "Inker", "Colorist", "Letterer", "CoverArtist", "Editor")}
+#: The sources of a book's reading progress.
+PROGRESS = ("koreader_progress", "kobo_progress", "pdf_progress", "epub_progress", "cbx_progress")
+
+
+def column_of(name: str) -> str:
+    """The column of a presence name: seriesName is series_name."""
+    return _COLUMNS.get(name) or re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()
+
+
+def presence(rows: DataFrame) -> Column:
+    """The presence names of which a row says something, as a list; names without a column in rows are never there."""
+    kinds, there = dict(rows.dtypes), []
+    for name in PRESENCE:
+        kind, column = kinds.get(column_of(name)), F.col(column_of(name))
+        if kind is not None:
+            test = F.size(column) > 0 if kind.startswith("array") else F.trim(column) != "" if kind == "string" else column.isNotNull()
+            there.append(F.when(F.coalesce(test, F.lit(False)), F.lit(name)))
+    return F.array_compact(F.array(*there)) if there else F.array().cast("array<string>")
+
+
+def reading_progress(sources: tuple[str, ...] = PROGRESS) -> Column:
+    """The furthest of a book's sources of progress; 0 where none has any."""
+    return F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in sources])
+
+
 def series_states(books: DataFrame, id_column: str, series: Column, number: Column, status: Column, total: Column | None = None) -> DataFrame:
     """books with what holds for each one's series, as lists of names: series_status, series_gaps, series_position, and what the lenient
     dialect reads, lenient_status and lenient_gaps; and in_series.
