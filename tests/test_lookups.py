@@ -124,3 +124,30 @@ def test_release_scores(spark):
     x = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, size long, seeders int, protocol string, wanted string, author string, want int")
     score = search.release_score(*(F.col(c) for c in ("title", "size", "seeders", "protocol", "wanted", "author")))
     assert all(r.s == r.want for r in x.select("want", score.alias("s")).collect())
+
+
+def test_results_of_several_providers(spark):
+    rows = [
+        (1, 0, "Emma", "Jane", " 9 ", None, None, None),
+        (1, 1, "EMMA!", None, "9", "about", "url", 1815),
+        (1, 2, "Emma", "Jane", "", None, None, None),
+        (1, 3, "emma ", "JANE.", None, None, None, 1815),
+        (1, 4, "Emma", "Jane", None, None, None, 1816),
+        (1, 5, "The Emma", None, None, None, None, None),
+        (1, 6, " ", "x", "7", None, None, None),
+        (1, 7, None, "x", "7", None, None, None),
+        (2, 0, "Emma", "Jane", "9", None, None, None),
+    ]
+    x = spark.createDataFrame(rows, "query long, place int, title string, author string, isbn13 string, description string, thumbnail string, year int")
+    found = {(r.query, r.key): (r.place, r.richness, r.relevance) for r in search.merged_results(x, F.lit("Emma")).collect()}
+    assert found == {(1, "isbn:9"): (1, 8, 28), (1, "ta:emma|jane"): (2, 4, 24), (1, "ta:the emma|"): (5, 0, 6), (2, "isbn:9"): (0, 4, 24)}
+
+
+def test_presence_and_progress(spark):
+    from tomelight.operators.rules import PRESENCE, column_of, presence, reading_progress
+
+    assert len(PRESENCE) == 50 and len(set(map(column_of, PRESENCE))) == 50
+    x = spark.createDataFrame([(1, " ", ["a"], None, 5.0), (2, "t", [], 0, None), (3, None, None, 3, 7.5)], "id int, title string, authors array<string>, page_count int, pdf_progress double")
+    for c in ("koreader_progress", "kobo_progress", "epub_progress", "cbx_progress"):
+        x = x.withColumn(c, F.lit(6.0) if c == "kobo_progress" else F.lit(None).cast("double"))
+    assert [(r.p, r.g) for r in x.orderBy("id").select(presence(x).alias("p"), reading_progress().alias("g")).collect()] == [(["authors"], 6.0), (["title", "pageCount"], 6.0), (["pageCount"], 7.5)]
