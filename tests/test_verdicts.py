@@ -170,6 +170,8 @@ def test_book_per_file(spark):
 
 
 def test_nulls_and_no_rows(spark):
-    assert decided(spark, [(1, "a", "", None)]) == {"a/": ("new-book", "-", "-", "fileless: no book has this title")}
+    found = decided(spark, [(1, "a", "", None), (1, None, None, None), (None, "b", "x.epub", "")], [(1, None, None, None, 7), (1, "a", None, "", 8)], [(None, None, None, None, None, None), (3, None, "x", "", False, None)])
+    assert short(found) == {"a/": ("attach-same-folder", "8"), "None/None": ("attach-same-folder", "7"), "b/x.epub": ("new-book", "-")}
+    assert verdicts.rescanned(spark.createDataFrame([], FILE), spark.createDataFrame([], FILE + ", book long"), spark.createDataFrame([], SHELL)).count() == 0
     with pytest.raises(ValueError):
         decided(spark, [(1, "a", "x.epub", None)], mode="NONE")

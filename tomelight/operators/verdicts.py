@@ -282,6 +282,7 @@ def rescanned(files: DataFrame, existing: DataFrame, shells: DataFrame, mode: st
     columns = ["file", "path", "folder", "name", "author"]
     # names are read once for all three tables
     every = files.select(F.lit("n").alias("role"), *columns, F.lit(None).cast("long").alias("book")).unionByName(existing.select(F.lit("e").alias("role"), *columns, F.col("book").cast("long").alias("book")))
+    every = every.withColumns({c: F.coalesce(c, F.lit("")) for c in ("folder", "name")})  # a missing name is one without words
     read = written(read_names(every))
     known, old = read.where("role = 'n'").drop("role", "book"), read.where("role = 'e'").drop("role")
     titled = written(read_shells(shells))
