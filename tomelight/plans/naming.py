@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.filedates import pattern_fields, within_bytes
@@ -84,25 +86,27 @@ SELECT event_id, CAST(track AS BIGINT) AS track FROM r
 def session_tracks(t: Tables):
     """Sessions of a user's day on at most three tracks, without overlap where that is possible; overflow shares the last.
 
-    One group is one user's day.
+    The days pass through a task one after another in the order of their sessions; only the three ends of the current day are held.
     """
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        ends, tracks = [], []
-        for r in rows.sort_values(["start", "event_id"]).itertuples():
-            track = next((i for i, end in enumerate(ends) if end <= r.start), None)
-            if track is None and len(ends) < 3:
-                track = len(ends)
-                ends.append(r.end)
-            elif track is None:
-                track = 2
-            ends[track] = max(ends[track], r.end)
-            tracks.append((r.event_id, track))
-        return pd.DataFrame(tracks, columns=["event_id", "track"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, ends = None, []
+        for batch in batches:
+            tracks = []
+            for *day, start, end in zip(*(batch[c].to_pylist() for c in ("user_id", "day", "start", "end")), strict=True):
+                if day != current:
+                    current, ends = day, []
+                track = next((i for i, last in enumerate(ends) if last is not None and start is not None and last <= start), min(len(ends), 2))
+                if track == len(ends):
+                    ends.append(end)
+                elif ends[track] is None or end is not None and (end > ends[track] or end != end):
+                    ends[track] = end
+                tracks.append(track)
+            yield pa.RecordBatch.from_arrays([batch["event_id"], pa.array(tracks, pa.int64())], ["event_id", "track"])
 
     start = F.hour("ts") * 60.0 + F.minute("ts")
-    rows = t.events.select("event_id", "user_id", F.to_date("ts").alias("day"), start.alias("start"), (start + F.col("value")).alias("end"))
-    return rows.groupBy("user_id", "day").applyInPandas(pack, "event_id long, track long")
+    rows = t.events.select("event_id", "user_id", F.unix_date(F.to_date("ts")).alias("day"), start.alias("start"), (start + F.col("value")).alias("end"))
+    return rows.repartition("user_id", "day").sortWithinPartitions("user_id", "day", "start", "event_id").mapInArrow(pack, "event_id long, track long")
 
 
 def _tokens(text, least: int = 3):
