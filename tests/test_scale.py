@@ -1,7 +1,10 @@
 """Queries whose cost once grew faster than their input: the rows on small tables, and what the plan may not hold."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tomelight.functions.identity import fuzzy_ratio, fuzzy_score, person, strength
+from tomelight.functions.text import isbn10, isbn13, valid_isbn
 from tomelight.plans import ORACLES, QUERIES
 
 
@@ -35,3 +38,31 @@ def test_tracks_pass_as_a_stream(spark, tmp_path):
     assert found == wanted
     # a Python call a user's day made the time of 2.4 million days
     assert "FlatMapGroups" not in plan(QUERIES["session_tracks"](spark, str(tmp_path)))
+
+
+def test_isbns_read_their_text_once(spark):
+    nine = F.lpad(F.col("id").cast("string"), 9, "0")
+    thirteen = isbn13(F.concat(nine, F.lit("0")))
+    ten = isbn10(thirteen)
+    frame = spark.range(3).select(ten.alias("ten"), thirteen.alias("thirteen"), valid_isbn(ten).alias("a"), valid_isbn(F.concat(F.lit("x"), thirteen)).alias("b"))
+    assert [tuple(r) for r in frame.collect()] == [("0000000000", "9780000000002", True, False), ("0000000019", "9780000000019", True, False), ("0000000027", "9780000000026", True, False)]
+    assert spark.range(1).select(isbn13(F.lit("12345")).alias("a"), isbn10(F.lit("9790000000001")).alias("b"), valid_isbn(F.lit(None).cast("string")).alias("c")).first() == (None, None, False)
+    # the text of each level stood some ten times in the next one's expression
+    assert str(valid_isbn(ten)._jc).count("lpad") == 1
+
+
+def test_persons_are_read_once(spark):
+    frame = spark.createDataFrame([("Ann Bee", "A. Bee"), ("Ann Bee", "Bee"), ("Ann Bee", "Bob Bee"), ("Ann Bee", None)], "a string, b string")
+    found = strength(person(F.col("a")), person(F.col("b")))
+    assert [r[0] for r in frame.select(found).collect()] == [2, 1, 0, 0]
+    # a person stood six times in a strength, and its reading is the work
+    assert str(found._jc).count("jr") == str(F.struct(person(F.col("a")), person(F.col("b")))._jc).count("jr")
+
+
+def test_a_word_scores_itself_in_closed_form(spark):
+    frame = spark.createDataFrame([("",), ("a",), ("aab\U0001f600b",), ("small ring",)], "a string")
+    a = F.col("a")
+    for r in frame.select(a, fuzzy_score(a, a).alias("score"), fuzzy_ratio(a, a).alias("ratio"), F.length(a).alias("n")).collect():
+        assert (r.score, r.ratio) == ((3 * r.n - 2, 1.0) if r.a else (0, 0.0))
+    # the ratio alone scored five times; a letter was looked for six times a step
+    assert str(fuzzy_ratio(a, a)._jc).count("locate") == 1

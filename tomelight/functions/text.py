@@ -95,26 +95,35 @@ def _weighted(text: Column, weights: list[int]) -> Column:
 
 def isbn13(isbn10: Column) -> Column:
     """ISBN-10 -> ISBN-13 with a right check digit; other texts give null."""
-    text = _digits(isbn10)
-    body = F.concat(F.lit("978"), F.substring(text, 1, 9))
-    check = (10 - _weighted(body, [1, 3] * 6) % 10) % 10
-    return F.when(text.rlike(r"^\d{9}[\dX]$"), F.concat(body, check.cast("string")))
+
+    def made(text: Column) -> Column:
+        body = F.concat(F.lit("978"), F.substring(text, 1, 9))
+        check = lambda x: (10 - _weighted(x, [1, 3] * 6) % 10) % 10
+        return F.when(text.rlike(r"^\d{9}[\dX]$"), let(body, lambda x: F.concat(x, check(x).cast("string"))))
+
+    return let(_digits(isbn10), made)
 
 
 def isbn10(isbn13_: Column) -> Column:
     """ISBN-13 that begins with 978 -> ISBN-10."""
-    text = _digits(isbn13_)
-    body = F.substring(text, 4, 9)
-    check = (11 - _weighted(body, [10, 9, 8, 7, 6, 5, 4, 3, 2]) % 11) % 11
-    return F.when(text.rlike(r"^978\d{10}$"), F.concat(body, F.when(check == 10, "X").otherwise(check.cast("string"))))
+
+    def made(text: Column) -> Column:
+        figure = lambda check: F.when(check == 10, "X").otherwise(check.cast("string"))
+        check = lambda x: (11 - _weighted(x, [10, 9, 8, 7, 6, 5, 4, 3, 2]) % 11) % 11
+        return F.when(text.rlike(r"^978\d{10}$"), let(F.substring(text, 4, 9), lambda x: F.concat(x, let(check(x), figure))))
+
+    return let(_digits(isbn13_), made)
 
 
 def valid_isbn(text: Column) -> Column:
     """Whether a text is an ISBN-10 or ISBN-13 with a right checksum."""
-    x = _digits(text)
-    ten = x.rlike(r"^\d{9}[\dX]$") & (_weighted(x, [10, 9, 8, 7, 6, 5, 4, 3, 2, 1]) % 11 == 0)
-    thirteen = x.rlike(r"^\d{13}$") & (_weighted(x, [1, 3] * 6 + [1]) % 10 == 0)
-    return F.coalesce(ten, F.lit(False)) | F.coalesce(thirteen, F.lit(False))
+
+    def valid(x: Column) -> Column:
+        ten = x.rlike(r"^\d{9}[\dX]$") & (_weighted(x, [10, 9, 8, 7, 6, 5, 4, 3, 2, 1]) % 11 == 0)
+        thirteen = x.rlike(r"^\d{13}$") & (_weighted(x, [1, 3] * 6 + [1]) % 10 == 0)
+        return F.coalesce(ten, F.lit(False)) | F.coalesce(thirteen, F.lit(False))
+
+    return let(_digits(text), valid)
 
 
 def file_type(name: Column) -> Column:

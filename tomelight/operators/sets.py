@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Short rows with much work in each, dealt evenly over all tasks: their file may be a single split."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(old.select(*keys), keys, "left_anti")
 

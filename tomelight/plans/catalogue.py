@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import banded
 from ..functions.text import clean_file_name, file_type, isbn10, isbn13, token_counts_cosine, truncated, valid_isbn
 from ..operators.facets import Facet, facet_counts, filtered, multi_sort, natural_key, searched, surname_first
+from ..operators.sets import spread
 from .registry import Tables, query
 
 SIZE_BANDS = [("tiny", 0, 10), ("small", 11, 20), ("medium", 21, 30), ("large", 35, 50)]
@@ -79,7 +80,7 @@ def isbn_conversion(t: Tables):
     nine = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
     thirteen = isbn13(F.concat(nine, F.lit("0")))
     ten = isbn10(thirteen)
-    return t.part.select("p_partkey", ten.alias("ten"), thirteen.alias("thirteen"), valid_isbn(ten).alias("valid_ten"), valid_isbn(thirteen).alias("valid_thirteen"))
+    return spread(t.part.select("p_partkey"), "p_partkey").select("p_partkey", ten.alias("ten"), thirteen.alias("thirteen"), valid_isbn(ten).alias("valid_ten"), valid_isbn(thirteen).alias("valid_thirteen"))
 
 
 @query(r"""
