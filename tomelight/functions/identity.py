@@ -61,10 +61,14 @@ def person(name: Column) -> Column:
 def strength(a: Column, b: Column) -> Column:
     """How well two persons agree: 2 equal surnames and given names that are equal or initials of each other as far as both go,
     1 equal surnames and no given name on one side, else 0."""
-    both = F.least(F.size(a["given"]), F.size(b["given"]))
-    pairs = F.zip_with(F.slice(a["given"], 1, both), F.slice(b["given"], 1, both), lambda x, y: (x == y) | ((F.length(x) == 1) & y.startswith(x)) | ((F.length(y) == 1) & x.startswith(y)))
-    agree = F.when(both == 0, 1).when(F.forall(pairs, lambda p: p), 2).otherwise(0)
-    return F.coalesce(F.when(a["surname"] == b["surname"], agree), F.lit(0))
+
+    def agreed(a: Column, b: Column) -> Column:
+        both = F.least(F.size(a["given"]), F.size(b["given"]))
+        pairs = F.zip_with(F.slice(a["given"], 1, both), F.slice(b["given"], 1, both), lambda x, y: (x == y) | ((F.length(x) == 1) & y.startswith(x)) | ((F.length(y) == 1) & x.startswith(y)))
+        agree = F.when(both == 0, 1).when(F.forall(pairs, lambda p: p), 2).otherwise(0)
+        return F.coalesce(F.when(a["surname"] == b["surname"], agree), F.lit(0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: agreed(p["a"], p["b"]))
 
 
 def best_strength(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from ..functions.identity import best_strength, fuzzy_ratio, fuzzy_score, person
 from ..functions.text import isbn13, search_key
 from ..operators.matching import decided, grouped
 from ..operators.resolve import staged_duplicates
+from ..operators.sets import spread
 from .registry import Tables, query
 
 _TITLES = """
@@ -77,9 +78,12 @@ def name_strengths(t: Tables):
         "other": F.concat(F.lit("X. "), "surname"),
         "stranger": F.concat("given", F.lit(" Nobody")),
     }
-    found = [strength(person(full), person(s)).alias(n) for n, s in spellings.items()]
-    best = best_strength(F.array(person(full)), F.array(*[person(spellings[n]) for n in ("stranger", "bare", "turned")]))
-    return x.select("p_partkey", *found, best.alias("best"))
+    # each spelling is read once, in a projection of its own
+    read = spread(x.select("p_partkey", full.alias("full"), *[s.alias(n) for n, s in spellings.items()]), "p_partkey")
+    read = read.select("p_partkey", *[person(F.col(n)).alias(f"who_{n}") for n in ("full", *spellings)])
+    found = [strength(F.col("who_full"), F.col(f"who_{n}")).alias(n) for n in spellings]
+    best = best_strength(F.array("who_full"), F.array("who_stranger", "who_bare", "who_turned"))
+    return read.select("p_partkey", *found, best.alias("best"))
 
 
 @query(_FILES + "SELECT file, own AS identity, CASE WHEN kind IN (2, 5) THEN 1 END AS copy, CASE WHEN y IS NULL THEN [] ELSE [y] END AS years, identity AS without_copy FROM f")
