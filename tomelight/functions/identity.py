@@ -206,20 +206,25 @@ def fuzzy_score(term: Column, query: Column) -> Column:
     """One point for each letter of ``query`` found in ``term`` in order, two more where it follows the letter found before."""
     start = F.struct(F.lit(0).alias("at"), F.lit(-9).alias("before"), F.lit(0).alias("score"))
 
-    def step(s: Column, letter: Column) -> Column:
-        place = F.call_function("locate", letter, term, s["at"] + 1)
+    def moved(s: Column, place: Column) -> Column:
         found = place > 0
         gained = F.when(s["before"] + 1 == place, 3).otherwise(1)
         return F.struct(F.when(found, place).otherwise(F.length(term)).alias("at"), F.when(found, place).otherwise(s["before"]).alias("before"), (s["score"] + F.when(found, gained).otherwise(0)).alias("score"))
 
+    def step(s: Column, letter: Column) -> Column:
+        return let(F.call_function("locate", letter, term, s["at"] + 1), lambda place: moved(s, place))
+
     return F.aggregate(F.filter(F.split(query, ""), lambda c: c != ""), start, step, lambda s: s["score"])
 
 
-def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """Fuzzy score of two lower-cased words over the better of their scores with themselves."""
+def fuzzy_ratio(a: Column, b: Column, score: Column | None = None) -> Column:
+    """Fuzzy score of two lower-cased words (given, or computed here) over the better of their scores with themselves.
+
+    A word finds itself letter by letter: one point for the first and three for every other.
+    """
     x, y = F.lower(a), F.lower(b)
-    most = F.greatest(fuzzy_score(x, x), fuzzy_score(y, y))
-    return F.when(most > 0, fuzzy_score(x, y) / most).otherwise(0.0)
+    most = F.greatest(F.length(x), F.length(y)) * 3 - 2
+    return F.when(most > 0, (fuzzy_score(x, y) if score is None else score) / most).otherwise(0.0)
 
 
 def score_card(signals: list[tuple[Column, int, bool]], mark: int = 70, review: int = 40) -> tuple[Column, Column]:

@@ -106,8 +106,10 @@ FROM part JOIN e ON e.term = lower(string_split(p_name, ' ')[1]) AND e.query = l
 def fuzzy_agreement(t: Tables):
     """Fuzzy score of two words, its ratio to the better score of each with itself, and whether that reaches one half."""
     a, b = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lower("p_type")
-    ratio = fuzzy_ratio(a, b)
-    return t.part.select("p_partkey", fuzzy_score(a, b).alias("score"), F.round(ratio, 6).alias("ratio"), (ratio >= 0.5).alias("agrees"))
+    words = spread(t.part.select("p_partkey", a.alias("a"), b.alias("b")), "p_partkey")
+    scored = words.select("p_partkey", "a", "b", fuzzy_score(F.col("a"), F.col("b")).alias("score"))
+    ratio = fuzzy_ratio(F.col("a"), F.col("b"), F.col("score"))
+    return scored.select("p_partkey", "score", F.round(ratio, 6).alias("ratio"), (ratio >= 0.5).alias("agrees"))
 
 
 @query(_FILES + """
