@@ -66,3 +66,14 @@ def test_a_word_scores_itself_in_closed_form(spark):
         assert (r.score, r.ratio) == ((3 * r.n - 2, 1.0) if r.a else (0, 0.0))
     # the ratio alone scored five times; a letter was looked for six times a step
     assert str(fuzzy_ratio(a, a)._jc).count("locate") == 1
+
+
+def test_pairs_of_a_block_are_scored_by_lists(spark, tmp_path):
+    # 300 items of one block, of which 200 say the same and fill several lists; an item without a price, blocks of one
+    tables(tmp_path, part="SELECT CAST(i * 7 % 307 AS BIGINT) AS p_partkey, CASE WHEN i < 300 THEN 'B' WHEN i = 306 THEN NULL ELSE 'C' END AS p_brand, CAST(CASE WHEN i < 300 THEN 1 ELSE i END AS INTEGER) AS p_size, CASE WHEN i < 200 THEN 'BIG TIN' ELSE 'tin x' || i % 5 END AS p_type, CAST(CASE WHEN i < 200 THEN 9 ELSE i % 11 END AS DOUBLE) AS p_retailprice FROM range(307) r(i)")
+    found, wanted = both(spark, tmp_path, "pairwise_similarity")
+    assert len(wanted) == 300 * 299 // 2
+    assert found == wanted
+    # words were compared for every pair of rows: now before lists become pairs
+    text = plan(QUERIES["pairwise_similarity"](spark, str(tmp_path)))
+    assert text.index("Generate explode(right") < text.index("array_intersect")

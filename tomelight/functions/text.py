@@ -78,11 +78,20 @@ def token_counts_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot / size), F.lit(0.0))
 
 
+def names(values: Column) -> Column:
+    """The distinct lower-cased names of an array."""
+    return F.array_distinct(F.transform(values, F.lower))
+
+
+def shared(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two arrays of distinct values; 0 if either is empty."""
+    both = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.when((F.size(x) > 0) & (F.size(y) > 0), both / (F.size(x) + F.size(y) - both)), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of names, lower-cased; 0 if either is empty."""
-    x, y = F.array_distinct(F.transform(a, F.lower)), F.array_distinct(F.transform(b, F.lower))
-    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-    return F.coalesce(F.when((F.size(x) > 0) & (F.size(y) > 0), both / either), F.lit(0.0))
+    return shared(names(a), names(b))
 
 
 def _digits(text: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import jaccard, search_key
+from ..functions.text import names, search_key, shared
 from ..operators.resolve import capped_per_author, changed_fields, components, consolidated, dot, keepers, merged_by_priority, newest_per, normalised, rating_proximity, replaced, same_key_groups, same_key_links, similarity, staged_duplicates, top_similar
-from ..operators.sets import bulk_set, compare, purged, upsert, without_orphans
+from ..operators.sets import bulk_set, compare, purged, spread, upsert, without_orphans
 from .registry import Tables, query
 
 
@@ -108,13 +111,28 @@ SELECT a.p_partkey AS a, b.p_partkey AS b,
 FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
 """)
 def pairwise_similarity(t: Tables):
-    """Weighted similarity of items that share a block (series and number)."""
-    w = t.part.select("p_partkey", "p_brand", "p_size", "p_retailprice", F.split("p_type", " ").alias("w"))
-    a, b = w.alias("a"), w.alias("b")
-    joined = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    """Weighted similarity of items that share a block (series and number).
+
+    The rows are all pairs of a block. Items that say the same are lists of about 64: two lists are scored once, then paired item by item.
+    """
+    says = ["p_brand", "p_size", "p_retailprice", "p_type"]
+    part = t.part
+    alike = part.groupBy(*says).agg(F.count("*").alias("n")).withColumnsRenamed({c: f"_{c}" for c in says})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in says))
+    placed = part.join(alike, same).select(*says, "p_partkey", F.pmod(F.xxhash64("p_partkey"), F.ceil(F.col("n") / 64)).alias("list"))
+    lists = placed.groupBy(*says, "list").agg(F.array_sort(F.collect_list("p_partkey")).alias("items"))
+    lists = lists.select("p_brand", "p_size", "p_retailprice", names(F.split("p_type", " ")).alias("w"), "items", F.get("items", F.lit(0)).alias("first"))
+    # a block's left lists are dealt to eight tasks
+    a = spread(lists.withColumn("deal", F.pmod(F.xxhash64("first"), F.lit(8))), "p_brand", "p_size", "deal").alias("a")
+    b = spread(lists.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))), "p_brand", "p_size", "deal").alias("b")
+    block = reduce(and_, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("p_brand", "p_size", "deal")))
+    joined = a.join(b, block & (F.col("a.first") <= F.col("b.first")))
     zero = F.lit(0.0)
-    score = similarity(zero, F.lit(1.0), zero, jaccard(F.col("a.w"), F.col("b.w")), rating_proximity(F.col("a.p_retailprice"), F.col("b.p_retailprice")))
-    return joined.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), score.alias("score"))
+    score = similarity(zero, F.lit(1.0), zero, shared(F.col("a.w"), F.col("b.w")), rating_proximity(F.col("a.p_retailprice"), F.col("b.p_retailprice")))
+    scored = joined.select(score.alias("score"), F.col("a.items").alias("left"), F.col("b.items").alias("right"), (F.col("a.first") < F.col("b.first")).alias("apart"))
+    pairs = scored.select("score", "right", "apart", F.explode("left").alias("x")).select("score", "apart", "x", F.explode("right").alias("y"))
+    pairs = pairs.where((F.col("x") < F.col("y")) | F.col("apart") & (F.col("x") > F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
 @query("""
