@@ -1,10 +1,14 @@
 """Queries whose cost once grew faster than their input: the rows on small tables, and what the plan may not hold."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from tomelight.functions.identity import fuzzy_ratio, fuzzy_score, person, strength
 from tomelight.functions.text import isbn10, isbn13, valid_isbn
+from tomelight.operators import resolve
+from tomelight.operators.resolve import top_similar, top_similar_classes
 from tomelight.plans import ORACLES, QUERIES
 
 
@@ -77,3 +81,24 @@ def test_pairs_of_a_block_are_scored_by_lists(spark, tmp_path):
     # words were compared for every pair of rows: now before lists become pairs
     text = plan(QUERIES["pairwise_similarity"](spark, str(tmp_path)))
     assert text.index("Generate explode(right") < text.index("array_intersect")
+
+
+def test_only_different_vectors_meet(spark):
+    draw = random.Random(3)
+    kinds = [[float(draw.randint(0, 3)) for _ in range(4)] for _ in range(9)] + [[0.0] * 4]
+    rows = [(i, kinds[i * i % 10], [None, "a", "b"][i % 3]) for i in draw.sample(range(1000), 200)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>, s string").repartition(3)
+    order = lambda x: sorted((r.query, -r.score, r.other) for r in x.collect())
+    for apart in (None, "s"):
+        found = top_similar_classes(frame, "id", "v", 5, query_rows=8, block_rows=11, apart=apart)
+        assert order(found) == order(top_similar(frame, "id", "v", frame, 5, apart=apart))
+
+
+def test_recommendations_meet_by_classes(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(resolve, "top_similar", lambda vectors, *rest, **more: seen.append(vectors.count()) or top_similar(vectors, *rest, **more))
+    tables(tmp_path, part="SELECT CAST(i + 210 * j AS BIGINT) AS p_partkey, 'small ring' AS p_name, 'Brand#' || i % 3 AS p_brand, 'BIG TIN' AS p_type, CAST(i % 4 AS INTEGER) AS p_size, 1.0 AS p_retailprice FROM range(40) r(i), range(8) s(j)")
+    found, wanted = both(spark, tmp_path, "recommendations_all")
+    assert found == wanted
+    # all 320 rows were shipped to meet all others
+    assert seen and max(seen) <= 40

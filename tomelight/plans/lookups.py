@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import paging, search
-from ..operators.resolve import hashed_weights, shared_folder, top_similar, weighted_features, written
+from ..operators.resolve import hashed_weights, shared_folder, top_similar_classes, weighted_features, written
 from .browse import _BOOKS, _RANK, books
 from .registry import Tables, query
 
@@ -100,4 +100,4 @@ def recommendations_all(t: Tables):
     """For every book the 25 most similar ones above 0.1 of other series, by hashed weighted features."""
     b = books(t)
     vectors = written(hashed_weights(b, "id", book_features(b)).join(b.select("id", F.lower("series_name").alias("series")), "id"))
-    return top_similar(vectors, "id", "vector", vectors, query_rows=1024, apart="series").select("query", "other", F.round("score", 6).alias("score"))
+    return top_similar_classes(vectors, "id", "vector", apart="series").select("query", "other", F.round("score", 6).alias("score"))
