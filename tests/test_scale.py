@@ -9,6 +9,7 @@ from tomelight.functions.identity import fuzzy_ratio, fuzzy_score, person, stren
 from tomelight.functions.text import isbn10, isbn13, valid_isbn
 from tomelight.operators import resolve
 from tomelight.operators.resolve import top_similar, top_similar_classes
+from tomelight.operators.verdicts import read_names
 from tomelight.plans import ORACLES, QUERIES
 
 
@@ -102,3 +103,15 @@ def test_recommendations_meet_by_classes(spark, tmp_path, monkeypatch):
     assert found == wanted
     # all 320 rows were shipped to meet all others
     assert seen and max(seen) <= 40
+
+
+def test_names_of_files_are_read_once(spark):
+    kinds = [("The Ring Vol. 2 (1999).epub", "Ann Bee"), ("The Ring Vol. 2 (1).mobi", None), ("Comic 7.cbz", "Bee, Ann"), (None, "Ann Bee"), ("", None)]
+    rows = [(i, *kinds[i * i % 5]) for i in range(60)]
+    found = read_names(spark.createDataFrame(rows, "file long, name string, author string"))
+    alone = {k: read_names(spark.createDataFrame([(0, *k)], "file long, name string, author string")).drop("file").first() for k in kinds}
+    got = found.collect()
+    assert sorted(r.file for r in got) == list(range(60))
+    assert all(tuple(r)[1:] == tuple(alone[r.name, r.author]) for r in got)
+    # every row's name was read
+    assert "HashAggregate(keys=[name" in plan(found)

@@ -27,6 +27,7 @@ from ..functions.identity import base_name, person, strength, title_identity
 from ..functions.text import file_type
 from .matching import grouped_known
 from .resolve import written
+from .sets import spread
 
 MODES = ("AUTO_DETECT", "BOOK_PER_FOLDER", "BOOK_PER_FILE")
 AUDIO = ("m4b", "m4a", "mp3", "opus")
@@ -38,16 +39,21 @@ _AUDIO_PART = r"(?i)(\s*[\(\[](part|pt|disc|disk|cd)\s*\d{1,4}(\s*of\s*\d{1,4})?
 def read_names(files: DataFrame) -> DataFrame:
     """files with what their names say: base, format, identity (as a title; a bare copy has its original's), plain (without a copy
     mark), mark (a copy's number, 0 for " - Copy"), years, who (the person of author), and copies (the name that copies and parts share)."""
-    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *files.columns)
     base = base_name(F.col("name"))
-    read = spread.withColumns({"t": title_identity(base, file_type(F.col("name")) == "cbx"), "base": F.lower(base), "who": person(F.col("author")), "format": file_type(F.col("name"))})
+    # reading is the work: each different name and author is read once, dealt evenly over all tasks
+    once = lambda c: spread(files.select(c), c).distinct()
+    read = once("name").select(F.col("name").alias("_name"), title_identity(base, file_type(F.col("name")) == "cbx").alias("t"), F.lower(base).alias("base"), file_type(F.col("name")).alias("format"))
+    persons = once("author").select(F.col("author").alias("_author"), person(F.col("author")).alias("who"))
     word = F.col("base").rlike(_COPY_WORD)
     mark = F.when(F.col("t.copy").isNotNull(), F.when(word, 0).otherwise(F.col("t.copy")))
     copies = F.regexp_replace(F.when(word, F.regexp_replace("base", _COPY_WORD, "")).otherwise(F.regexp_replace("base", _COPY_NUMBER, "")), r"\s+", " ")
     copies = F.trim(F.when(F.col("format").isin(*AUDIO), F.regexp_replace(copies, _AUDIO_PART, "")).otherwise(copies))
     identity = F.when(mark == 0, F.col("t.without_copy")).otherwise(F.col("t.identity"))
     own = {"identity": identity, "plain": F.col("t.without_copy"), "mark": mark, "years": F.array_join("t.years", ","), "copies": copies}
-    return read.withColumns(own).withColumn("titled", F.struct(F.col("t.identity").alias("identity"), F.col("t.copy").alias("copy"), F.col("t.years").alias("years"), F.col("t.without_copy").alias("without_copy"))).drop("t")
+    titled = F.struct(F.col("t.identity").alias("identity"), F.col("t.copy").alias("copy"), F.col("t.years").alias("years"), F.col("t.without_copy").alias("without_copy"))
+    names = read.withColumns(own).withColumn("titled", titled).drop("t")
+    known = files.join(names, F.col("name").eqNullSafe(F.col("_name"))).join(persons, F.col("author").eqNullSafe(F.col("_author")))
+    return known.select(*files.columns, "base", "who", "format", *own, "titled")
 
 
 def folder_key() -> Column:
