@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tomelight.functions.identity import fuzzy_ratio, fuzzy_score, person, strength
 from tomelight.functions.text import isbn10, isbn13, valid_isbn
-from tomelight.operators import resolve
+from tomelight.operators import matching, resolve
 from tomelight.operators.resolve import top_similar, top_similar_classes
 from tomelight.operators.verdicts import read_names
 from tomelight.plans import ORACLES, QUERIES
@@ -115,3 +115,15 @@ def test_names_of_files_are_read_once(spark):
     assert all(tuple(r)[1:] == tuple(alone[r.name, r.author]) for r in got)
     # every row's name was read
     assert "HashAggregate(keys=[name" in plan(found)
+
+
+def test_grouped_files_meet_as_classes(spark, monkeypatch):
+    rows = [(i, i % 2, ("Dune.epub", "Dune (1).epub", "DUNE - Copy.mobi", "Emma (1815).epub")[i % 4], ("F. Herbert", None)[i % 8 // 4]) for i in range(400)]
+    files = spark.createDataFrame(rows, "file long, folder long, name string, author string")
+    sizes = []
+    keep = matching.written
+    monkeypatch.setattr(matching, "written", lambda df: [t := keep(df), sizes.append(t.count())][0])
+    found = {r.file: (r.group_key, r.members) for r in matching.grouped(files).collect()}
+    assert len(found) == 400 and found[0] == found[2] != found[1] and found[0][1] == 200 and {found[i] for i in (1, 5)} == {("1:dune 1", 100)}
+    # what is written and shuffled between are classes of (folder, name, author), not files
+    assert max(sizes) == 8

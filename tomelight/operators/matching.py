@@ -6,12 +6,16 @@ visits pairs within a folder: names meet by their identity, and what a label's f
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import base_name, person, strength, title_identity
 from ..functions.text import file_type
 from .resolve import components, same_key_links, written
+from .sets import spread
 
 FILE = ["file", "folder", "name", "author"]
 
@@ -33,8 +37,13 @@ def grouped(files: DataFrame) -> DataFrame:
     Files that name different years are different books, and one that names none then belongs to neither; likewise files whose
     authors do not all agree. Files with one base name are always one book.
     """
-    known = identified(files).withColumn("base", F.lower(base_name(F.col("name"))))
-    return grouped_known(written(known))
+    classes = written(files.groupBy(*FILE[1:]).agg(F.count("*").alias("n")))
+    # reading is the work: each different name and author is read once, dealt evenly over all tasks
+    once = lambda c: spread(classes.select(c).distinct(), c)
+    names = once("name").select(F.col("name").alias("_name"), title_identity(base_name(F.col("name"))).alias("t"))
+    persons = once("author").select(F.col("author").alias("_author"), person(F.col("author")).alias("person"))
+    known = classes.join(names, F.col("name").eqNullSafe(F.col("_name"))).join(persons, F.col("author").eqNullSafe(F.col("_author")))
+    return _placed(files, _keyed(written(known.select(*classes.columns, "person", "t.*"))))
 
 
 def _disagreeing(labelled: DataFrame, most: int = 6) -> DataFrame:
@@ -55,32 +64,45 @@ def _disagreeing(labelled: DataFrame, most: int = 6) -> DataFrame:
 
 
 def grouped_known(known: DataFrame) -> DataFrame:
-    """(file, group_key, members) of files whose names are read: file, folder, base, person, identity, without_copy, copy, years."""
+    """(file, group_key, members) of files whose names are read: file, folder, name, author, person, identity, without_copy, copy, years."""
+    says = [*FILE[1:], "person", "identity", "without_copy", "copy", "years"]
+    return _placed(known, _keyed(written(known.groupBy(*says).agg(F.count("*").alias("n")))))
+
+
+def _placed(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """(file, group_key, members): the files with what ``_keyed`` says of their class."""
+    theirs = keys.withColumnsRenamed({c: f"_{c}" for c in FILE[1:]})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in FILE[1:]))
+    return files.select(*FILE).join(theirs, same).select("file", "group_key", "members")
+
+
+def _keyed(known: DataFrame) -> DataFrame:
+    """(folder, name, author, group_key, members) of classes of n files that say the same; only here files meet, so rows are moved as classes."""
     plain = known.where("copy is null").select("folder", F.col("identity").alias("without_copy")).distinct().withColumn("there", F.lit(True))
     named = known.join(plain, ["folder", "without_copy"], "left")
     identity = F.when(F.col("copy").isNotNull() & F.col("there"), F.col("without_copy")).otherwise(F.col("identity"))
+    base = F.lower(base_name(F.col("name")))
     # a name without a word left is only the same book as its own base name
-    named = named.withColumn("label", F.when(identity == "", F.concat(F.lit("="), "base")).otherwise(identity))
-    year = F.array_join("years", ",")
-    years = named.groupBy("folder", "label").agg((F.count_distinct(F.when(F.size("years") > 0, year)) > 1).alias("split"))
+    label = F.when(identity == "", F.concat(F.lit("="), base)).otherwise(identity)
+    named = named.select(*FILE[1:], "n", "person", F.array_join("years", ",").alias("year"), label.alias("label"))
+    years = named.groupBy("folder", "label").agg((F.count_distinct(F.when(F.col("year") != "", F.col("year"))) > 1).alias("split"))
     labelled = named.join(years, ["folder", "label"])
-    of_year = F.when(F.size("years") > 0, year).otherwise(F.lit("no year"))
+    of_year = F.when(F.col("year") != "", F.col("year")).otherwise(F.lit("no year"))
     labelled = labelled.withColumn("label", F.when(F.col("split"), F.concat("label", F.lit(" ("), of_year, F.lit(")"))).otherwise(F.col("label")))
     apart = _disagreeing(labelled).withColumn("apart", F.lit(True))
     labelled = labelled.join(apart, ["folder", "label"], "left")
     who = F.concat(F.lit(" by "), F.col("person.surname"), F.lit(" "), F.array_join("person.given", " "))
     labelled = labelled.withColumn("label", F.when(F.col("apart") & F.col("person").isNotNull(), F.concat("label", who)).otherwise(F.col("label")))
-    labelled = labelled.withColumn("group_key", F.concat_ws(":", F.col("folder").cast("string"), "label")).select("file", "folder", "base", "group_key")
+    labelled = labelled.select(*FILE[1:], "n", F.concat_ws(":", F.col("folder").cast("string"), "label").alias("group_key"))
     labelled = written(labelled)
     # labels that share a base name are one: few, so their links are
-    names = labelled.select("folder", "base", "group_key").distinct()
+    names = labelled.select("folder", base.alias("base"), "group_key").distinct()
     links = written(same_key_links(names, F.concat_ws("/", F.col("folder").cast("string"), "base"), "group_key"))
-    if links.isEmpty():
-        size = labelled.groupBy("group_key").agg(F.count("*").alias("members"))
-        return labelled.join(size, "group_key").select("file", "group_key", "members")
-    joined = components(links).withColumnsRenamed({"id": "group_key", "component": "one"})
-    found = labelled.join(joined, "group_key", "left").select("file", F.coalesce("one", "group_key").alias("group_key"))
-    return found.join(found.groupBy("group_key").agg(F.count("*").alias("members")), "group_key").select("file", "group_key", "members")
+    if not links.isEmpty():
+        joined = components(links).withColumnsRenamed({"id": "group_key", "component": "one"})
+        labelled = labelled.join(joined, "group_key", "left").select(*FILE[1:], "n", F.coalesce("one", "group_key").alias("group_key"))
+    size = labelled.groupBy("group_key").agg(F.sum("n").alias("members"))
+    return labelled.join(size, "group_key").select(*FILE[1:], "group_key", "members")
 
 
 def _agreeing_years(a: Column, b: Column) -> Column:

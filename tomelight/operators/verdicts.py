@@ -81,7 +81,7 @@ def groups(known: DataFrame, mode: str) -> DataFrame:
     if mode == "BOOK_PER_FILE":
         return known.select("file", alone.alias("group_key"))
     if mode == "AUTO_DETECT":
-        return grouped_known(known.select("file", folder_key().alias("folder"), "base", F.col("who").alias("person"), "titled.*")).select("file", "group_key")
+        return grouped_known(known.select("file", folder_key().alias("folder"), "name", "author", F.col("who").alias("person"), "titled.*")).select("file", "group_key")
     audio = F.col("format").isin(*AUDIO)
     rooted = known.select("file", "path", "folder", "name", F.coalesce(audio, F.lit(False)).alias("audio"))
     ebooks = rooted.where("not audio").select("path", F.col("folder").alias("above")).distinct()
