@@ -127,3 +127,10 @@ def test_grouped_files_meet_as_classes(spark, monkeypatch):
     assert len(found) == 400 and found[0] == found[2] != found[1] and found[0][1] == 200 and {found[i] for i in (1, 5)} == {("1:dune 1", 100)}
     # what is written and shuffled between are classes of (folder, name, author), not files
     assert max(sizes) == 8
+
+
+def test_capped_recommendations_sort_in_tasks_of_bounded_size(spark, tmp_path):
+    scored = spark.createDataFrame([(i % 3, i, [f"a{i % 5}"], float(i)) for i in range(60)], "target long, item long, authors array<string>, score double").repartition(2, "target", "item")
+    capped = resolve.capped_per_author(scored, "target", "authors", count=200_000_000)
+    assert "REPARTITION_BY_NUM" in plan(capped) and ", 400), REPARTITION_BY_NUM" in plan(capped)
+    assert capped.count() == 3 * 5 * 3

@@ -13,6 +13,12 @@ def spread(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def dealt(rows: DataFrame, count: int, *columns: str, most: int = 500000) -> DataFrame:
+    """``spread`` where ``count`` rows are expected: over so many tasks that one holds about ``most`` rows, however many there are."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(tasks, -(-count // most)), *columns)
+
+
 def added(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(old.select(*keys), keys, "left_anti")
 

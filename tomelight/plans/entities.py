@@ -144,7 +144,7 @@ def recommendations_capped(t: Tables):
     """At most three recommendations an author for each target, greedily in score order."""
     o = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("score"))
     scored = o.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("item"), F.array("p_brand").alias("authors"), F.col("score").cast("double").alias("score"))
-    return capped_per_author(scored, "target", "authors")
+    return capped_per_author(scored, "target", "authors", count=t.lineitem.count())
 
 
 _PROVIDERS = """
