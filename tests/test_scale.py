@@ -134,3 +134,13 @@ def test_capped_recommendations_sort_in_tasks_of_bounded_size(spark, tmp_path):
     capped = resolve.capped_per_author(scored, "target", "authors", count=200_000_000)
     assert "REPARTITION_BY_NUM" in plan(capped) and ", 400), REPARTITION_BY_NUM" in plan(capped)
     assert capped.count() == 3 * 5 * 3
+
+
+def test_a_name_that_reads_as_shells_does_not_refuse(spark, tmp_path):
+    # one name by two authors: the folder has two books of the first one, whose shell is no match then, and the group's shell is the other's
+    parts = "SELECT CAST(i AS BIGINT) AS p_partkey, 'small ring' AS p_name, 'BIG' AS p_type, 7 AS p_size FROM (VALUES (1), (6), (26), (51)) r(i)"
+    orders = "SELECT CAST(i AS BIGINT) AS o_orderkey, CAST(j AS BIGINT) AS o_custkey, 2.0 AS o_totalprice, TIMESTAMP '1999-01-01' AS o_orderdate FROM (VALUES (0, 51), (3936, 6), (328, 1), (369, 26)) r(i, j)"
+    tables(tmp_path, part=parts, orders=orders, nation="SELECT CAST(i AS INTEGER) AS n_nationkey, 'NATION_' || i AS n_name FROM range(25) r(i)", customer="SELECT CAST(i AS BIGINT) AS c_custkey FROM (VALUES (6), (51)) r(i)")
+    found, wanted = both(spark, tmp_path, "rescan_verdicts")
+    assert {r[0]: r[1:3] for r in wanted} == {0: ("attach-shell", "6"), 3936: ("attach-shell", "6")}
+    assert found == wanted

@@ -301,7 +301,8 @@ def rescanned(files: DataFrame, existing: DataFrame, shells: DataFrame, mode: st
         own = own.join(here, "file", "left")
     looking = F.col("here").isNull() & F.coalesce(F.col("here_open"), F.lit(True))
     own = own.join(among_shells(known, titled), "file", "left")
-    own = own.withColumns({c: F.when(looking, F.col(c)) for c in ("shell", "shell_rank", "shell_reason", "shell_named")}).withColumn("here_open", F.coalesce("here_open", F.lit(True)))
+    # shell_named stays: what a name reads as counts for its group's book, whatever the folder says
+    own = own.withColumns({c: F.when(looking, F.col(c)) for c in ("shell", "shell_rank", "shell_reason")}).withColumn("here_open", F.coalesce("here_open", F.lit(True)))
     own = own.withColumns({
         "own": F.coalesce("here", "shell"),
         "own_kind": F.when(F.col("here").isNotNull(), "folder").when(F.col("shell").isNotNull(), "shell"),
