@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tomelight.llm import packing
+from tomelight.llm import mixing, packing
 from tomelight.llm.exact_dedup import drop_exact_copies
 from tomelight.llm.minhash_dedup import drop_near_copies, near_duplicates
 
@@ -88,3 +88,14 @@ def test_packing_spreads_one_text_without_ids(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(tasks) >= 300 and max(tasks) < 250
+
+
+def test_blocks_of_the_mix_are_not_broadcast(spark):
+    # one source's slots are a few runs, and a text is one row: both became thousands of rows that the driver collected
+    docs = table(spark, [(i, words(i, 2000)) for i in range(20)])
+    documents, slots = mixing.mix(docs)
+    pieces = mixing.taken_pieces(packing.materialize(documents), slots)
+    # each of the two targets is rounded down
+    assert 0 <= 40_000 - sum(r.words for r in pieces.collect()) < 2
+    joins = [line for line in pieces._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in line and "block" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

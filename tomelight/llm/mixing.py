@@ -234,7 +234,8 @@ def taken_pieces(documents: DataFrame, slots: DataFrame, block: int = 64) -> Dat
     """Blocks joined to documents by index: rid, pass, shard, slot, from_word and words (inside the document)."""
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = documents.where("size > 0").select("rid", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("block"))
-    found = parts.join(slots, parts["source"].eqNullSafe(slots["source"]) & (parts["block"] == slots["block"])).select(
+    # both sides make many rows of one, which sizes of tables don't tell: neither may be broadcast
+    found = parts.join(slots.hint("merge"), parts["source"].eqNullSafe(slots["source"]) & (parts["block"] == slots["block"])).select(
         "rid", "pass", "shard", "slot", "start", "size", parts["block"], "words"
     )
     begin = F.greatest(F.col("start"), F.col("block") * block)
