@@ -90,6 +90,11 @@ def test_packing_spreads_one_text_without_ids(spark):
     assert sum(tasks) >= 300 and max(tasks) < 250
 
 
+def joins_of_blocks(frame):
+    text = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in text.splitlines() if "Join" in line and "block" in line]
+
+
 def test_blocks_of_the_mix_are_not_broadcast(spark):
     # one source's slots are a few runs, and a text is one row: both became thousands of rows that the driver collected
     docs = table(spark, [(i, words(i, 2000)) for i in range(20)])
@@ -97,5 +102,14 @@ def test_blocks_of_the_mix_are_not_broadcast(spark):
     pieces = mixing.taken_pieces(packing.materialize(documents), slots)
     # each of the two targets is rounded down
     assert 0 <= 40_000 - sum(r.words for r in pieces.collect()) < 2
-    joins = [line for line in pieces._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Join" in line and "block" in line]
+    joins = joins_of_blocks(pieces)
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_mixing_stage_broadcasts_no_blocks(spark):
+    rows = [(i, words(i, 2000)) for i in range(20)]
+    out = corpus_pipeline.mixing(spark, table(spark, rows), "")
+    found = out.collect()
+    assert 0 <= 40_000 - sum(len(r.text.split()) for r in found) < 2
+    joins = joins_of_blocks(out)
     assert joins and all("SortMergeJoin" in line for line in joins)
