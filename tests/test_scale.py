@@ -10,7 +10,7 @@ from tomelight.functions.text import isbn10, isbn13, valid_isbn
 from tomelight.operators import matching, resolve
 from tomelight.operators.resolve import top_similar, top_similar_classes
 from tomelight.operators.verdicts import read_names
-from tomelight.plans import ORACLES, QUERIES
+from tomelight.plans import ORACLES, QUERIES, lookups
 
 
 def plan(frame):
@@ -105,6 +105,56 @@ def test_recommendations_meet_by_classes(spark, tmp_path, monkeypatch):
     assert seen and max(seen) <= 40
 
 
+def test_best_vectors_over_many_columns_equal_brute_force(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    # most rows are of four kinds (thousands of equal scores), the others whole numbers or not; a row of zeros, one that is not a number
+    v = draw.integers(0, 4, (9000, 6)).astype(float)
+    v[::2] = v[draw.integers(0, 4, 4500) * 2 + 1]
+    v[5::7] += draw.random((len(v[5::7]), 6))
+    v[3], v[11] = 0, np.nan
+    named = [None, "a", "b", "c"]
+    ids = draw.permutation(9000).tolist()
+    frame = spark.createDataFrame([(i, x.tolist(), named[i % 4]) for i, x in zip(ids, v, strict=True)], "id long, v array<double>, s string").repartition(3)
+    asked = [i for i in ids if i % 60 < 2]
+    found = top_similar(frame, "id", "v", frame.where("id % 60 < 2"), 5, apart="s").collect()
+    at = {i: n for n, i in enumerate(ids)}
+    squares, group = (v * v).sum(1), np.array(ids) % 4
+    wanted = {}
+    for i in asked:
+        n = at[i]
+        scores = (v * v[n]).sum(1) / np.sqrt(np.where(squares * squares[n] > 0, squares * squares[n], 1))
+        scores[(group == group[n]) & (group > 0)] = -2
+        scores[n] = -2
+        wanted[i] = sorted((-x, o) for o, x in zip(ids, scores.tolist(), strict=True) if x > 0.1)[:5]
+    got = {i: [] for i in asked}
+    for r in found:
+        got[r.query].append((-r.score, r.other))
+    whole = {i for i in asked if (v[at[i]] % 1 == 0).all()}
+    # a sum of parts depends on its order in the last digit, one of whole numbers does not
+    short = lambda x: {i: [(round(s, 9), o if i in whole else 0) for s, o in sorted(r)] for i, r in x.items()}
+    assert len(whole) > 200 and short(got) == short(wanted)
+
+
+def test_pairs_of_blocks_have_tasks_of_their_own(spark):
+    frame = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(100)], "id long, v array<double>")
+    # 25 pairs of blocks fell on the session's four tasks
+    text = plan(top_similar(frame, "id", "v", frame, 5, query_rows=20, block_rows=20))
+    assert text.count(", 50), REPARTITION_BY_NUM") == 2
+
+
+def test_recommendations_widen_classes_and_read_in_all_tasks(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lookups, "written", lambda df: seen.append(df) or resolve.written(df))
+    tables(tmp_path, part="SELECT CAST(i + 210 * j AS BIGINT) AS p_partkey, 'small ring' AS p_name, 'Brand#' || i % 3 AS p_brand, 'BIG TIN' AS p_type, CAST(i % 4 AS INTEGER) AS p_size, 1.0 AS p_retailprice FROM range(40) r(i), range(8) s(j)")
+    found, wanted = both(spark, tmp_path, "recommendations_all")
+    assert found == wanted
+    # one task read the whole file's features, and each row was written as 128 numbers
+    assert "REPARTITION_BY_NUM" in plan(seen[0])
+    assert max(len(r.entries) for r in seen[0].collect()) < 20
+
+
 def test_names_of_files_are_read_once(spark):
     kinds = [("The Ring Vol. 2 (1999).epub", "Ann Bee"), ("The Ring Vol. 2 (1).mobi", None), ("Comic 7.cbz", "Bee, Ann"), (None, "Ann Bee"), ("", None)]
     rows = [(i, *kinds[i * i % 5]) for i in range(60)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import paging, search
-from ..operators.resolve import hashed_weights, shared_folder, top_similar_classes, weighted_features, written
+from ..operators.resolve import hashed_entries, hashed_weights, shared_folder, top_similar_classes, weighted_features, widened, written
+from ..operators.sets import spread
 from .browse import _BOOKS, _RANK, books
 from .registry import Tables, query
 
@@ -98,6 +99,6 @@ SELECT query, other, round(score, 6) AS score FROM s WHERE score > 0.1 QUALIFY r
 """)
 def recommendations_all(t: Tables):
     """For every book the 25 most similar ones above 0.1 of other series, by hashed weighted features."""
-    b = books(t)
-    vectors = written(hashed_weights(b, "id", book_features(b)).join(b.select("id", F.lower("series_name").alias("series")), "id"))
-    return top_similar_classes(vectors, "id", "vector", apart="series").select("query", "other", F.round("score", 6).alias("score"))
+    b = spread(books(t).select("id", "title", "authors", "categories", "series_name", "publisher"), "id")
+    says = written(hashed_entries(b, "id", book_features(b)).join(b.select("id", F.lower("series_name").alias("series")), "id"))
+    return top_similar_classes(says, "id", "entries", apart="series", wide=widened).select("query", "other", F.round("score", 6).alias("score"))
